@@ -99,6 +99,26 @@ def engagement_latest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.latest_days(Layers(spark, sf_dir).user_engagement_daily, 10)
 
 
+# -- streaming keys ------------------------------------------------------
+
+def stream_click_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a file stream -> foreachBatch -> bronze (+DLQ); read back."""
+    from tidemark.streaming import ingest
+    lh = ingest.fresh_lakehouse(spark, "stream-clicks")
+    q = ingest.start_bronze_ingest(ingest.click_envelope_stream(spark, sf_dir), "clicks", lh)
+    ingest.run_to_completion(q)
+    return edge(lh.table("bronze.clickstream_raw").select(*CLICK_COLUMNS))
+
+
+def stream_cdc_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer + orders as file streams -> CDC envelopes -> bronze (+DLQ)."""
+    from tidemark.streaming import ingest
+    lh = ingest.fresh_lakehouse(spark, "stream-cdc")
+    q = ingest.start_bronze_ingest(ingest.cdc_envelope_stream(spark, sf_dir), "cdc", lh)
+    ingest.run_to_completion(q)
+    return edge(lh.table("bronze.pg_cdc_raw").select(*CDC_COLUMNS))
+
+
 def registry() -> dict[str, Query]:
     return {
         "click_parse": click_parse,
@@ -124,4 +144,6 @@ def registry() -> dict[str, Query]:
         "gold_user_engagement_daily": _layer("user_engagement_daily"),
         "active_days": active_days,
         "engagement_latest_days": engagement_latest_days,
+        "stream_click_bronze": stream_click_bronze,
+        "stream_cdc_bronze": stream_cdc_bronze,
     }
