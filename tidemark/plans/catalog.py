@@ -96,15 +96,18 @@ class Lakehouse:
         """
         if mode not in ("dynamic", "full"):
             raise ValueError(f"unknown overwrite mode {mode!r}")
-        spec = schemas.TABLES[logical]
-        out = df.select(*[F.col(f.name).cast(f.dataType) for f in spec.schema.fields])
+        out = self._aligned(logical, df)
         with _overwrite_mode(self.spark, "dynamic" if mode == "dynamic" else "static"):
             out.write.insertInto(self.name(logical), overwrite=True)
 
     def append(self, logical: str, df: DataFrame) -> None:
-        spec = schemas.TABLES[logical]
-        out = df.select(*[F.col(f.name).cast(f.dataType) for f in spec.schema.fields])
-        out.write.insertInto(self.name(logical), overwrite=False)
+        self._aligned(logical, df).write.insertInto(self.name(logical), overwrite=False)
+
+    def _aligned(self, logical: str, df: DataFrame) -> DataFrame:
+        """``insertInto`` is positional and the catalog lists partition
+        columns last: select by name in the catalog's order, typed."""
+        target = self.spark.table(self.name(logical)).schema
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.fields])
 
     def recover_partitions(self, logical: str) -> None:
         """Register partitions written straight to the table folder."""

@@ -119,6 +119,57 @@ def stream_cdc_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edge(lh.table("bronze.pg_cdc_raw").select(*CDC_COLUMNS))
 
 
+# -- catalog / pipeline keys ----------------------------------------------
+
+def _refreshed(spark: SparkSession, sf_dir: str, label: str):
+    from tidemark.plans import refresh
+    from tidemark.sources import testdata
+    from tidemark.streaming import ingest
+    lh = ingest.fresh_lakehouse(spark, label)
+    refresh.load_bronze_batch(lh, testdata.cdc_envelopes(spark, sf_dir),
+                              testdata.click_envelopes(spark, sf_dir))
+    refresh.refresh_all(lh)
+    return lh
+
+
+def check_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1 after a full ingest + refresh (M14): all 17 tables with row counts."""
+    lh = _refreshed(spark, sf_dir, "check")
+    return lh.check_tables().select(
+        F.regexp_replace("table", r"^tm[0-9a-f]+_", "").alias("table"), "status", "rows")
+
+
+def check_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.plans.catalog import REQUIRED_NONEMPTY
+    lh = _refreshed(spark, sf_dir, "nonempty")
+    return lh.check_nonempty(REQUIRED_NONEMPTY).select(
+        F.regexp_replace("table", r"^tm[0-9a-f]+_", "").alias("table"), "status", "rows", "nonempty")
+
+
+def gold_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11/L2: read a gold table by name after the refresh; ordered preview."""
+    lh = _refreshed(spark, sf_dir, "scan")
+    lh.refresh(["gold.page_engagement_daily"])
+    return lh.preview("gold.page_engagement_daily", 10, ["dt", "page"])
+
+
+def overwrite_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rebuild gold.transaction_volume_daily in dynamic mode from the
+    first half of the month only; later days keep their (stale) rows, the
+    rewritten days are replaced. The table is read back whole."""
+    from tidemark.streaming import ingest
+    lh = ingest.fresh_lakehouse(spark, "overwrite")
+    lh.init(["gold.transaction_volume_daily"])
+    L = Layers(spark, sf_dir)
+    full = marts.transaction_volume_daily(L.transactions)
+    lh.overwrite("gold.transaction_volume_daily", full, mode="dynamic")
+    amended = marts.transaction_volume_daily(
+        L.transactions.filter(F.col("dt") <= F.lit("2024-01-15").cast("date"))
+        .withColumn("amount", (F.col("amount") * 2).cast("decimal(18,2)")))
+    lh.overwrite("gold.transaction_volume_daily", amended, mode="dynamic")
+    return lh.table("gold.transaction_volume_daily")
+
+
 def registry() -> dict[str, Query]:
     return {
         "click_parse": click_parse,
@@ -146,4 +197,8 @@ def registry() -> dict[str, Query]:
         "engagement_latest_days": engagement_latest_days,
         "stream_click_bronze": stream_click_bronze,
         "stream_cdc_bronze": stream_cdc_bronze,
+        "check_tables": check_tables,
+        "check_nonempty": check_nonempty,
+        "gold_scan": gold_scan,
+        "overwrite_partitions": overwrite_partitions,
     }
