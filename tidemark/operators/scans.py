@@ -30,34 +30,50 @@ def time_bucket(seconds: Column, bucket_seconds: int) -> Column:
     return F.coalesce(F.floor(seconds / F.lit(bucket_seconds)).cast("bigint"), F.lit(NULL_BUCKET))
 
 
-def bucketed_running_sum(
+def bucketed_running(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], seconds: Column,
-    value: Column, out: str, bucket_seconds: int = 86_400,
+    value: Column, out: str, how: str = "sum", bucket_seconds: int = 86_400,
 ) -> DataFrame:
-    """``out`` = sum of ``value`` over rows of the same key up to the current
-    one in ``order`` (ROWS UNBOUNDED PRECEDING .. CURRENT ROW).
+    """``out`` = running ``sum`` or ``max`` of ``value`` over the rows of the
+    same key up to the current one in ``order`` (ROWS UNBOUNDED PRECEDING ..
+    CURRENT ROW), computed per time bucket and stitched by a small scan.
 
     ``seconds`` must be non-decreasing along ``order`` within a key (it is
     the leading ordering column in epoch seconds)."""
+    if how not in ("sum", "max"):
+        raise ValueError(f"unsupported running aggregate {how!r}")
+    agg = F.sum if how == "sum" else F.max
     keys = list(keys)
     local_w = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = (
         df.withColumn("_bucket", time_bucket(seconds, bucket_seconds))
         .withColumn("_v", value)
-        .withColumn("_local", F.sum("_v").over(local_w))
+        .withColumn("_local", agg("_v").over(local_w))
     )
     before_w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     summary = (
-        local.groupBy(*keys, "_bucket").agg(F.sum("_v").alias("_bucket_total"))
-        .withColumn("_before", F.sum("_bucket_total").over(before_w))
+        local.groupBy(*keys, "_bucket").agg(agg("_v").alias("_bucket_total"))
+        .withColumn("_before", agg("_bucket_total").over(before_w))
         .select(*keys, "_bucket", "_before")
     )
     joined = local.join(summary, [*keys, "_bucket"])
-    total = F.coalesce(F.col("_before"), F.lit(0).cast(local.schema["_local"].dataType)) + F.col("_local")
+    if how == "sum":
+        total = F.when(F.col("_before").isNull(), F.col("_local")).otherwise(
+            F.col("_before") + F.coalesce(F.col("_local"), F.lit(0)))
+    else:
+        total = F.greatest(F.col("_before"), F.col("_local"))
     return joined.withColumn(out, total).drop("_bucket", "_v", "_local", "_before")
 
 
+def window_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
+                   value: Column, out: str, how: str = "sum") -> DataFrame:
+    """Single-window reference of ``bucketed_running`` (tests, small data)."""
+    agg = F.sum if how == "sum" else F.max
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(out, agg(value).over(w))
+
+
 def bucketed_session_numbers(
     df: DataFrame, key: str, order: Sequence[Column | str], seconds: Column,
     gap_seconds: int, out: str, bucket_seconds: int = 900,

@@ -170,6 +170,90 @@ def overwrite_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lh.table("gold.transaction_volume_daily")
 
 
+# -- re-aimed service rules (V1-V14) ---------------------------------------
+
+def validate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import quality
+    return quality.event_violations(Layers(spark, sf_dir).bronze_clicks)
+
+
+def normalize_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import clicks
+    return clicks.normalized_times(Layers(spark, sf_dir).bronze_clicks)
+
+
+def validate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3 with batches = (raw session, minute): the tracker flushes a
+    session's queue every few seconds, so a minute holds whole requests."""
+    from tidemark.operators import quality
+    events = Layers(spark, sf_dir).bronze_clicks
+    return edge(quality.batch_sizes(
+        events, ["session_id", F.date_trunc("minute", "event_ts").alias("batch_start")]))
+
+
+def dlq_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    env = B.dlq_envelope(Layers(spark, sf_dir).dlq_clicks)
+    return env.select(
+        "offset_value",
+        F.get_json_object("envelope", "$.error").alias("error"),
+        F.get_json_object("envelope", "$.source_topic").alias("source_topic"),
+        F.get_json_object("envelope", "$.original.session_id").alias("original_session_id"),
+    )
+
+
+def tx_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import ledger
+    return ledger.tx_direction(Layers(spark, sf_dir).transactions)
+
+
+def validate_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import quality
+    return quality.transaction_violations(Layers(spark, sf_dir).transactions)
+
+
+def first_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import ledger
+    return edge(ledger.first_account(Layers(spark, sf_dir).accounts))
+
+
+def recent_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8 with n = 5 (API range 1..100) so that the limit cuts at this scale."""
+    from tidemark.operators import ledger
+    return edge(ledger.recent_transactions(Layers(spark, sf_dir).transactions, 5))
+
+
+def list_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import ledger
+    return edge(ledger.list_users(Layers(spark, sf_dir).users))
+
+
+def ledger_running_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import ledger
+    L = Layers(spark, sf_dir)
+    return edge(ledger.ledger_running_balance(L.transactions, L.accounts))
+
+
+def ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import ledger
+    L = Layers(spark, sf_dir)
+    return edge(ledger.ledger_replay(L.transactions, L.accounts))
+
+
+def page_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import clicks
+    return clicks.page_dwell(Layers(spark, sf_dir).bronze_clicks)
+
+
+def income_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import ledger
+    return ledger.income_spend(Layers(spark, sf_dir).transactions)
+
+
+def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import clicks
+    return clicks.recent_events(Layers(spark, sf_dir).bronze_clicks)
+
+
 def registry() -> dict[str, Query]:
     return {
         "click_parse": click_parse,
@@ -201,4 +285,18 @@ def registry() -> dict[str, Query]:
         "check_nonempty": check_nonempty,
         "gold_scan": gold_scan,
         "overwrite_partitions": overwrite_partitions,
+        "validate_events": validate_events,
+        "normalize_ts": normalize_ts,
+        "validate_batches": validate_batches,
+        "dlq_envelope": dlq_envelope,
+        "tx_direction": tx_direction,
+        "validate_transactions": validate_transactions,
+        "first_account": first_account,
+        "recent_transactions": recent_transactions,
+        "list_users": list_users,
+        "ledger_running_balance": ledger_running_balance,
+        "ledger_replay": ledger_replay,
+        "page_dwell": page_dwell,
+        "income_spend": income_spend,
+        "recent_events": recent_events,
     }
