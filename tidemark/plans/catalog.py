@@ -78,7 +78,11 @@ class Lakehouse:
 
     # -- reads (C9, C11) ------------------------------------------------
     def table(self, logical: str) -> DataFrame:
-        return self.spark.table(self.name(logical))
+        """Scan a table by name (C9). Metadata is refreshed first: bronze
+        partitions are written by streaming queries in their own sessions."""
+        name = self.name(logical)
+        self.spark.catalog.refreshTable(name)
+        return self.spark.table(name)
 
     def preview(self, logical: str, n: int = 10, order_by: Iterable[str] | None = None) -> DataFrame:
         """``LIMIT n`` preview (L2); ordered so that the answer is stable."""

@@ -40,6 +40,10 @@ class TableSpec:
         return [f.name for f in self.schema.fields]
 
 
+# Bronze rows are keyed by the writing ingest (a stable id of its checkpoint)
+# and its micro-batch, so a retried batch replaces exactly its own rows.
+BRONZE_PARTITIONS = ("ingest_id", "batch_id", "dt")
+
 SESSION_FIELDS = (
     ("session_id", S), ("raw_session_id", S), ("user_id", S),
     ("started_at", TS), ("ended_at", TS), ("events_count", L),
@@ -52,19 +56,19 @@ TABLES: dict[str, TableSpec] = {
         TableSpec("bronze", "pg_cdc_raw", _schema(
             ("topic", S), ("partition_id", I), ("offset_value", L), ("key_json", S),
             ("value_json", S), ("op", S), ("source_table", S), ("event_ts", TS),
-            ("ingest_ts", TS), ("batch_id", L), ("dt", DT)), ("batch_id", "dt")),
+            ("ingest_ts", TS), ("ingest_id", S), ("batch_id", L), ("dt", DT)), BRONZE_PARTITIONS),
         TableSpec("bronze", "dlq_pg_cdc", _schema(
             ("topic", S), ("partition_id", I), ("offset_value", L), ("key_json", S),
-            ("raw_value", S), ("error", S), ("ingest_ts", TS), ("batch_id", L),
-            ("dt", DT)), ("batch_id", "dt")),
+            ("raw_value", S), ("error", S), ("ingest_ts", TS), ("ingest_id", S), ("batch_id", L),
+            ("dt", DT)), BRONZE_PARTITIONS),
         TableSpec("bronze", "dlq_clickstream", _schema(
             ("topic", S), ("partition_id", I), ("offset_value", L), ("raw_value", S),
-            ("error", S), ("ingest_ts", TS), ("batch_id", L), ("dt", DT)), ("batch_id", "dt")),
+            ("error", S), ("ingest_ts", TS), ("ingest_id", S), ("batch_id", L), ("dt", DT)), BRONZE_PARTITIONS),
         TableSpec("bronze", "clickstream_raw", _schema(
             ("topic", S), ("partition_id", I), ("offset_value", L), ("event_id", S),
             ("session_id", S), ("user_id", S), ("event_type", S), ("page", S),
             ("element_id", S), ("x", I), ("y", I), ("dwell_ms", L), ("value_json", S),
-            ("event_ts", TS), ("ingest_ts", TS), ("batch_id", L), ("dt", DT)), ("batch_id", "dt")),
+            ("event_ts", TS), ("ingest_ts", TS), ("ingest_id", S), ("batch_id", L), ("dt", DT)), BRONZE_PARTITIONS),
         TableSpec("silver", "transactions", _schema(
             ("transaction_id", S), ("user_id", S), ("account_id", S), ("type", S),
             ("direction", S), ("amount", MONEY), ("currency", S), ("description", S),

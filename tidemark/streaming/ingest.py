@@ -4,15 +4,19 @@
 ``start_bronze_ingest`` runs ``envelope stream -> foreachBatch`` where each
 micro-batch is annotated once, persisted, and split into the valid bronze
 rows and the dead-letter rows. Both writes are *idempotent per batch*: the
-bronze tables are partitioned by ``(batch_id, dt)`` and a batch is written
-as ``INSERT OVERWRITE ... PARTITION (batch_id = k, dt)`` in static mode, so
-a retried batch first drops whatever an earlier attempt of the same batch
-left behind -- no duplicates, whichever write failed. Progress lives in the
-checkpoint folder under the shared root.
+bronze tables are partitioned by ``(ingest_id, batch_id, dt)`` and a batch
+is written as ``INSERT OVERWRITE ... PARTITION (ingest_id = q, batch_id = k,
+dt)`` in static mode, so a retried batch first drops whatever an earlier
+attempt of the same batch left behind -- no duplicates, whichever write
+failed. ``ingest_id`` is a stable hash of the checkpoint location: batch
+numbers restart at 0 for every new checkpoint, so the batch number alone
+does not identify a batch. Progress lives in the checkpoint folder under
+the shared root.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -34,12 +38,19 @@ KINDS = {
 }
 
 
-def overwrite_batch(lakehouse: Lakehouse, logical: str, df: DataFrame, batch_id: int) -> None:
-    """Replace every row of ``batch_id`` in a bronze table with ``df``."""
+def ingest_id_for(checkpoint: str) -> str:
+    return hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def overwrite_batch(lakehouse: Lakehouse, logical: str, df: DataFrame, batch_id: int,
+                    ingest_id: str = "batch") -> None:
+    """Replace every row of ``(ingest_id, batch_id)`` in a bronze table with ``df``."""
+    if not ingest_id.replace("-", "").replace("_", "").isalnum():
+        raise ValueError(f"bad ingest id {ingest_id!r}")
     spark = df.sparkSession
     spec = schemas.TABLES[logical]
     view = f"_tm_batch_{uuid.uuid4().hex}"
-    data_cols = [f for f in spec.schema.fields if f.name not in ("batch_id", "dt")]
+    data_cols = [f for f in spec.schema.fields if f.name not in schemas.BRONZE_PARTITIONS]
     df.select(*[F.col(f.name).cast(f.dataType) for f in data_cols],
               F.col("dt").cast("date")).createOrReplaceTempView(view)
     cols = ", ".join(f"`{f.name}`" for f in data_cols)
@@ -47,12 +58,14 @@ def overwrite_batch(lakehouse: Lakehouse, logical: str, df: DataFrame, batch_id:
         with _overwrite_mode(spark, "static"):
             spark.sql(
                 f"INSERT OVERWRITE TABLE {lakehouse.name(logical)} "
-                f"PARTITION (batch_id = {int(batch_id)}, dt) SELECT {cols}, dt FROM {view}")
+                f"PARTITION (ingest_id = '{ingest_id}', batch_id = {int(batch_id)}, dt) "
+                f"SELECT {cols}, dt FROM {view}")
     finally:
         spark.catalog.dropTempView(view)
 
 
-def batch_writer(lakehouse: Lakehouse, kind: str) -> Callable[[DataFrame, int], None]:
+def batch_writer(lakehouse: Lakehouse, kind: str,
+                 ingest_id: str = "batch") -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function for one ingest kind."""
     annotate, split, valid_table, dlq_table = KINDS[kind]
 
@@ -62,8 +75,8 @@ def batch_writer(lakehouse: Lakehouse, kind: str) -> Callable[[DataFrame, int],
         annotated = annotate(batch, F.current_timestamp()).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             valid, dlq = split(annotated)
-            overwrite_batch(lakehouse, valid_table, valid, batch_id)
-            overwrite_batch(lakehouse, dlq_table, dlq, batch_id)
+            overwrite_batch(lakehouse, valid_table, valid, batch_id, ingest_id)
+            overwrite_batch(lakehouse, dlq_table, dlq, batch_id, ingest_id)
         finally:
             annotated.unpersist()
 
@@ -81,7 +94,7 @@ def start_bronze_ingest(
     lakehouse.init([KINDS[kind][2], KINDS[kind][3]])
     checkpoint = checkpoint or f"{lakehouse.root}/_checkpoints/bronze/{kind}"
     writer = (
-        envelopes.writeStream.foreachBatch(batch_writer(lakehouse, kind))
+        envelopes.writeStream.foreachBatch(batch_writer(lakehouse, kind, ingest_id_for(checkpoint)))
         .option("checkpointLocation", checkpoint)
     )
     if query_name:
