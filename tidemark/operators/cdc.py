@@ -121,6 +121,17 @@ def silver_accounts(bronze: DataFrame, apply_deletes: bool = False) -> DataFrame
     )
 
 
+def latest_changes(bronze: DataFrame) -> DataFrame:
+    """W1 over every CDC table at once, deletes included: the latest
+    operation per (source_table, key) with its position."""
+    key = F.coalesce(F.get_json_object("value_json", "$.after.id"),
+                     F.get_json_object("key_json", "$.id"))
+    changes = bronze.filter(
+        F.col("source_table").isin(*AFTER_FIELDS) & F.col("op").isin(*UPSERT_OPS, DELETE_OP)
+    ).select("source_table", key.alias("key"), "op", *ORDER_COLUMNS).filter(F.col("key").isNotNull())
+    return latest_per_key(changes, ["source_table", "key"])
+
+
 def change_counts(bronze: DataFrame) -> DataFrame:
     """Rows per (source_table, op) that pass the CDC filter (F1): upserts
     with an ``after.id``, deletes with a record key. One pass, map-side

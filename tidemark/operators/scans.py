@@ -2,16 +2,17 @@
 
 A plain ``Window.partitionBy(key).orderBy(t)`` puts every row of a key in
 one task; a key holding a third of the data would be a third of the job on
-one core. Both scans here split a key by a time *bucket*:
+one core. The scans here split a key by a time *bucket*:
 
-1. a window over ``(key, bucket)`` computes the local part,
-2. a ``groupBy(key, bucket)`` summary (one row per bucket, map-side
-   partial aggregation) is scanned per key -- a small window,
-3. the summary is joined back on ``(key, bucket)``; the join side is
-   already partitioned by step 1, and AQE may broadcast the summary when
-   its measured size is small.
+1. a ``groupBy(key, bucket)`` summary (one row per bucket, map-side
+   partial aggregation) is scanned per key -- a small window over buckets,
+2. the rows are joined with the summary on ``(key, bucket)`` (AQE may
+   broadcast the summary when its measured size is small, or split a hot
+   bucket with its skew-join handling),
+3. running aggregates that need the order inside a bucket add a window
+   over ``(key, bucket)`` -- a bucket, not a whole key, per task.
 
-The result equals the single-window scan exactly (tests compare both).
+Results equal the single-window scans exactly (tests compare both).
 """
 
 from __future__ import annotations
@@ -57,7 +58,10 @@ def bucketed_running(
         .withColumn("_before", agg("_bucket_total").over(before_w))
         .select(*keys, "_bucket", "_before")
     )
-    joined = local.join(summary, [*keys, "_bucket"])
+    # Left join: every row has its bucket's summary row, and the summary is
+    # distinct on the join keys, so Catalyst can drop the join when no
+    # caller reads the result column.
+    joined = local.join(summary, [*keys, "_bucket"], "left")
     if how == "sum":
         total = F.when(F.col("_before").isNull(), F.col("_local")).otherwise(
             F.col("_before") + F.coalesce(F.col("_local"), F.lit(0)))
@@ -76,7 +80,7 @@ def window_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
 
 def bucketed_session_numbers(
     df: DataFrame, key: str, order: Sequence[Column | str], seconds: Column,
-    gap_seconds: int, out: str, bucket_seconds: int = 900,
+    gap_seconds: int, out: str, bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Idle-gap session number per row (1, 2, ...) within ``key``.
 
@@ -84,37 +88,38 @@ def bucketed_session_numbers(
     previous row's ``seconds`` is NULL, or when the gap to it is strictly
     greater than ``gap_seconds`` (whole seconds, S4). ``seconds`` must be
     non-decreasing along ``order`` within a key.
+
+    With buckets no wider than ``gap_seconds + 1`` two rows of one bucket
+    are never more than the gap apart, so only a bucket's first row can
+    open a session. Hence the per-bucket summary is just ``min``/``max`` of
+    ``seconds`` -- a partial (map-side) aggregate -- and a small per-key scan
+    over buckets numbers them. The rows themselves are shuffled once, for the
+    join with that summary; no window runs over the rows of a key. Rows with
+    NULL ``seconds`` (each one opens a session, and they sort first) are
+    numbered in a side branch.
     """
-    local_w = Window.partitionBy(key, "_bucket").orderBy(*order)
-    running = local_w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prev = F.lag("_s").over(local_w)
-    local = (
-        df.withColumn("_s", seconds)
-        .withColumn("_bucket", time_bucket(F.col("_s"), bucket_seconds))
-        .withColumn("_first", F.row_number().over(local_w) == 1)
-        .withColumn("_flag", F.when(F.col("_first"), F.lit(0))
-                    .when(prev.isNull() | (F.col("_s") - prev > gap_seconds), F.lit(1))
-                    .otherwise(F.lit(0)))
-        .withColumn("_local", F.sum("_flag").over(running))
-    )
+    width = max(1, min(bucket_seconds or gap_seconds, gap_seconds + 1))
+    timed = df.withColumn("_s", seconds).withColumn(
+        "_bucket", F.floor(F.col("_s") / F.lit(width)).cast("bigint"))
+    known = timed.filter(F.col("_s").isNotNull())
+    unknown = timed.filter(F.col("_s").isNull())
+
     bucket_w = Window.partitionBy(key).orderBy("_bucket")
     prev_last = F.lag("_last").over(bucket_w)
+    nulls_per_key = unknown.groupBy(key).agg(F.count(F.lit(1)).alias("_nulls"))
     summary = (
-        local.groupBy(key, "_bucket").agg(
-            F.min("_s").alias("_start"), F.max("_s").alias("_last"),
-            F.sum("_flag").alias("_inner"))
+        known.groupBy(key, "_bucket").agg(F.min("_s").alias("_start"), F.max("_s").alias("_last"))
         .withColumn("_open", F.when(prev_last.isNull() | (F.col("_start") - prev_last > gap_seconds),
                                     F.lit(1)).otherwise(F.lit(0)))
-        .withColumn("_before", F.coalesce(
-            F.sum(F.col("_open") + F.col("_inner")).over(
-                bucket_w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select(key, "_bucket", "_open", "_before")
-    )
-    return (
-        local.join(summary, [key, "_bucket"])
-        .withColumn(out, (F.col("_before") + F.col("_open") + F.col("_local")).cast("bigint"))
-        .drop("_s", "_bucket", "_first", "_flag", "_local", "_open", "_before")
+        .withColumn("_run", F.sum("_open").over(
+            bucket_w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .join(nulls_per_key, key, "left")
+        .select(key, "_bucket", (F.col("_run") + F.coalesce("_nulls", F.lit(0))).alias("_number"))
     )
+    numbered = known.join(summary, [key, "_bucket"], "left").withColumn(out, F.col("_number").cast("bigint"))
+    null_numbered = unknown.withColumn(
+        out, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint"))
+    return numbered.drop("_s", "_bucket", "_number").unionByName(null_numbered.drop("_s", "_bucket"))
 
 
 def window_session_numbers(

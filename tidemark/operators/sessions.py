@@ -47,26 +47,60 @@ def sessionize(
     bucket_seconds: int = 900,
     method: str = "bucketed",
 ) -> DataFrame:
-    """silver.clickstream_events (M4): each event with its analytics session id."""
-    base = click_events_base(bronze_clicks)
-    keyed = base.filter(F.col("session_id").isNotNull())
-    loose = base.filter(F.col("session_id").isNull())
+    """silver.clickstream_events (M4): each event with its analytics session id.
+
+    The scan key is ``coalesce(session_id, event_id)``: an event without a
+    raw session is a group of its own (no NULL-key hot spot) and gets a NULL
+    analytics id."""
+    base = click_events_base(bronze_clicks).withColumn(
+        "_key", F.coalesce(F.col("session_id"), F.col("event_id")))
     order = [F.col(c).asc() for c in EVENT_ORDER]
     if method == "bucketed":
         numbered = bucketed_session_numbers(
-            keyed, "session_id", order, whole_seconds("event_ts"), gap_seconds, "_n",
+            base, "_key", order, whole_seconds("event_ts"), gap_seconds, "_n",
             bucket_seconds=bucket_seconds)
     elif method == "window":
         numbered = window_session_numbers(
-            keyed, "session_id", order, whole_seconds("event_ts"), gap_seconds, "_n")
+            base, "_key", order, whole_seconds("event_ts"), gap_seconds, "_n")
     else:
         raise ValueError(f"unknown method {method!r}")
-    with_id = numbered.withColumn(
-        "analytics_session_id",
-        F.concat(F.col("session_id"), F.lit("-"), session_ordinal(F.col("_n"))))
-    return with_id.select(*SILVER_EVENT_COLUMNS).unionByName(
-        loose.withColumn("analytics_session_id", F.lit(None).cast("string"))
-        .select(*SILVER_EVENT_COLUMNS))
+    analytics = F.when(F.col("session_id").isNotNull(), F.concat(
+        F.col("session_id"), F.lit("-"), session_ordinal(F.col("_n"))))
+    return numbered.withColumn("analytics_session_id", analytics).select(*SILVER_EVENT_COLUMNS)
+
+
+def session_flags(bronze_clicks: DataFrame, gap_seconds: int = SESSION_IDLE_GAP_SECONDS) -> DataFrame:
+    """T7 + W2: per event, 1 when it opens a new session, else 0.
+
+    Only the first event of a time bucket (width = the gap) can open a
+    session, and it does when the previous bucket's last event is more than
+    the gap before it. Both facts come from one partial aggregate per
+    ``(key, bucket)`` -- ``min``/``max`` seconds and the ``min`` of the order
+    tuple -- and a small scan over buckets; the events just join it.
+    Events without a raw session are their own key (always 1)."""
+    from pyspark.sql import Window
+
+    base = (
+        click_events_base(bronze_clicks)
+        .withColumn("_key", F.coalesce(F.col("session_id"), F.col("event_id")))
+        .withColumn("_s", whole_seconds("event_ts"))
+        .withColumn("_bucket", F.floor(F.col("_s") / F.lit(gap_seconds)).cast("bigint"))
+        .withColumn("_order", F.struct(*[F.col(c) for c in EVENT_ORDER]))
+    )
+    bucket_w = Window.partitionBy("_key").orderBy("_bucket")
+    prev_last = F.lag("_last").over(bucket_w)
+    summary = (
+        base.filter(F.col("_s").isNotNull())
+        .groupBy("_key", "_bucket")
+        .agg(F.min("_s").alias("_start"), F.max("_s").alias("_last"), F.min("_order").alias("_first"))
+        .withColumn("_opens", prev_last.isNull() | (F.col("_start") - prev_last > gap_seconds))
+        .select("_key", "_bucket", "_first", "_opens")
+    )
+    flag = (F.when(F.col("_s").isNull(), F.lit(1))
+            .when(F.col("_order").eqNullSafe(F.col("_first")) & F.col("_opens"), F.lit(1))
+            .otherwise(F.lit(0)))
+    return base.join(summary, ["_key", "_bucket"], "left").select(
+        "event_id", flag.alias("new_session_flag"))
 
 
 def sessions(silver_events: DataFrame) -> DataFrame:

@@ -111,7 +111,10 @@ class Lakehouse:
         """``insertInto`` is positional and the catalog lists partition
         columns last: select by name in the catalog's order, typed."""
         target = self.spark.table(self.name(logical)).schema
-        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.fields])
+        out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.fields])
+        parts = schemas.TABLES[logical].partition_by
+        # Few files per written partition; AQE sizes the write tasks.
+        return out.hint("rebalance", *parts) if parts else out
 
     def recover_partitions(self, logical: str) -> None:
         """Register partitions written straight to the table folder."""

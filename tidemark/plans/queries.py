@@ -254,6 +254,53 @@ def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clicks.recent_events(Layers(spark, sf_dir).bronze_clicks)
 
 
+# -- remaining survey keys ---------------------------------------------------
+
+def bronze_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: Kafka-shaped records (binary key/value) -> envelope text columns."""
+    from tidemark.sources.kafka import decode_envelope
+    env = Layers(spark, sf_dir).click_envelopes
+    records = env.select(
+        "topic", F.col("partition_id").alias("partition"), F.col("offset_value").alias("offset"),
+        F.col("key_json").cast("binary").alias("key"), F.col("value_json").cast("binary").alias("value"))
+    decoded = decode_envelope(records)
+    return decoded.select("topic", "partition_id", "offset_value", "key_json",
+                          F.get_json_object("value_json", "$.event_id").alias("event_id"))
+
+
+def event_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bronze date of every valid CDC and click record."""
+    L = Layers(spark, sf_dir)
+    cols = ["topic", "partition_id", "offset_value", "dt"]
+    return L.bronze_cdc.select(*cols).unionByName(L.bronze_clicks.select(*cols))
+
+
+def session_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.session_flags(Layers(spark, sf_dir).bronze_clicks)
+
+
+def cdc_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edge(cdc.latest_changes(Layers(spark, sf_dir).bronze_cdc))
+
+
+def refresh_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C12/C13 after a full refresh: refresh + ANALYZE each gold table, then
+    report the row count the statistics recorded."""
+    from tidemark.plans.catalog import GOLD_TABLES
+    lh = _refreshed(spark, sf_dir, "refresh")
+    status = lh.refresh(GOLD_TABLES)
+    stats = []
+    for logical in GOLD_TABLES:
+        desc = spark.sql(f"DESCRIBE TABLE EXTENDED {lh.name(logical)}").filter(F.col("col_name") == "Statistics")
+        stats.append(desc.select(F.lit(lh.name(logical)).alias("table"), F.regexp_extract(
+            "data_type", r"([0-9]+) rows", 1).cast("bigint").alias("rows")))
+    rows = stats[0]
+    for d in stats[1:]:
+        rows = rows.unionByName(d)
+    return status.join(rows, "table").select(
+        F.regexp_replace("table", r"^tm[0-9a-f]+_", "").alias("table"), "refresh", "analyze", "rows")
+
+
 def registry() -> dict[str, Query]:
     return {
         "click_parse": click_parse,
@@ -299,4 +346,9 @@ def registry() -> dict[str, Query]:
         "page_dwell": page_dwell,
         "income_spend": income_spend,
         "recent_events": recent_events,
+        "bronze_envelope": bronze_envelope,
+        "event_date": event_date,
+        "session_flags": session_flags,
+        "cdc_latest": cdc_latest,
+        "refresh_gold": refresh_gold,
     }

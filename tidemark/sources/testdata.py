@@ -50,6 +50,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cluster when it has fewer splits than cores.
+
+    A broker topic arrives in many partitions; a test table is one parquet
+    file with one row group, i.e. one split, so the JSON work after it would
+    run in a single task. Only then is a round-robin repartition added; a
+    large input already has far more splits than cores and is left as is."""
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    except Exception:  # pragma: no cover - Spark Connect has no RDD API
+        pass
+    return df
+
+
 def _case(col: Column, mapping: dict[str, str]) -> Column:
     out = None
     for key, value in mapping.items():
@@ -221,8 +237,8 @@ def transaction_envelopes(orders: DataFrame, customer: DataFrame) -> DataFrame:
 
 def cdc_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All CDC records of the three tables as one envelope DataFrame."""
-    customer = read_table(spark, sf_dir, "customer")
-    orders = read_table(spark, sf_dir, "orders")
+    customer = spread(read_table(spark, sf_dir, "customer"))
+    orders = spread(read_table(spark, sf_dir, "orders"))
     return (
         user_envelopes(customer)
         .unionByName(account_envelopes(customer))
@@ -231,4 +247,4 @@ def cdc_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def click_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clickstream_envelopes(read_table(spark, sf_dir, "events"))
+    return clickstream_envelopes(spread(read_table(spark, sf_dir, "events")))

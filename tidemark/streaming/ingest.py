@@ -51,8 +51,11 @@ def overwrite_batch(lakehouse: Lakehouse, logical: str, df: DataFrame, batch_id:
     spec = schemas.TABLES[logical]
     view = f"_tm_batch_{uuid.uuid4().hex}"
     data_cols = [f for f in spec.schema.fields if f.name not in schemas.BRONZE_PARTITIONS]
+    # REBALANCE(dt): cluster rows by day so each day is written by few tasks
+    # (few files per partition), while AQE splits a large day into
+    # advisory-sized chunks and merges small ones.
     df.select(*[F.col(f.name).cast(f.dataType) for f in data_cols],
-              F.col("dt").cast("date")).createOrReplaceTempView(view)
+              F.col("dt").cast("date")).hint("rebalance", "dt").createOrReplaceTempView(view)
     cols = ", ".join(f"`{f.name}`" for f in data_cols)
     try:
         with _overwrite_mode(spark, "static"):
