@@ -32,12 +32,14 @@ def _ingest_ts(ingest_ts: Column | None) -> Column:
 
 def annotate_cdc(envelope: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
     """Envelope -> envelope + op, source_table, event_ts (from ts_ms), ingest_ts."""
-    head = F.from_json("value_json", CDC_HEADER)
-    return envelope.select(
+    # The parsed struct gets its own projection: extracting fields straight
+    # from ``from_json`` lets the optimizer split it into one parse per field.
+    parsed = envelope.select("*", F.from_json("value_json", CDC_HEADER).alias("_h"))
+    return parsed.select(
         "topic", "partition_id", "offset_value", "key_json", "value_json",
-        head["op"].alias("op"),
-        head["source"]["table"].alias("source_table"),
-        epoch_millis_to_timestamp(head["ts_ms"]).alias("event_ts"),
+        F.col("_h.op").alias("op"),
+        F.col("_h.source.table").alias("source_table"),
+        epoch_millis_to_timestamp(F.col("_h.ts_ms")).alias("event_ts"),
         _ingest_ts(ingest_ts).alias("ingest_ts"),
     )
 
@@ -66,19 +68,20 @@ def split_cdc(annotated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def annotate_clicks(envelope: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
     """Envelope -> typed click columns (P2, P4, T2), parsed once per row."""
-    ev = F.from_json("value_json", CLICK_FIELDS)
-    return envelope.select(
+    parsed = envelope.select("*", F.from_json("value_json", CLICK_FIELDS).alias("_e"))
+    ev = lambda f: F.col(f"_e.{f}")
+    return parsed.select(
         "topic", "partition_id", "offset_value", "value_json",
-        ev["event_id"].alias("event_id"),
-        ev["session_id"].alias("session_id"),
-        ev["user_id"].alias("user_id"),
-        ev["event_type"].alias("event_type"),
-        ev["page"].alias("page"),
-        ev["element_id"].alias("element_id"),
-        to_integer(ev["x"], "int").alias("x"),
-        to_integer(ev["y"], "int").alias("y"),
-        to_integer(ev["dwell_ms"], "bigint").alias("dwell_ms"),
-        parse_iso_timestamp(ev["ts"]).alias("event_ts"),
+        ev("event_id").alias("event_id"),
+        ev("session_id").alias("session_id"),
+        ev("user_id").alias("user_id"),
+        ev("event_type").alias("event_type"),
+        ev("page").alias("page"),
+        ev("element_id").alias("element_id"),
+        to_integer(ev("x"), "int").alias("x"),
+        to_integer(ev("y"), "int").alias("y"),
+        to_integer(ev("dwell_ms"), "bigint").alias("dwell_ms"),
+        parse_iso_timestamp(ev("ts")).alias("event_ts"),
         _ingest_ts(ingest_ts).alias("ingest_ts"),
     )
 

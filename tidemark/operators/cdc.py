@@ -42,15 +42,16 @@ def cdc_changes(bronze: DataFrame, table: str, include_deletes: bool = False) ->
     fields = AFTER_FIELDS[table]
     schema = "after struct<" + ", ".join(f"{f} string" for f in fields) + ">"
     ops = UPSERT_OPS + ((DELETE_OP,) if include_deletes else ())
-    after = F.from_json("value_json", schema)["after"]
-    key = after["id"]
+    rows = bronze.filter((F.col("source_table") == table) & F.col("op").isin(*ops))
+    # Own projection for the parse (one parse per row, not one per field).
+    parsed = rows.select("*", F.from_json("value_json", schema)["after"].alias("_a"))
+    key = F.col("_a.id")
     if include_deletes:
         key = F.coalesce(key, F.get_json_object("key_json", "$.id"))
     return (
-        bronze.filter((F.col("source_table") == table) & F.col("op").isin(*ops))
-        .select(
+        parsed.select(
             key.alias("key"), "op",
-            *[after[f].alias(f"a_{f}") for f in fields],
+            *[F.col(f"_a.{f}").alias(f"a_{f}") for f in fields],
             "event_ts", "partition_id", "offset_value", F.col("dt").alias("bronze_dt"),
         )
         .filter(F.col("key").isNotNull())

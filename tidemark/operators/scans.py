@@ -81,6 +81,7 @@ def window_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
 def bucketed_session_numbers(
     df: DataFrame, key: str, order: Sequence[Column | str], seconds: Column,
     gap_seconds: int, out: str, bucket_seconds: int | None = None,
+    null_rows: Column | None = None,
 ) -> DataFrame:
     """Idle-gap session number per row (1, 2, ...) within ``key``.
 
@@ -96,13 +97,16 @@ def bucketed_session_numbers(
     over buckets numbers them. The rows themselves are shuffled once, for the
     join with that summary; no window runs over the rows of a key. Rows with
     NULL ``seconds`` (each one opens a session, and they sort first) are
-    numbered in a side branch.
+    numbered in a side branch. ``null_rows`` -- true exactly when
+    ``seconds`` is NULL -- may be given on plain input columns so that the
+    split reaches the file scan (row groups without NULLs are skipped).
     """
     width = max(1, min(bucket_seconds or gap_seconds, gap_seconds + 1))
     timed = df.withColumn("_s", seconds).withColumn(
         "_bucket", F.floor(F.col("_s") / F.lit(width)).cast("bigint"))
-    known = timed.filter(F.col("_s").isNotNull())
-    unknown = timed.filter(F.col("_s").isNull())
+    is_null = null_rows if null_rows is not None else F.col("_s").isNull()
+    known = timed.filter(~is_null)
+    unknown = timed.filter(is_null)
 
     bucket_w = Window.partitionBy(key).orderBy("_bucket")
     prev_last = F.lag("_last").over(bucket_w)

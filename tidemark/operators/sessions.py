@@ -38,9 +38,15 @@ def click_events_base(bronze_clicks: DataFrame) -> DataFrame:
         "event_type", "page", "element_id", "x", "y", "dwell_ms",
         F.coalesce("event_ts", "ingest_ts").alias("event_ts"),
         F.coalesce(utc_date("event_ts"), F.col("dt")).alias("dt"),
+        # Plain copies of the stored times: predicates on them reach the scan.
+        F.col("event_ts").alias("_raw_ts"), F.col("ingest_ts").alias("_raw_ingest"),
     )
 
 
+def _no_time() -> Column:
+    return F.col("_raw_ts").isNull() & F.col("_raw_ingest").isNull()
+
+
 def sessionize(
     bronze_clicks: DataFrame,
     gap_seconds: int = SESSION_IDLE_GAP_SECONDS,
@@ -58,7 +64,7 @@ def sessionize(
     if method == "bucketed":
         numbered = bucketed_session_numbers(
             base, "_key", order, whole_seconds("event_ts"), gap_seconds, "_n",
-            bucket_seconds=bucket_seconds)
+            bucket_seconds=bucket_seconds, null_rows=_no_time())
     elif method == "window":
         numbered = window_session_numbers(
             base, "_key", order, whole_seconds("event_ts"), gap_seconds, "_n")

@@ -43,6 +43,9 @@ class TableSpec:
 # Bronze rows are keyed by the writing ingest (a stable id of its checkpoint)
 # and its micro-batch, so a retried batch replaces exactly its own rows.
 BRONZE_PARTITIONS = ("ingest_id", "batch_id", "dt")
+# The CDC table is also split by source table: each silver build reads only
+# its own table's folders (partition pruning) instead of all change rows.
+STATIC_BRONZE_PARTITIONS = ("ingest_id", "batch_id")
 
 SESSION_FIELDS = (
     ("session_id", S), ("raw_session_id", S), ("user_id", S),
@@ -55,8 +58,9 @@ TABLES: dict[str, TableSpec] = {
     for spec in [
         TableSpec("bronze", "pg_cdc_raw", _schema(
             ("topic", S), ("partition_id", I), ("offset_value", L), ("key_json", S),
-            ("value_json", S), ("op", S), ("source_table", S), ("event_ts", TS),
-            ("ingest_ts", TS), ("ingest_id", S), ("batch_id", L), ("dt", DT)), BRONZE_PARTITIONS),
+            ("value_json", S), ("op", S), ("event_ts", TS), ("ingest_ts", TS),
+            ("ingest_id", S), ("batch_id", L), ("source_table", S), ("dt", DT)),
+            ("ingest_id", "batch_id", "source_table", "dt")),
         TableSpec("bronze", "dlq_pg_cdc", _schema(
             ("topic", S), ("partition_id", I), ("offset_value", L), ("key_json", S),
             ("raw_value", S), ("error", S), ("ingest_ts", TS), ("ingest_id", S), ("batch_id", L),

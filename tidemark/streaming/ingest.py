@@ -50,19 +50,22 @@ def overwrite_batch(lakehouse: Lakehouse, logical: str, df: DataFrame, batch_id:
     spark = df.sparkSession
     spec = schemas.TABLES[logical]
     view = f"_tm_batch_{uuid.uuid4().hex}"
-    data_cols = [f for f in spec.schema.fields if f.name not in schemas.BRONZE_PARTITIONS]
+    dynamic = [c for c in spec.partition_by if c not in schemas.STATIC_BRONZE_PARTITIONS]
+    data_cols = [f for f in spec.schema.fields if f.name not in spec.partition_by]
+    part_types = {f.name: f.dataType for f in spec.schema.fields}
     # REBALANCE(dt): cluster rows by day so each day is written by few tasks
     # (few files per partition), while AQE splits a large day into
     # advisory-sized chunks and merges small ones.
     df.select(*[F.col(f.name).cast(f.dataType) for f in data_cols],
-              F.col("dt").cast("date")).hint("rebalance", "dt").createOrReplaceTempView(view)
-    cols = ", ".join(f"`{f.name}`" for f in data_cols)
+              *[F.col(c).cast(part_types[c]) for c in dynamic]
+              ).hint("rebalance", *dynamic).createOrReplaceTempView(view)
+    cols = ", ".join(f"`{c}`" for c in [f.name for f in data_cols] + dynamic)
     try:
         with _overwrite_mode(spark, "static"):
             spark.sql(
                 f"INSERT OVERWRITE TABLE {lakehouse.name(logical)} "
-                f"PARTITION (ingest_id = '{ingest_id}', batch_id = {int(batch_id)}, dt) "
-                f"SELECT {cols}, dt FROM {view}")
+                f"PARTITION (ingest_id = '{ingest_id}', batch_id = {int(batch_id)}, "
+                f"{', '.join(dynamic)}) SELECT {cols} FROM {view}")
     finally:
         spark.catalog.dropTempView(view)
 
