@@ -57,3 +57,30 @@ def test_full_refresh_and_checks(utc):
     assert lh.preview("gold.sessions", 5).count() == 5
     nonempty = lh.check_nonempty(["silver.users"]).first()
     assert nonempty.nonempty is True
+
+
+def test_incremental_refresh_rewrites_only_recent_days(utc):
+    lh = ingest.fresh_lakehouse(utc, "t-incr")
+    refresh.load_bronze_batch(lh, testdata.cdc_envelopes(utc, SF_SMALL), testdata.click_envelopes(utc, SF_SMALL))
+    refresh.refresh_all(lh)
+    before = {(r.dt, r.user_id): r for r in lh.table("gold.user_engagement_daily").collect()}
+    refresh.refresh_all(lh, since=date(2024, 1, 20))
+    after = {(r.dt, r.user_id): r for r in lh.table("gold.user_engagement_daily").collect()}
+    assert before == after
+
+
+def test_cli_init_and_check(utc, tmp_path):
+    from tidemark import cli
+    root = str(tmp_path / "lake")
+    assert cli.main(["--root", root, "--prefix", "cli_", "init"]) == 0
+    assert cli.main(["--root", root, "--prefix", "cli_", "check"]) == 0
+    assert cli.main(["--root", root, "--prefix", "cli_", "check", "--nonempty"]) == 1
+
+
+def test_file_envelope_ingest_via_cli(utc, tmp_path):
+    from tidemark import cli
+    src = tmp_path / "env"
+    testdata.click_envelopes(utc, SF_SMALL).write.json(str(src))
+    root = str(tmp_path / "lake")
+    assert cli.main(["--root", root, "--prefix", "clif_", "ingest", "clicks", "--files", str(src)]) == 0
+    assert utc.table("clif_bronze.clickstream_raw").count() == 1000
