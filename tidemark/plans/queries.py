@@ -301,6 +301,26 @@ def refresh_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_replace("table", r"^tm[0-9a-f]+_", "").alias("table"), "refresh", "analyze", "rows")
 
 
+def ledger_replay_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V11 as a stream: current transactions are written to a folder, read
+    back as a file stream, replayed with per-account state, and the sink
+    table is returned."""
+    from tidemark.session import shared_path
+    from tidemark.streaming import ledger as stream_ledger
+    L = Layers(spark, sf_dir)
+    folder = shared_path(spark, "runs", "ledger-stream", unique=True)
+    tx = L.transactions.select("transaction_id", "account_id", "occurred_at", "direction", "amount")
+    tx.write.parquet(f"{folder}/in")
+    stream_ledger.use_rocksdb_state(spark)
+    source = spark.readStream.schema(tx.schema).parquet(f"{folder}/in")
+    query = (stream_ledger.ledger_replay_stream(source, L.accounts).writeStream
+             .format("parquet").option("path", f"{folder}/out")
+             .option("checkpointLocation", f"{folder}/checkpoint")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return edge(spark.read.parquet(f"{folder}/out"))
+
+
 def registry() -> dict[str, Query]:
     return {
         "click_parse": click_parse,
@@ -351,4 +371,5 @@ def registry() -> dict[str, Query]:
         "session_flags": session_flags,
         "cdc_latest": cdc_latest,
         "refresh_gold": refresh_gold,
+        "ledger_replay_stream": ledger_replay_stream,
     }
