@@ -86,17 +86,18 @@ def ledger_running_balance(transactions: DataFrame, accounts: DataFrame,
     """``balance_after`` = opening + running signed sum in ledger order.
 
     The scan is per (account, day) with a per-account stitch, so a hot
-    account is spread over its days; the opening balance joins on the
-    account (AQE splits a skewed join partition)."""
+    account is spread over its days. The opening balance enters through the
+    small per-(account, day) summary, so the transaction rows take part in
+    one join only."""
     tx = transactions.filter(F.col("account_id").isNotNull()).select(
         "transaction_id", "account_id", "occurred_at", signed_amount().alias("_signed"))
     order = [F.col("occurred_at").asc_nulls_first(), F.col("transaction_id").asc_nulls_first()]
+    opening = accounts.select("account_id", F.col("opening_balance").alias("_init"))
     scanned = bucketed_running(tx, ["account_id"], order, F.unix_timestamp("occurred_at"),
-                               F.col("_signed"), "_running", "sum", bucket_seconds)
-    opening = accounts.select("account_id", F.coalesce("opening_balance", F.lit(0)).alias("_open"))
-    return scanned.join(opening, "account_id", "left").select(
+                               F.col("_signed"), "_running", "sum", bucket_seconds, initial=opening)
+    return scanned.select(
         "transaction_id", "account_id", "occurred_at",
-        (F.coalesce("_open", F.lit(0)) + F.coalesce("_running", F.lit(0))).cast(MONEY).alias("balance_after"),
+        F.coalesce("_running", F.lit(0)).cast(MONEY).alias("balance_after"),
     )
 
 
@@ -119,19 +120,26 @@ def _replay_fold():
     from decimal import Decimal
 
     def fold(batches):
+        # Rows arrive sorted by (account, kind, occurred_at, transaction_id);
+        # kind 0 is the account's opening balance, kind 1 a transaction.
         account, balance = None, Decimal(0)
         for pdf in batches:
-            accepted, after = [], []
-            for acc, opening, signed in zip(pdf["account_id"], pdf["_open"], pdf["signed"]):
+            keep, accepted, after = [], [], []
+            for acc, kind, signed in zip(pdf["account_id"], pdf["_kind"], pdf["signed"]):
                 if acc != account:
-                    account = acc
-                    balance = Decimal(0) if opening is None or pd.isna(opening) else Decimal(opening)
+                    account, balance = acc, Decimal(0)
+                if kind == 0:
+                    if signed is not None and not pd.isna(signed):
+                        balance = Decimal(signed)
+                    keep.append(False)
+                    continue
                 ok = signed is not None and not pd.isna(signed) and balance + signed >= 0
                 if ok:
                     balance = balance + signed
+                keep.append(True)
                 accepted.append(bool(ok))
                 after.append(balance)
-            out = pdf[["transaction_id", "account_id", "occurred_at", "signed"]].copy()
+            out = pdf.loc[keep, ["transaction_id", "account_id", "occurred_at", "signed"]].copy()
             out["accepted"] = accepted
             out["balance_after"] = after
             yield out
@@ -144,13 +152,19 @@ def ledger_replay(transactions: DataFrame, accounts: DataFrame,
     """Replay every account's ledger rejecting overdrafts (V11): a row is
     accepted when ``balance + signed >= 0``; a rejected row leaves the
     balance unchanged. NULL amounts are rejected."""
-    opening = accounts.select("account_id", F.col("opening_balance").alias("_open"))
+    # Opening balances travel as marker rows (kind 0) sorted before the
+    # account's transactions: one shuffle by account, no join.
+    opening = accounts.filter(F.col("account_id").isNotNull()).select(
+        F.lit(None).cast("string").alias("transaction_id"), "account_id",
+        F.lit(None).cast("timestamp").alias("occurred_at"),
+        F.col("opening_balance").cast(MONEY).alias("signed"), F.lit(0).alias("_kind"))
     tx = transactions.filter(F.col("account_id").isNotNull()).select(
-        "transaction_id", "account_id", "occurred_at", signed_amount().cast(MONEY).alias("signed"))
-    rows = tx.join(opening, "account_id", "left")
+        "transaction_id", "account_id", "occurred_at", signed_amount().cast(MONEY).alias("signed"),
+        F.lit(1).alias("_kind"))
     parts = [num_partitions] if num_partitions else []
-    ordered = rows.repartition(*parts, "account_id").sortWithinPartitions(
-        "account_id", F.col("occurred_at").asc_nulls_first(), F.col("transaction_id").asc_nulls_first())
+    ordered = opening.unionByName(tx).repartition(*parts, "account_id").sortWithinPartitions(
+        "account_id", "_kind", F.col("occurred_at").asc_nulls_first(),
+        F.col("transaction_id").asc_nulls_first())
     return ordered.mapInPandas(_replay_fold(), REPLAY_SCHEMA)
 
 

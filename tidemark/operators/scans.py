@@ -34,13 +34,16 @@ def time_bucket(seconds: Column, bucket_seconds: int) -> Column:
 def bucketed_running(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], seconds: Column,
     value: Column, out: str, how: str = "sum", bucket_seconds: int = 86_400,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """``out`` = running ``sum`` or ``max`` of ``value`` over the rows of the
     same key up to the current one in ``order`` (ROWS UNBOUNDED PRECEDING ..
     CURRENT ROW), computed per time bucket and stitched by a small scan.
 
     ``seconds`` must be non-decreasing along ``order`` within a key (it is
-    the leading ordering column in epoch seconds)."""
+    the leading ordering column in epoch seconds). ``initial`` (``keys`` +
+    ``_init``) adds a starting value per key (``sum`` only); it is joined to
+    the small bucket summary, never to the rows."""
     if how not in ("sum", "max"):
         raise ValueError(f"unsupported running aggregate {how!r}")
     agg = F.sum if how == "sum" else F.max
@@ -58,6 +61,13 @@ def bucketed_running(
         .withColumn("_before", agg("_bucket_total").over(before_w))
         .select(*keys, "_bucket", "_before")
     )
+    if initial is not None:
+        if how != "sum":
+            raise ValueError("initial values apply to running sums")
+        summary = summary.join(initial.select(*keys, "_init"), keys, "left").select(
+            *keys, "_bucket",
+            F.when(F.col("_init").isNull(), F.col("_before"))
+            .otherwise(F.col("_init") + F.coalesce(F.col("_before"), F.lit(0))).alias("_before"))
     # Left join: every row has its bucket's summary row, and the summary is
     # distinct on the join keys, so Catalyst can drop the join when no
     # caller reads the result column.
