@@ -84,3 +84,16 @@ def test_file_envelope_ingest_via_cli(utc, tmp_path):
     root = str(tmp_path / "lake")
     assert cli.main(["--root", root, "--prefix", "clif_", "ingest", "clicks", "--files", str(src)]) == 0
     assert utc.table("clif_bronze.clickstream_raw").count() == 1000
+
+
+def test_use_namespace_and_append(utc):
+    lh = ingest.fresh_lakehouse(utc, "t-use")
+    lh.init(["silver.users"])
+    users = Layers(utc, SF_SMALL).users
+    lh.append("silver.users", users)
+    lh.append("silver.users", users)
+    lh.use("silver")
+    try:
+        assert utc.table("users").count() == 300
+    finally:
+        utc.catalog.setCurrentDatabase("default")

@@ -84,6 +84,10 @@ class Lakehouse:
         self.spark.catalog.refreshTable(name)
         return self.spark.table(name)
 
+    def use(self, namespace: str) -> None:
+        """Make a namespace current, so tables resolve by bare name (C11)."""
+        self.spark.catalog.setCurrentDatabase(f"{self.prefix}{namespace}")
+
     def preview(self, logical: str, n: int = 10, order_by: Iterable[str] | None = None) -> DataFrame:
         """``LIMIT n`` preview (L2); ordered so that the answer is stable."""
         df = self.table(logical)
