@@ -97,3 +97,18 @@ def test_use_namespace_and_append(utc):
         assert utc.table("users").count() == 300
     finally:
         utc.catalog.setCurrentDatabase("default")
+
+
+def test_parallel_refresh_equals_serial(utc):
+    serial = ingest.fresh_lakehouse(utc, "t-serial")
+    par = ingest.fresh_lakehouse(utc, "t-par")
+    for lh in (serial, par):
+        refresh.load_bronze_batch(lh, testdata.cdc_envelopes(utc, SF_SMALL), testdata.click_envelopes(utc, SF_SMALL))
+    refresh.refresh_all(serial)
+    refresh.refresh_all(par, parallel=4)
+    for logical in schemas.TABLES:
+        if logical.startswith("bronze."):
+            continue
+        cols = [c for c in serial.table(logical).columns if c != "updated_at"]
+        a, b = serial.table(logical).select(*cols), par.table(logical).select(*cols)
+        assert a.count() == b.count() and a.exceptAll(b).count() == 0, logical

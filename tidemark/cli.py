@@ -3,7 +3,7 @@
     python -m tidemark.cli init
     python -m tidemark.cli ingest cdc    --kafka HOST:PORT   (or --files DIR --format json)
     python -m tidemark.cli ingest clicks --kafka HOST:PORT [--topic clickstream.events]
-    python -m tidemark.cli refresh [--mode dynamic|full] [--since YYYY-MM-DD] [--apply-deletes]
+    python -m tidemark.cli refresh [--mode dynamic|full] [--since YYYY-MM-DD] [--apply-deletes] [--parallel N]
     python -m tidemark.cli check [--nonempty]
 
 Tables live under ``--root`` or, by default, under the session's
@@ -37,6 +37,7 @@ def main(argv: list[str] | None = None) -> int:
     ref.add_argument("--mode", choices=["dynamic", "full"], default="dynamic")
     ref.add_argument("--since", type=dt.date.fromisoformat)
     ref.add_argument("--apply-deletes", action="store_true")
+    ref.add_argument("--parallel", type=int, default=1, help="concurrent builds per dependency level")
     chk = sub.add_parser("check")
     chk.add_argument("--nonempty", action="store_true")
     args = parser.parse_args(argv)
@@ -69,7 +70,7 @@ def main(argv: list[str] | None = None) -> int:
             return 1
     elif args.cmd == "refresh":
         refresh.refresh_all(lh, mode=args.mode, since=args.since, apply_deletes=args.apply_deletes,
-                            on_build=lambda t, s: print(f"{t}: {s:.1f}s"))
+                            parallel=args.parallel, on_build=lambda t, s: print(f"{t}: {s:.1f}s"))
     elif args.cmd == "check":
         result = lh.check_nonempty(REQUIRED_NONEMPTY) if args.nonempty else lh.check_tables()
         rows = result.collect()  # one row per table: bounded by the registry

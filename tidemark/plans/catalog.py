@@ -34,6 +34,12 @@ def _overwrite_mode(spark: SparkSession, mode: str) -> Iterator[None]:
             spark.conf.set(OVERWRITE_CONF, old)
 
 
+def overwrite_mode(spark: SparkSession, mode: str):
+    """Context: the session's partition overwrite mode for ``dynamic`` or
+    ``full`` table rebuilds."""
+    return _overwrite_mode(spark, "dynamic" if mode == "dynamic" else "static")
+
+
 def _ddl_type(dt) -> str:
     return dt.simpleString()
 
@@ -95,17 +101,23 @@ class Lakehouse:
         return df.orderBy(*[F.col(c).asc_nulls_first() for c in keys]).limit(n)
 
     # -- writes (C5, C6) ------------------------------------------------
-    def overwrite(self, logical: str, df: DataFrame, mode: str = "dynamic") -> None:
+    def overwrite(self, logical: str, df: DataFrame, mode: str = "dynamic",
+                  set_mode: bool = True) -> None:
         """Rebuild a table from ``df`` (columns matched by name).
 
         ``dynamic``: replace only the partitions present in ``df`` (the
         reference behaviour, S13: a partition that emptied keeps stale rows).
-        ``full``: replace the whole table.
+        ``full``: replace the whole table. With ``set_mode=False`` the caller
+        has already set the session's overwrite mode (``overwrite_mode``) for
+        a group of concurrent writes.
         """
         if mode not in ("dynamic", "full"):
             raise ValueError(f"unknown overwrite mode {mode!r}")
         out = self._aligned(logical, df)
-        with _overwrite_mode(self.spark, "dynamic" if mode == "dynamic" else "static"):
+        if not set_mode:
+            out.write.insertInto(self.name(logical), overwrite=True)
+            return
+        with overwrite_mode(self.spark, mode):
             out.write.insertInto(self.name(logical), overwrite=True)
 
     def append(self, logical: str, df: DataFrame) -> None:
