@@ -67,3 +67,19 @@ def test_page_dwell_and_recent_events(utc):
     assert got == {"e-1": None, "e-3": 3500}
     recent = clicks.recent_events(df).filter(F.col("session_id") == "session-1").orderBy("rank").collect()
     assert [r.event_id for r in recent] == [f"e-{i}" for i in range(19, 11, -1)]
+
+
+def test_strict_split_dead_letters_contract_breaks(utc):
+    env = utc.createDataFrame([
+        ("clickstream.events", 0, 1, None, json.dumps({"event_id": "a", "session_id": "s", "event_type": "click",
+                                                       "page": "/p", "ts": "2026-05-22T12:00:00Z"})),
+        ("clickstream.events", 0, 2, None, json.dumps({"event_id": "b", "session_id": "s", "event_type": "hover",
+                                                       "page": "/p", "dwell_ms": -5, "ts": "2026-05-22T12:00:00Z"})),
+        ("clickstream.events", 0, 3, None, json.dumps({"session_id": "s"})),
+    ], "topic string, partition_id int, offset_value bigint, key_json string, value_json string")
+    lax_valid, lax_dlq = B.split_clicks(B.annotate_clicks(env))
+    assert lax_valid.count() == 2 and lax_dlq.count() == 1
+    valid, dlq = B.split_clicks(B.annotate_clicks(env), strict=True)
+    assert [r.offset_value for r in valid.collect()] == [1]
+    assert {r.offset_value: r.error for r in dlq.collect()} == {
+        2: "contract:event_type,dwell_ms", 3: "missing_event_id"}

@@ -33,6 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     ing.add_argument("--format", default="json")
     ing.add_argument("--checkpoint")
     ing.add_argument("--timeout", type=float, default=None, help="seconds to wait before stopping")
+    ing.add_argument("--strict", action="store_true", help="dead-letter events that break the contract")
     ref = sub.add_parser("refresh")
     ref.add_argument("--mode", choices=["dynamic", "full"], default="dynamic")
     ref.add_argument("--since", type=dt.date.fromisoformat)
@@ -64,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
                                                  with_key=False).withColumn("key_json", F.lit(None).cast("string"))
         else:
             parser.error("give --kafka or --files")
-        query = ingest.start_bronze_ingest(source, args.kind, lh, args.checkpoint)
+        query = ingest.start_bronze_ingest(source, args.kind, lh, args.checkpoint, strict=args.strict)
         if not ingest.run_to_completion(query, args.timeout):
             print("ingest stopped at the timeout", file=sys.stderr)
             return 1

@@ -97,16 +97,29 @@ CLICK_BRONZE_COLUMNS = (
 )
 
 
-def split_clicks(annotated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    valid = annotated.filter(clicks_is_valid()).select(
+def split_clicks(annotated: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(valid bronze rows, dead-letter rows). ``strict`` also routes events
+    that break the record contract (V1) to the dead letters, with the broken
+    rules as the error (``contract:event_type,dwell_ms``)."""
+    if strict:
+        from tidemark.operators.quality import event_reasons
+        annotated = annotated.withColumn("_reasons", event_reasons())
+        ok = clicks_is_valid() & (F.col("_reasons") == "")
+        error = (F.when(F.col("value_json").isNull(), F.lit(ERR_NULL_VALUE))
+                 .when(F.col("event_id").isNull(), F.lit(ERR_MISSING_EVENT_ID))
+                 .otherwise(F.concat(F.lit("contract:"), F.col("_reasons"))))
+    else:
+        ok = clicks_is_valid()
+        error = (F.when(F.col("value_json").isNull(), F.lit(ERR_NULL_VALUE))
+                 .otherwise(F.lit(ERR_MISSING_EVENT_ID)))
+    valid = annotated.filter(ok).select(
         *CLICK_BRONZE_COLUMNS,
         utc_date(F.coalesce("event_ts", "ingest_ts")).alias("dt"),
     )
-    dlq = annotated.filter(~clicks_is_valid()).select(
+    dlq = annotated.filter(~ok).select(
         "topic", "partition_id", "offset_value",
         F.col("value_json").alias("raw_value"),
-        F.when(F.col("value_json").isNull(), F.lit(ERR_NULL_VALUE))
-        .otherwise(F.lit(ERR_MISSING_EVENT_ID)).alias("error"),
+        error.alias("error"),
         "ingest_ts",
         utc_date("ingest_ts").alias("dt"),
     )

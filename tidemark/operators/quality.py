@@ -31,9 +31,13 @@ def _reasons(*rules: tuple[str, Column]) -> Column:
         *[F.when(broken, F.lit(name)) for name, broken in rules])))
 
 
-def event_violations(events: DataFrame) -> DataFrame:
-    """V1 on typed events (bronze clickstream columns)."""
-    rules = (
+def event_reasons() -> Column:
+    """V1 as one column over typed event columns: broken rule names, '' if ok."""
+    return _reasons(*_event_rules())
+
+
+def _event_rules() -> tuple[tuple[str, Column], ...]:
+    return (
         ("event_id", ~_length_between(F.col("event_id"), 1, MAX_EVENT_ID)),
         ("session_id", ~_length_between(F.col("session_id"), 1, MAX_SESSION_ID)),
         ("user_id", F.col("user_id").isNotNull() & ~F.col("user_id").rlike(UUID_REGEX)),
@@ -43,7 +47,11 @@ def event_violations(events: DataFrame) -> DataFrame:
         ("dwell_ms", F.coalesce(F.col("dwell_ms") < 0, F.lit(False))),
         ("ts", F.col("event_ts").isNull()),
     )
-    reasons = _reasons(*rules)
+
+
+def event_violations(events: DataFrame) -> DataFrame:
+    """V1 on typed events (bronze clickstream columns)."""
+    reasons = event_reasons()
     return events.select("event_id", "offset_value", reasons.alias("reasons"),
                          (reasons == "").alias("valid"))
 

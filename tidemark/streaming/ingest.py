@@ -16,6 +16,7 @@ the shared root.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Callable
@@ -70,10 +71,15 @@ def overwrite_batch(lakehouse: Lakehouse, logical: str, df: DataFrame, batch_id:
         spark.catalog.dropTempView(view)
 
 
-def batch_writer(lakehouse: Lakehouse, kind: str,
-                 ingest_id: str = "batch") -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` function for one ingest kind."""
+def batch_writer(lakehouse: Lakehouse, kind: str, ingest_id: str = "batch",
+                 strict: bool = False) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function for one ingest kind.
+    ``strict`` (clicks) also dead-letters events that break the contract."""
     annotate, split, valid_table, dlq_table = KINDS[kind]
+    if strict:
+        if kind != "clicks":
+            raise ValueError("the strict contract applies to click events")
+        split = functools.partial(split, strict=True)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # One ingest time per batch; the annotated batch is reused by both
@@ -92,6 +98,7 @@ def batch_writer(lakehouse: Lakehouse, kind: str,
 def start_bronze_ingest(
     envelopes: DataFrame, kind: str, lakehouse: Lakehouse, checkpoint: str | None = None,
     available_now: bool = True, processing_time: str | None = None, query_name: str | None = None,
+    strict: bool = False,
 ) -> StreamingQuery:
     """Start the envelope stream into bronze. ``available_now`` drains what
     is there and stops (R1); otherwise it runs every ``processing_time``."""
@@ -100,7 +107,8 @@ def start_bronze_ingest(
     lakehouse.init([KINDS[kind][2], KINDS[kind][3]])
     checkpoint = checkpoint or f"{lakehouse.root}/_checkpoints/bronze/{kind}"
     writer = (
-        envelopes.writeStream.foreachBatch(batch_writer(lakehouse, kind, ingest_id_for(checkpoint)))
+        envelopes.writeStream.foreachBatch(
+            batch_writer(lakehouse, kind, ingest_id_for(checkpoint), strict=strict))
         .option("checkpointLocation", checkpoint)
     )
     if query_name:
