@@ -20,9 +20,18 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
 
 
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "date": "DATE",
+              "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "double": "DOUBLE",
+              "decimal(18,2)": "DECIMAL(18,2)"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(utc, duck, name):
-    result = compare(QUERIES[name](utc, SF_SMALL), ORACLE[name], SF_SMALL, duck)
+    df = QUERIES[name](utc, SF_SMALL)
+    rel = duck.sql(ORACLE[name])
+    spark_types = {f.name: DUCK_TYPES.get(f.dataType.simpleString()) for f in df.schema.fields}
+    assert spark_types == dict(zip(rel.columns, [str(t) for t in rel.types]))
+    result = compare(df, ORACLE[name], SF_SMALL, duck)
     assert result["columns_match"], result
     assert result["rows_spark"] == result["rows_oracle"], result
     assert result["values_match"], result

@@ -41,7 +41,7 @@ def recent_events(bronze_clicks: DataFrame, k: int = RECENT_EVENTS_LIMIT) -> Dat
     w = Window.partitionBy("session_id").orderBy(*[F.col(c).desc_nulls_last() for c in EVENT_ORDER])
     return (
         bronze_clicks.filter(F.col("session_id").isNotNull() & F.col("event_id").isNotNull())
-        .withColumn("rank", F.row_number().over(w))
+        .withColumn("rank", F.row_number().over(w).cast("bigint"))
         .filter(F.col("rank") <= k)
         .select("session_id", "event_id", "event_type", "page", "rank")
     )

@@ -69,7 +69,7 @@ def recent_transactions(transactions: DataFrame, n: int = 50) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(
         F.col("created_at").desc_nulls_last(), F.col("transaction_id").desc())
     return (
-        transactions.withColumn("rank", F.row_number().over(w))
+        transactions.withColumn("rank", F.row_number().over(w).cast("bigint"))
         .filter(F.col("rank") <= n)
         .select("user_id", "transaction_id", "created_at", "amount", "direction", "rank")
     )
