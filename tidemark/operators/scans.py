@@ -50,14 +50,13 @@ def bucketed_running(
     keys = list(keys)
     local_w = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    local = (
-        df.withColumn("_bucket", time_bucket(seconds, bucket_seconds))
-        .withColumn("_v", value)
-        .withColumn("_local", agg("_v").over(local_w))
-    )
+    base = df.withColumn("_bucket", time_bucket(seconds, bucket_seconds)).withColumn("_v", value)
+    local = base.withColumn("_local", agg("_v").over(local_w))
     before_w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # The bucket totals come straight from the rows (a partial aggregate),
+    # not from the windowed rows, so the window runs once.
     summary = (
-        local.groupBy(*keys, "_bucket").agg(agg("_v").alias("_bucket_total"))
+        base.groupBy(*keys, "_bucket").agg(agg("_v").alias("_bucket_total"))
         .withColumn("_before", agg("_bucket_total").over(before_w))
         .select(*keys, "_bucket", "_before")
     )
