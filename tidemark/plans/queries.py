@@ -128,7 +128,7 @@ def _refreshed(spark: SparkSession, sf_dir: str, label: str):
     lh = ingest.fresh_lakehouse(spark, label)
     refresh.load_bronze_batch(lh, testdata.cdc_envelopes(spark, sf_dir),
                               testdata.click_envelopes(spark, sf_dir))
-    refresh.refresh_all(lh)
+    refresh.refresh_all(lh, parallel=4)
     return lh
 
 
