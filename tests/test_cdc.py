@@ -120,3 +120,10 @@ def test_latest_per_key_plan_has_no_window(utc):
     plan = cdc.silver_transactions(bronze_cdc(utc, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     assert "partial" in plan.lower() or "Partial" in plan
+
+
+def test_repeated_json_key_takes_the_last_value(utc):
+    envelope = utc.createDataFrame(
+        [("t", 0, 1, None, '{"op":"c","op":"u","ts_ms":"1","source":{"table":"users"}}')],
+        "topic string, partition_id int, offset_value bigint, key_json string, value_json string")
+    assert B.annotate_cdc(envelope).first().op == "u"
