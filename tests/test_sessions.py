@@ -117,3 +117,37 @@ def test_shuffled_input_gives_same_sessions(utc):
     base = sessions.sessionize(clicks).select("event_id", "analytics_session_id")
     shuffled = sessions.sessionize(clicks.repartition(7, F.rand(3))).select("event_id", "analytics_session_id")
     assert base.exceptAll(shuffled).count() == 0 and shuffled.exceptAll(base).count() == 0
+
+
+def test_hot_key_is_spread_over_tasks(utc):
+    """One key holds 2/3 of the rows. Planned as at scale (no broadcast, no
+    partition coalescing): the window form puts the whole key in one
+    partition, the bucketed form spreads it over its time buckets."""
+    hot = [("hot", T0_HOT + timedelta(minutes=7 * i), 0, i) for i in range(6000)]
+    cold = [(f"k{j}", T0_HOT + timedelta(minutes=50 * i), 1, 10_000 + 100 * j + i)
+            for j in range(30) for i in range(100)]
+    df = utc.createDataFrame(hot + cold, "k string, ts timestamp, p int, o bigint")
+    order = [F.col("ts").asc(), F.col("p").asc(), F.col("o").asc()]
+    secs = F.unix_timestamp("ts")
+    saved = {k: utc.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled",
+                                          "spark.sql.shuffle.partitions")}
+    utc.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    utc.conf.set("spark.sql.adaptive.enabled", "false")
+    utc.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        def max_share(out):
+            # Consume n, or Catalyst prunes the scan away before the count.
+            sizes = [r.c for r in out.groupBy(F.spark_partition_id().alias("pid"))
+                     .agg(F.count("n").alias("c")).collect()]
+            return max(sizes) / sum(sizes)
+        window = window_session_numbers(df, "k", order, secs, 1800, "n")
+        bucketed = bucketed_session_numbers(df, "k", order, secs, 1800, "n")
+        assert max_share(window) >= 0.66
+        assert max_share(bucketed) < 0.25
+        assert sorted(window.select("o", "n").collect()) == sorted(bucketed.select("o", "n").collect())
+    finally:
+        for k, v in saved.items():
+            utc.conf.set(k, v)
+
+
+T0_HOT = datetime(2026, 1, 1)
