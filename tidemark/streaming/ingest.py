@@ -4,9 +4,9 @@
 ``start_bronze_ingest`` runs ``envelope stream -> foreachBatch`` where each
 micro-batch is annotated once, persisted, and split into the valid bronze
 rows and the dead-letter rows. Both writes are *idempotent per batch*: the
-bronze tables are partitioned by ``(ingest_id, batch_id, dt)`` and a batch
-is written as ``INSERT OVERWRITE ... PARTITION (ingest_id = q, batch_id = k,
-dt)`` in static mode, so a retried batch first drops whatever an earlier
+bronze tables are partitioned by ``(ingest_id, batch_id, [source_table,] dt)``
+and a batch is written as ``INSERT OVERWRITE ... PARTITION (ingest_id = q,
+batch_id = k, ...)`` in static mode, so a retried batch first drops whatever an earlier
 attempt of the same batch left behind -- no duplicates, whichever write
 failed. ``ingest_id`` is a stable hash of the checkpoint location: batch
 numbers restart at 0 for every new checkpoint, so the batch number alone
@@ -54,9 +54,9 @@ def overwrite_batch(lakehouse: Lakehouse, logical: str, df: DataFrame, batch_id:
     dynamic = [c for c in spec.partition_by if c not in schemas.STATIC_BRONZE_PARTITIONS]
     data_cols = [f for f in spec.schema.fields if f.name not in spec.partition_by]
     part_types = {f.name: f.dataType for f in spec.schema.fields}
-    # REBALANCE(dt): cluster rows by day so each day is written by few tasks
-    # (few files per partition), while AQE splits a large day into
-    # advisory-sized chunks and merges small ones.
+    # REBALANCE(dynamic partition columns): cluster rows by partition so each
+    # is written by few tasks (few files), while AQE splits a large partition
+    # into advisory-sized chunks and merges small ones.
     df.select(*[F.col(f.name).cast(f.dataType) for f in data_cols],
               *[F.col(c).cast(part_types[c]) for c in dynamic]
               ).hint("rebalance", *dynamic).createOrReplaceTempView(view)
