@@ -321,6 +321,13 @@ def ledger_replay_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edge(spark.read.parquet(f"{folder}/out"))
 
 
+def refresh_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M14 end to end on written tables: ingest to bronze, run the thirteen
+    builds, read gold.user_engagement_daily back from the catalog."""
+    lh = _refreshed(spark, sf_dir, "refresh-all")
+    return lh.table("gold.user_engagement_daily")
+
+
 def registry() -> dict[str, Query]:
     return {
         "click_parse": click_parse,
@@ -372,4 +379,5 @@ def registry() -> dict[str, Query]:
         "cdc_latest": cdc_latest,
         "refresh_gold": refresh_gold,
         "ledger_replay_stream": ledger_replay_stream,
+        "refresh_all": refresh_all,
     }
