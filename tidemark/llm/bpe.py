@@ -35,26 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.rolling import STEP, rolling
+
 WINDOW = 32
 #: A cut after every 2 ** CUT_BITS bytes on average.
 CUT_BITS = 9
 CACHE_BYTES = 64 << 20
-BASE = 0x5851F42D4C957F2D
 SPACE = re.compile(r"[ \n]")
-STEP = 1 << 20
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def up(base: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
-
-    return up(BASE), up(pow(BASE, -1, 1 << 64))
-
-
-_SPREAD = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
-_UP, _DOWN = _powers(STEP + WINDOW)
 
 
 def cuts(raw: bytes) -> list[int]:
@@ -62,11 +49,8 @@ def cuts(raw: bytes) -> list[int]:
     out: list[int] = []
     for at in range(0, len(raw) - WINDOW, STEP):
         part = np.frombuffer(raw, np.uint8)[at : at + STEP + WINDOW]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_SPREAD[part] * _UP[: len(part)], dtype=np.uint64)])
-        rolled = (sums[WINDOW:-1] - sums[: -WINDOW - 1]) * _DOWN[: len(part) - WINDOW]
-        rolled = (rolled ^ rolled >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        here = np.flatnonzero((rolled >> np.uint64(64 - CUT_BITS) == 0) & (part[WINDOW:] & 0xC0 != 0x80))
-        out += (here + at + WINDOW).tolist()
+        asks = rolling(part, WINDOW)[:-1] >> np.uint64(64 - CUT_BITS) == 0
+        out += (np.flatnonzero(asks & (part[WINDOW:] & 0xC0 != 0x80)) + at + WINDOW).tolist()
     return out
 
 
