@@ -3,8 +3,8 @@
 A rolling hash over the UTF-8 bytes cuts every text into chunks, so that equal
 passages are cut alike wherever they stand. Texts are dealt to tasks by their
 least chunk digest: copies and texts that share passages meet in a task, and
-Spark rebalances whatever becomes too large. A task encodes each chunk it has
-not met before and looks up the others.
+Spark rebalances whatever becomes too large. A worker encodes each chunk it has
+not met before, word by word with a table of words, and looks up the others.
 
 A chunk alone does not tell how its first and last word are encoded. A join is
 therefore repaired: the text from the last white space of a chunk to the first
@@ -14,8 +14,8 @@ reaches across white space, so what stands between two such places has the same
 ids alone as within the whole text; the tests hold this against the library on
 whole texts. Only tokenizers that drop white space are accepted.
 
-The lookup table of a task is emptied whenever it exceeds ``CACHE_BYTES``. The
-tokenizer's file is named by a path that every executor can read.
+The lookup tables of a worker hold about ``CACHE_BYTES`` each and forget what has
+not been met for longest. The tokenizer's file is named by a path that every executor can read.
 
 Defined results: a null text counts as empty and has no ids; strings of special
 tokens get the special ids, as the library has it; repeated rows are all
@@ -40,7 +40,9 @@ from tidemark.llm.rolling import STEP, rolling
 WINDOW = 32
 #: A cut after every 2 ** CUT_BITS bytes on average.
 CUT_BITS = 9
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 96 << 20
+#: Stands between words that are encoded together; a word of its own for the tokenizer.
+BAR = "|"
 SPACE = re.compile(r"[ \n]")
 
 
@@ -78,8 +80,29 @@ def pieces(text: str) -> list[tuple[bool, str]]:
     return [*out, (False, join)] if join else out
 
 
+class Table:
+    """A lookup table of bounded size that forgets what has not been met for longest."""
+
+    def __init__(self, most: int) -> None:
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+        self.most, self.size = most, 0
+
+    def get(self, key: str) -> list[int] | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, ids: list[int]) -> None:
+        self.young[key] = ids
+        self.size += 160 + 2 * len(key) + 8 * len(ids)
+        if self.size > self.most:
+            self.young, self.old, self.size = {}, self.young, 0
+
+
 class Encoder:
-    """Ids of whole texts, from a lookup table of chunks."""
+    """Ids of whole texts: chunks from a lookup table, new chunks from their words, new words from the library."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,25 +112,78 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path) as f:
-            if '"Removed"' not in json.dumps(json.load(f)["pre_tokenizer"]):
-                raise ValueError("chunks can be joined only for tokenizers that drop white space")
-        self.known: dict[str, list[int]] = {}
-        self.size = 0
+            parts = json.load(f)
+        if '"Removed"' not in json.dumps(parts["pre_tokenizer"]):
+            raise ValueError("chunks can be joined only for tokenizers that drop white space")
+        size = self.tokenizer.get_vocab_size()
+        self.numbers = list(range(size))  # one object for each id
+        self.names = [str(i) for i in self.numbers]
+        self.plain = None if parts["decoder"] else [self.tokenizer.id_to_token(i) for i in self.numbers]
+        bar = self.tokenizer.encode(BAR, add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
+        self.chunks, self.words = Table(CACHE_BYTES), Table(CACHE_BYTES)
+
+    def _encoded(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each word with its ids: in one call with a mark between them, or alone if the word holds the mark."""
+        numbers, bar = self.numbers, self.bar
+        alone = [w for w in words if not bar or BAR in w]
+        together = [w for w in words if bar and BAR not in w]
+        for word, new in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            yield word, [numbers[i] for i in new.ids]
+        if together:
+            ids: list[int] = []
+            at = iter(together)
+            for i in self.tokenizer.encode_batch_fast([f" {BAR} ".join([*together, ""])], add_special_tokens=False)[0].ids:
+                if i == bar:
+                    yield next(at), ids
+                    ids = []
+                else:
+                    ids.append(numbers[i])
 
     def encode(self, text: str) -> list[int]:
-        parts = pieces(text)
-        fresh = list(dict.fromkeys(p for _, p in parts if p not in self.known))
-        if self.size > CACHE_BYTES:
-            self.known, self.size = {}, 0
-            fresh = list(dict.fromkeys(p for _, p in parts))
-        for part, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[part] = found.ids
-            self.size += 200 + 12 * len(part)
-        known = self.known
-        return [i for _, p in parts for i in known[p]]
+        parts: list[tuple[bool, str, list[int] | None, list[str]]] = []
+        found: dict[str, list[int]] = {}  # the words that are needed now
+        fresh: list[str] = []
+        for inside, piece in pieces(text):
+            ids = self.chunks.get(piece) if inside else None
+            words = [] if ids is not None else [w for w in piece.replace("\n", " ").split(" ") if w]
+            for word in words:
+                if word not in found:
+                    known = self.words.get(word)
+                    if known is None:
+                        fresh.append(word)
+                    found[word] = known
+            parts.append((inside, piece, ids, words))
+        for word, ids in self._encoded(fresh):
+            found[word] = ids
+            self.words.put(word, ids)
+        out: list[int] = []
+        for inside, piece, ids, words in parts:
+            if ids is None:
+                ids = [i for word in words for i in found[word]]
+                if inside:
+                    self.chunks.put(piece, ids)
+            out += ids
+        return out
 
     def decode(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+        """As the library's decode, whose tokens without a decoder are joined by spaces."""
+        plain = self.plain
+        return " ".join([plain[i] for i in ids]) if plain else self.tokenizer.decode(ids, skip_special_tokens=False)
+
+    def listed(self, ids: list[int]) -> str:
+        names = self.names
+        return " ".join([names[i] for i in ids])
+
+
+#: One for each worker process, by path: what a task has encoded serves the next.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
@@ -135,14 +211,14 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, digests: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             found: list[tuple] = []
             for text in batch.column(1):
                 ids = encoder.encode(text.as_py())
                 whole = encoder.decode(ids)
                 if digests:
-                    shas = (hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (" ".join(map(str, ids)), whole))
+                    shas = (hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (encoder.listed(ids), whole))
                     found.append((len(ids), *shas))
                 else:
                     found.append((ids, whole))
