@@ -96,10 +96,10 @@ def _marked(texts: DataFrame) -> DataFrame:
 
 
 def _segments(found: DataFrame) -> DataFrame:
-    """From (sha, text, hits: array of (start, stop, mark)) the segments: mark, a 128-bit name, bytes, sha and start."""
+    """From (row, text, hits: array of (start, stop, mark)) the segments: mark, a 128-bit name, bytes, row and start."""
 
-    names = ["mark", "name1", "name2", "bytes", "sha", "start"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int32()]
+    names = ["mark", "name1", "name2", "bytes", "row", "start"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(zip(*rows, strict=True), types, strict=True)
@@ -108,8 +108,8 @@ def _segments(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for sha, text, hits in zip(*(batch.column(i) for i in range(3)), strict=True):
-                raw, key = text.as_py().encode("utf-8", "surrogatepass"), sha.as_py()
+            for row, text, hits in zip(*(batch.column(i) for i in range(3)), strict=True):
+                raw, key = text.as_py().encode("utf-8", "surrogatepass"), row.as_py()
                 for hit in hits.as_py():
                     cut = raw[hit["start"] : hit["stop"] + WIDTH]
                     name = xxhash.xxh3_128_intdigest(cut)
@@ -121,8 +121,8 @@ def _segments(found: DataFrame) -> DataFrame:
             if rows:
                 yield packed(rows)
 
-    return found.select("sha", "text", "hits").mapInArrow(
-        run, "mark bigint, name1 bigint, name2 bigint, bytes binary, sha string, start int"
+    return found.select("row", "text", "hits").mapInArrow(
+        run, "mark bigint, name1 bigint, name2 bigint, bytes binary, row bigint, start int"
     )
 
 
@@ -153,8 +153,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _repeated(segments: DataFrame) -> DataFrame:
     """name1, name2, first, last: runs of repeated windows within each distinct segment."""
 
-    def shard(rows: list[tuple]) -> pa.RecordBatch:
-        found = repeated_windows([r[3] for r in rows], [r[4] for r in rows])
+    def told(rows: list[tuple], found: list[np.ndarray]) -> pa.RecordBatch:
         runs = [_runs(f) for f in found]
         sizes = [len(a) for a, _ in runs]
         names = [np.repeat(np.array([r[k] for r in rows], np.int64), sizes) for k in (1, 2)]
@@ -162,21 +161,38 @@ def _repeated(segments: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (*names, *ends)], names=["name1", "name2", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        group: list[tuple] = []  # of the mark that is being read
+        group: list[tuple] = []  # the segments of the mark that is being read
+        rows: list[tuple] = []  # the segments of the shard
+        alone: list[tuple] = []  # segments that are the only ones of their mark, copies aside
         size = 0
+
+        def settle(group: list[tuple]) -> None:
+            nonlocal size
+            if len(group) > 1:
+                rows.extend(group)
+                size += sum(len(r[3]) for r in group)
+            elif group[0][4] > 1:  # else no window of it occurs twice: its second place would be a segment too
+                alone.extend(group)
+
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if group and group[0][0] != row[0]:
-                    rows += group
-                    size += sum(len(r[3]) for r in group)
+                    settle(group)
                     group = []
                     if size > SHARD_BYTES:
-                        yield shard(rows)
-                        rows, size = [], 0
+                        yield told(rows, repeated_windows([r[3] for r in rows], [r[4] for r in rows]))
+                        rows.clear()
+                        size = 0
                 group.append(row)
-        if rows := rows + group:
-            yield shard(rows)
+            if alone:
+                yield told(alone, [np.ones(len(r[3]) - WIDTH + 1, bool) for r in alone])
+                alone.clear()
+        if group:
+            settle(group)
+        if alone:
+            yield told(alone, [np.ones(len(r[3]) - WIDTH + 1, bool) for r in alone])
+        if rows:
+            yield told(rows, repeated_windows([r[3] for r in rows], [r[4] for r in rows]))
 
     distinct = segments.groupBy("mark", "name1", "name2", "bytes").agg(F.count("*").alias("n"))
     return (
@@ -229,18 +245,17 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     again = each.groupBy("mark").count().where("count > 1").select("mark")
     hits = each.join(again, "mark").groupBy("row").agg(F.collect_list(F.struct("start", "stop", "mark")).alias("hits"))
-    hits = marked.select("row", "sha").join(hits, "row").select("sha", "hits")
+    hits = marked.select("row", "sha").join(hits, "row").join(copies.select("row", "copies"), "row")
     digest = F.sha2(F.col("text").cast("binary"), 256)
     found = store(texts.select(digest.alias("sha"), "text").join(hits, "sha"), "found")
-    segments = _segments(found)
-    places = segments.select("name1", "name2", "sha", "start").distinct()
+    # A text that occurs again goes as a whole; its segments only tell that their windows do, too.
+    places = _segments(found.where("copies = 1")).select("name1", "name2", "row", "start")
     windows = (
-        places.join(_repeated(segments), ["name1", "name2"])
-        .groupBy("sha")
+        places.join(_repeated(_segments(found)), ["name1", "name2"])
+        .groupBy("row")
         .agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))).alias("windows"))
     )
-    single = copies.where("copies = 1").select("sha")
-    changed = _cleaned(found.select("sha", "text").join(windows, "sha").join(single, "sha", "left_semi"))
+    changed = _cleaned(found.where("copies = 1").select("row", "sha", "text").join(windows, "row"))
     documents = marked.select("doc_id", "sha", "n_bytes").join(copies.select("sha", "copies"), "sha")
     return documents, changed
 
