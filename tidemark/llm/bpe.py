@@ -1,9 +1,9 @@
 """BPE encoding and decoding that reuses content-defined chunks.
 
 A rolling hash over the UTF-8 bytes cuts every text into chunks, so that equal
-passages are cut alike wherever they stand. Texts are dealt to tasks by their
-least chunk digest: copies and texts that share passages meet in a task, and
-Spark rebalances whatever becomes too large. A worker encodes each chunk it has
+passages are cut alike wherever they stand. Texts are dealt to tasks by ranges
+of their least chunk digest, then of a hash of their id: copies and texts that
+share passages meet in a task, and a large group of them in a few. A worker encodes each chunk it has
 not met before, word by word with a table of words, and looks up the others.
 
 A chunk alone does not tell how its first and last word are encoded. A join is
@@ -196,7 +196,9 @@ def _dealt(docs: DataFrame) -> DataFrame:
 
         return pd.Series([min(xxhash.xxh64_intdigest(c.encode()) for c in chunks(t)) >> 1 for t in texts], dtype="int64")
 
-    return docs.withColumn("__least", least("text")).hint("rebalance", "__least")
+    # Within one digest rows are ordered by a hash, so that ranges cut a large group of copies.
+    dealt = docs.withColumns({"__least": least("text"), "__spread": F.xxhash64("doc_id")})
+    return dealt.repartitionByRange("__least", "__spread")
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
