@@ -44,7 +44,7 @@ def test_empty_result_empties_unpartitioned_table(utc):
 def test_full_refresh_and_checks(utc):
     lh = ingest.fresh_lakehouse(utc, "t-refresh")
     assert {r.status for r in lh.check_tables().collect()} == {"missing"}
-    refresh.load_bronze_batch(lh, testdata.cdc_envelopes(utc, SF_SMALL), testdata.click_envelopes(utc, SF_SMALL))
+    refresh.load_bronze_batch(lh, testdata.cdc_envelopes(utc, SF_SMALL), testdata.click_envelopes(utc, SF_SMALL), "load1")
     timings = {}
     refresh.refresh_all(lh, on_build=lambda t, s: timings.__setitem__(t, s))
     assert len(timings) == 13
@@ -61,7 +61,7 @@ def test_full_refresh_and_checks(utc):
 
 def test_incremental_refresh_rewrites_only_recent_days(utc):
     lh = ingest.fresh_lakehouse(utc, "t-incr")
-    refresh.load_bronze_batch(lh, testdata.cdc_envelopes(utc, SF_SMALL), testdata.click_envelopes(utc, SF_SMALL))
+    refresh.load_bronze_batch(lh, testdata.cdc_envelopes(utc, SF_SMALL), testdata.click_envelopes(utc, SF_SMALL), "load1")
     refresh.refresh_all(lh)
     before = {(r.dt, r.user_id): r for r in lh.table("gold.user_engagement_daily").collect()}
     refresh.refresh_all(lh, since=date(2024, 1, 20))
@@ -103,7 +103,7 @@ def test_parallel_refresh_equals_serial(utc):
     serial = ingest.fresh_lakehouse(utc, "t-serial")
     par = ingest.fresh_lakehouse(utc, "t-par")
     for lh in (serial, par):
-        refresh.load_bronze_batch(lh, testdata.cdc_envelopes(utc, SF_SMALL), testdata.click_envelopes(utc, SF_SMALL))
+        refresh.load_bronze_batch(lh, testdata.cdc_envelopes(utc, SF_SMALL), testdata.click_envelopes(utc, SF_SMALL), "load1")
     refresh.refresh_all(serial)
     refresh.refresh_all(par, parallel=4)
     for logical in schemas.TABLES:

@@ -14,7 +14,7 @@ def _plan(df) -> str:
 
 def test_silver_build_prunes_bronze_by_source_table(utc):
     lh = ingest.fresh_lakehouse(utc, "t-plan")
-    refresh.load_bronze_batch(lh, testdata.cdc_envelopes(utc, SF_SMALL), testdata.click_envelopes(utc, SF_SMALL))
+    refresh.load_bronze_batch(lh, testdata.cdc_envelopes(utc, SF_SMALL), testdata.click_envelopes(utc, SF_SMALL), "load1")
     plan = _plan(cdc.silver_transactions(lh.table("bronze.pg_cdc_raw")))
     filters = plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "source_table" in filters and "transactions" in filters

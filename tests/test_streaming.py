@@ -51,7 +51,7 @@ def test_available_now_rerun_and_new_file(utc):
 def test_batch_retry_is_idempotent(utc):
     lh = _lakehouse(utc, "t-retry")
     lh.init(["bronze.clickstream_raw", "bronze.dlq_clickstream"])
-    write = ingest.batch_writer(lh, "clicks")
+    write = ingest.batch_writer(lh, "clicks", "writer1")
     env = testdata.click_envelopes(utc, SF_SMALL)
     write(env, 7)
     write(env, 7)  # the same micro-batch retried
@@ -67,13 +67,13 @@ def test_micro_batches_do_not_change_silver(utc):
     from tidemark.operators import sessions
     lh = _lakehouse(utc, "t-meta")
     lh.init(["bronze.clickstream_raw", "bronze.dlq_clickstream"])
-    write = ingest.batch_writer(lh, "clicks")
+    write = ingest.batch_writer(lh, "clicks", "writer1")
     env = testdata.click_envelopes(utc, SF_SMALL).withColumn("_b", F.col("offset_value") % 3)
     for b in range(3):
         write(env.filter(F.col("_b") == b).drop("_b"), b)
     one = ingest.fresh_lakehouse(utc, "t-meta-one")
     one.init(["bronze.clickstream_raw", "bronze.dlq_clickstream"])
-    ingest.batch_writer(one, "clicks")(testdata.click_envelopes(utc, SF_SMALL), 0)
+    ingest.batch_writer(one, "clicks", "writer1")(testdata.click_envelopes(utc, SF_SMALL), 0)
     cols = ["event_id", "analytics_session_id", "dt"]
     a = sessions.sessionize(lh.table("bronze.clickstream_raw")).select(*cols)
     b = sessions.sessionize(one.table("bronze.clickstream_raw")).select(*cols)

@@ -35,7 +35,7 @@ def main(argv: list[str] | None = None) -> int:
     ing.add_argument("--timeout", type=float, default=None, help="seconds to wait before stopping")
     ing.add_argument("--strict", action="store_true", help="dead-letter events that break the contract")
     ref = sub.add_parser("refresh")
-    ref.add_argument("--mode", choices=["dynamic", "full"], default="dynamic")
+    ref.add_argument("--mode", choices=["dynamic", "full"], help="one mode for all tables")
     ref.add_argument("--since", type=dt.date.fromisoformat)
     ref.add_argument("--apply-deletes", action="store_true")
     ref.add_argument("--parallel", type=int, default=1, help="concurrent builds per dependency level")

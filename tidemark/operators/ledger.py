@@ -97,7 +97,7 @@ def ledger_running_balance(transactions: DataFrame, accounts: DataFrame,
                                F.col("_signed"), "_running", "sum", bucket_seconds, initial=opening)
     return scanned.select(
         "transaction_id", "account_id", "occurred_at",
-        F.coalesce("_running", F.lit(0)).cast(MONEY).alias("balance_after"),
+        F.coalesce("_running", F.lit(0)).try_cast(MONEY).alias("balance_after"),
     )
 
 
@@ -157,9 +157,9 @@ def ledger_replay(transactions: DataFrame, accounts: DataFrame,
     opening = accounts.filter(F.col("account_id").isNotNull()).select(
         F.lit(None).cast("string").alias("transaction_id"), "account_id",
         F.lit(None).cast("timestamp").alias("occurred_at"),
-        F.col("opening_balance").cast(MONEY).alias("signed"), F.lit(0).alias("_kind"))
+        F.col("opening_balance").try_cast(MONEY).alias("signed"), F.lit(0).alias("_kind"))
     tx = transactions.filter(F.col("account_id").isNotNull()).select(
-        "transaction_id", "account_id", "occurred_at", signed_amount().cast(MONEY).alias("signed"),
+        "transaction_id", "account_id", "occurred_at", signed_amount().try_cast(MONEY).alias("signed"),
         F.lit(1).alias("_kind"))
     parts = [num_partitions] if num_partitions else []
     ordered = opening.unionByName(tx).repartition(*parts, "account_id").sortWithinPartitions(
@@ -172,7 +172,7 @@ def income_spend(transactions: DataFrame) -> DataFrame:
     """Per user: income = credits, spend = everything else incl. NULL."""
     credit = F.col("direction") == "credit"
     return transactions.groupBy("user_id").agg(
-        F.sum(F.when(credit, F.col("amount")).otherwise(F.lit(0))).cast(MONEY).alias("income"),
-        F.sum(F.when(credit, F.lit(0)).otherwise(F.col("amount"))).cast(MONEY).alias("spend"),
+        F.sum(F.when(credit, F.col("amount")).otherwise(F.lit(0))).try_cast(MONEY).alias("income"),
+        F.sum(F.when(credit, F.lit(0)).otherwise(F.col("amount"))).try_cast(MONEY).alias("spend"),
         F.count(F.lit(1)).alias("transactions"),
     )

@@ -37,7 +37,7 @@ def current_balances(accounts: DataFrame, transactions: DataFrame,
     a = accounts.select("user_id", "account_id", "currency", "opening_balance")
     return a.join(per_account, "account_id", "left").select(
         "user_id", "account_id", "currency",
-        (F.coalesce("opening_balance", F.lit(0)) + F.coalesce("_net", F.lit(0))).cast(MONEY).alias("balance"),
+        (F.coalesce("opening_balance", F.lit(0)) + F.coalesce("_net", F.lit(0))).try_cast(MONEY).alias("balance"),
         F.coalesce("_n", F.lit(0)).cast("bigint").alias("transactions_count"),
         (as_of if as_of is not None else F.current_timestamp()).alias("updated_at"),
     )
@@ -47,8 +47,8 @@ def transaction_volume_daily(transactions: DataFrame) -> DataFrame:
     """gold.transaction_volume_daily (M7); NULL direction in neither sum."""
     amt = F.col("amount")
     return transactions.groupBy("dt", "user_id", "currency").agg(
-        F.sum(F.when(F.col("direction") == "credit", amt).otherwise(F.lit(0))).cast(MONEY).alias("credit_amount"),
-        F.sum(F.when(F.col("direction") == "debit", amt).otherwise(F.lit(0))).cast(MONEY).alias("debit_amount"),
+        F.sum(F.when(F.col("direction") == "credit", amt).otherwise(F.lit(0))).try_cast(MONEY).alias("credit_amount"),
+        F.sum(F.when(F.col("direction") == "debit", amt).otherwise(F.lit(0))).try_cast(MONEY).alias("debit_amount"),
         F.count(F.lit(1)).alias("transaction_count"),
     )
 
@@ -148,8 +148,8 @@ def user_engagement_daily(events: DataFrame, transactions: DataFrame) -> DataFra
         .groupBy("dt", "user_id")
         .agg(
             F.count(F.lit(1)).alias("m_n"),
-            F.sum(F.when(F.col("direction") == "debit", amt).otherwise(F.lit(0))).cast(MONEY).alias("m_debit"),
-            F.sum(F.when(F.col("direction") == "credit", amt).otherwise(F.lit(0))).cast(MONEY).alias("m_credit"),
+            F.sum(F.when(F.col("direction") == "debit", amt).otherwise(F.lit(0))).try_cast(MONEY).alias("m_debit"),
+            F.sum(F.when(F.col("direction") == "credit", amt).otherwise(F.lit(0))).try_cast(MONEY).alias("m_credit"),
         )
         .withColumnRenamed("dt", "m_dt").withColumnRenamed("user_id", "m_user")
     )
@@ -163,8 +163,8 @@ def user_engagement_daily(events: DataFrame, transactions: DataFrame) -> DataFra
         F.coalesce("b_views", zero).cast("bigint").alias("page_views"),
         F.coalesce("b_clicks", zero).cast("bigint").alias("clicks"),
         F.coalesce("m_n", zero).cast("bigint").alias("transactions_count"),
-        F.coalesce("m_debit", zero).cast(MONEY).alias("debit_amount"),
-        F.coalesce("m_credit", zero).cast(MONEY).alias("credit_amount"),
+        F.coalesce("m_debit", zero).try_cast(MONEY).alias("debit_amount"),
+        F.coalesce("m_credit", zero).try_cast(MONEY).alias("credit_amount"),
     )
 
 

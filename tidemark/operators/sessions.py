@@ -102,8 +102,10 @@ def session_flags(bronze_clicks: DataFrame, gap_seconds: int = SESSION_IDLE_GAP_
         .withColumn("_opens", prev_last.isNull() | (F.col("_start") - prev_last > gap_seconds))
         .select("_key", "_bucket", "_first", "_opens")
     )
+    # Rows that repeat the first event are equal; one of them opens the session.
+    nth = F.row_number().over(Window.partitionBy("_key", "_bucket", "_order").orderBy("_s"))
     flag = (F.when(F.col("_s").isNull(), F.lit(1))
-            .when(F.col("_order").eqNullSafe(F.col("_first")) & F.col("_opens"), F.lit(1))
+            .when(F.col("_order").eqNullSafe(F.col("_first")) & F.col("_opens") & (nth == 1), F.lit(1))
             .otherwise(F.lit(0)))
     return base.join(summary, ["_key", "_bucket"], "left").select(
         "event_id", flag.alias("new_session_flag"))

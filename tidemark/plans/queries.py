@@ -127,7 +127,7 @@ def _refreshed(spark: SparkSession, sf_dir: str, label: str):
     from tidemark.streaming import ingest
     lh = ingest.fresh_lakehouse(spark, label)
     refresh.load_bronze_batch(lh, testdata.cdc_envelopes(spark, sf_dir),
-                              testdata.click_envelopes(spark, sf_dir))
+                              testdata.click_envelopes(spark, sf_dir), load_id="tables")
     refresh.refresh_all(lh, parallel=4)
     return lh
 

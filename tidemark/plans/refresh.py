@@ -74,46 +74,53 @@ LEVELS = (
 )
 
 
-def refresh_all(lakehouse: Lakehouse, mode: str = "dynamic", as_of: Column | None = None,
+def refresh_all(lakehouse: Lakehouse, mode: str | None = None, as_of: Column | None = None,
                 apply_deletes: bool = False, on_build: Callable[[str, float], None] | None = None,
                 since: _dt.date | None = None, parallel: int = 1) -> None:
     """Run the thirteen builds; ``on_build(table, seconds)`` is called after
-    each one (the bench uses it for per-build timings). ``since`` limits the
-    daily gold builds to recent days (dynamic mode). ``parallel > 1`` runs
+    each one (the bench uses it for per-build timings). Tables are replaced
+    whole, so that a row whose day has changed leaves its old day; ``since``
+    limits the daily gold builds to recent days, which alone are then
+    replaced. ``mode`` names one overwrite mode for all tables instead. ``parallel > 1`` runs
     the builds of one dependency level as concurrent Spark jobs (threads
     sharing the session); ``parallel = 1`` is the reference's serial order."""
     import time
     from concurrent.futures import ThreadPoolExecutor
 
-    if since is not None and mode != "dynamic":
+    if since is not None and mode == "full":
         raise ValueError("an incremental refresh must use dynamic overwrite")
+
+    def mode_of(table: str) -> str:
+        return mode or ("dynamic" if since is not None and table in DAILY_BUILDS else "full")
+
     lakehouse.init()
     plan = dict(builds(as_of, apply_deletes, since))
 
     def run(table: str) -> None:
         start = time.perf_counter()
-        lakehouse.overwrite(table, plan[table](lakehouse), mode=mode, set_mode=False)
+        lakehouse.overwrite(table, plan[table](lakehouse), mode=mode_of(table), set_mode=False)
         if on_build:
             on_build(table, time.perf_counter() - start)
 
-    # The overwrite mode is set once for all writes: concurrent writers must
-    # not toggle the shared session setting under each other.
-    with overwrite_mode(lakehouse.spark, mode):
-        if parallel <= 1:
-            for table, _ in builds(as_of, apply_deletes, since):
-                run(table)
-            return
-        with ThreadPoolExecutor(max_workers=parallel) as pool:
-            for level in LEVELS:
-                list(pool.map(run, level))
+    # The mode is a session setting that concurrent writers must not toggle
+    # under each other: the tables of a level are written mode by mode.
+    levels = LEVELS if parallel > 1 else tuple((table,) for table in plan)
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        for level in levels:
+            for one in ("full", "dynamic"):
+                if tables := [t for t in level if mode_of(t) == one]:
+                    with overwrite_mode(lakehouse.spark, one):
+                        list(pool.map(run, tables))
 
 
 def load_bronze_batch(lakehouse: Lakehouse, cdc_envelopes: DataFrame, click_envelopes: DataFrame,
-                      batch_id: int = 0) -> None:
-    """Batch form of the ingest: one envelope DataFrame per kind -> bronze."""
+                      load_id: str) -> None:
+    """Batch form of the ingest: one envelope DataFrame per kind -> bronze.
+
+    ``load_id`` names the load: the same id again replaces that load (a
+    retry), a new id adds to the tables."""
     from tidemark.streaming.ingest import batch_writer
 
     lakehouse.init()
-    batch_writer(lakehouse, "cdc")(cdc_envelopes, batch_id)
-    batch_writer(lakehouse, "clicks")(click_envelopes, batch_id)
-
+    batch_writer(lakehouse, "cdc", load_id)(cdc_envelopes, 0)
+    batch_writer(lakehouse, "clicks", load_id)(click_envelopes, 0)

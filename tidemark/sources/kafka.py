@@ -56,8 +56,6 @@ def read_kafka_stream(
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", bootstrap_servers)
         .option("startingOffsets", starting_offsets)
-        # Bound a micro-batch so one trigger never swallows the whole backlog.
-        .option("maxOffsetsPerTrigger", (options or {}).get("maxOffsetsPerTrigger", "5000000"))
     )
     if subscribe is not None:
         reader = reader.option("subscribe", subscribe)

@@ -51,19 +51,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cluster when it has fewer splits than cores.
-
-    A broker topic arrives in many partitions; a test table is one parquet
-    file with one row group, i.e. one split, so the JSON work after it would
-    run in a single task. Only then is a round-robin repartition added; a
-    large input already has far more splits than cores and is left as is."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-    except Exception:  # pragma: no cover - Spark Connect has no RDD API
-        pass
-    return df
+    """Deal a test table over ``spark.sql.shuffle.partitions`` tasks.
+
+    A broker topic arrives in many partitions; a test table is one file with
+    one row group, i.e. one split. The adapter always deals its rows anew,
+    whatever their number; real sources do not pass through it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _case(col: Column, mapping: dict[str, str]) -> Column:

@@ -8,16 +8,17 @@ bronze tables are partitioned by ``(ingest_id, batch_id, [source_table,] dt)``
 and a batch is written as ``INSERT OVERWRITE ... PARTITION (ingest_id = q,
 batch_id = k, ...)`` in static mode, so a retried batch first drops whatever an earlier
 attempt of the same batch left behind -- no duplicates, whichever write
-failed. ``ingest_id`` is a stable hash of the checkpoint location: batch
-numbers restart at 0 for every new checkpoint, so the batch number alone
-does not identify a batch. Progress lives in the checkpoint folder under
-the shared root.
+failed. ``ingest_id`` is the streaming query's persistent id, which Spark
+writes into a checkpoint when it is made: batch numbers restart at 0 for
+every new checkpoint, and a checkpoint recreated at an old path is a new
+writer, whose batches never replace those of its predecessor. Progress lives
+in the checkpoint folder under the shared root.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
+import json
 import uuid
 from collections.abc import Callable
 
@@ -39,12 +40,13 @@ KINDS = {
 }
 
 
-def ingest_id_for(checkpoint: str) -> str:
-    return hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+def ingest_id_of(spark: SparkSession, checkpoint: str) -> str:
+    """The persistent id of the query that owns a checkpoint (written before its first batch)."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
 
 
 def overwrite_batch(lakehouse: Lakehouse, logical: str, df: DataFrame, batch_id: int,
-                    ingest_id: str = "batch") -> None:
+                    ingest_id: str) -> None:
     """Replace every row of ``(ingest_id, batch_id)`` in a bronze table with ``df``."""
     if not ingest_id.replace("-", "").replace("_", "").isalnum():
         raise ValueError(f"bad ingest id {ingest_id!r}")
@@ -71,9 +73,10 @@ def overwrite_batch(lakehouse: Lakehouse, logical: str, df: DataFrame, batch_id:
         spark.catalog.dropTempView(view)
 
 
-def batch_writer(lakehouse: Lakehouse, kind: str, ingest_id: str = "batch",
+def batch_writer(lakehouse: Lakehouse, kind: str, ingest_id: str | Callable[[], str],
                  strict: bool = False) -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` function for one ingest kind.
+    """The ``foreachBatch`` function for one ingest kind (R3 / R4). A callable
+    ``ingest_id`` is asked at every batch, as a query's id exists only once it runs.
     ``strict`` (clicks) also dead-letters events that break the contract."""
     annotate, split, valid_table, dlq_table = KINDS[kind]
     if strict:
@@ -87,8 +90,9 @@ def batch_writer(lakehouse: Lakehouse, kind: str, ingest_id: str = "batch",
         annotated = annotate(batch, F.current_timestamp()).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             valid, dlq = split(annotated)
-            overwrite_batch(lakehouse, valid_table, valid, batch_id, ingest_id)
-            overwrite_batch(lakehouse, dlq_table, dlq, batch_id, ingest_id)
+            writer_id = ingest_id() if callable(ingest_id) else ingest_id
+            overwrite_batch(lakehouse, valid_table, valid, batch_id, writer_id)
+            overwrite_batch(lakehouse, dlq_table, dlq, batch_id, writer_id)
         finally:
             annotated.unpersist()
 
@@ -106,9 +110,10 @@ def start_bronze_ingest(
         raise ValueError(f"unknown kind {kind!r}")
     lakehouse.init([KINDS[kind][2], KINDS[kind][3]])
     checkpoint = checkpoint or f"{lakehouse.root}/_checkpoints/bronze/{kind}"
+    writer_id = functools.partial(ingest_id_of, lakehouse.spark, checkpoint)
     writer = (
         envelopes.writeStream.foreachBatch(
-            batch_writer(lakehouse, kind, ingest_id_for(checkpoint), strict=strict))
+            batch_writer(lakehouse, kind, writer_id, strict=strict))
         .option("checkpointLocation", checkpoint)
     )
     if query_name:
@@ -132,14 +137,12 @@ def run_to_completion(query: StreamingQuery, timeout_seconds: float | None = Non
 
 # -- test-table streams (the envelope contract over the driver's parquet) --
 
-def _table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
+def _table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
     schema = testdata.read_table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", str(max_files))
-        .parquet(sf_dir)
-    )
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", str(max_files))
+    return reader.parquet(sf_dir)
 
 
 def click_envelope_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

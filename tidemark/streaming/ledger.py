@@ -65,7 +65,7 @@ def ledger_replay_stream(transactions: DataFrame, accounts: DataFrame) -> DataFr
     # Python processor under their own name, hence plain names here.)
     opening = accounts.select("account_id", F.col("opening_balance").alias("opening"))
     rows = transactions.filter(F.col("account_id").isNotNull()).select(
-        "transaction_id", "account_id", "occurred_at", signed_amount().cast(MONEY).alias("signed"))
+        "transaction_id", "account_id", "occurred_at", signed_amount().try_cast(MONEY).alias("signed"))
     return rows.join(opening, "account_id", "left").groupBy("account_id").transformWithStateInPandas(
         _processor(), REPLAY_SCHEMA, "Append", "None")
 
