@@ -18,7 +18,7 @@ The automaton grows with the corpus, so it is never broadcast. Texts are dealt
 into blocks of about BLOCK_BYTES. A block sends the ids of its n-grams, sorted,
 each once and with its count in the block's training texts, to the buckets of
 the id space; a bucket adds up the counts of all blocks and answers each block
-with the totals of its ids. With these a block holds exactly the states and arcs
+with the totals in the order of its ids. With these a block holds exactly the states and arcs
 its texts can take, and reads them through. The rows that move are packed arrays
 of n-grams, pre-aggregated by block; a frequent n-gram is one number for a block.
 
@@ -49,6 +49,7 @@ MASS = 50.0
 BLOCK_BYTES = 16 << 20
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")
 REQUEST = "block int, bucket int, ids binary, counts binary"
+ANSWER = "block int, bucket int, counts binary"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -166,21 +167,22 @@ def score(
     def answer(table: pa.Table) -> pa.Table:
         each, ids, totals = _added(table)
         packed = [_pack(totals[np.searchsorted(ids, one)]) for one in each]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "ids": table["ids"], "counts": pa.array(packed, pa.binary())})
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "counts": pa.array(packed, pa.binary())})
 
     def traverse(key: tuple, texts: pa.Table, model: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return empty
         ids, before, first = _read(t.as_py() for t in texts["text"])
         order = np.argsort(model["bucket"].to_numpy())
-        states = np.concatenate([_unpack_ids(model["ids"][int(k)].as_py()) for k in order])
+        arcs_taken = _bigrams(before, ids)
+        states = np.unique(np.concatenate([ids, arcs_taken]))  # the block's request, in whose order the answers come
         counts = np.concatenate([_unpack(model["counts"][int(k)].as_py()) for k in order]).astype(np.float64)
         count = lambda wanted: counts[np.searchsorted(states, wanted)]
         known = count(ids)
         state = np.roll(known, 1)
         state[first] = count(np.array([END], np.uint64))[0]  # as many texts begin as end
         base = (known + 1) / (total + types + 1)
-        arcs = (count(_bigrams(before, ids)) + mass * base) / (state + mass)
+        arcs = (count(arcs_taken) + mass * base) / (state + mass)
         add = lambda x: np.add.reduceat(x, first)
         return pa.table(
             {
@@ -197,7 +199,7 @@ def score(
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, training boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     empty = pa.table({n: pa.array([]) for n in ("doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-    answers = dealt.groupBy("block").applyInArrow(request, REQUEST).groupBy("bucket").applyInArrow(answer, REQUEST)
+    answers = dealt.groupBy("block").applyInArrow(request, REQUEST).groupBy("bucket").applyInArrow(answer, ANSWER)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(traverse, schema)
 
 
