@@ -43,6 +43,33 @@ def test_negative_opening_rejects_small_credit(utc):
     assert got == {"t1": (False, Decimal("-50.00")), "t2": (True, Decimal("10.00"))}
 
 
+def test_unknown_account_is_refused(utc):
+    acc = frame(utc, ACCOUNT_SCHEMA, [
+        {"account_id": "A", "user_id": "u-A", "currency": "USD", "opening_balance": None}])
+    tx = _txs(utc, [("t1", "A", "credit", "5.00", 1), ("t2", "X", "credit", "7.00", 1), ("t3", "X", "debit", "1.00", 2)])
+    got = {r.transaction_id: (r.accepted, r.balance_after) for r in ledger.ledger_replay(tx, acc).collect()}
+    assert got == {"t1": (True, Decimal("5.00")), "t2": (False, None), "t3": (False, None)}
+
+
+def test_accounts_resolve_by_user_and_currency(utc):
+    t = datetime(2026, 3, 1)
+    acc = frame(utc, ACCOUNT_SCHEMA, [
+        {"account_id": "late", "user_id": "u", "currency": "USD", "created_at": t + timedelta(days=1)},
+        {"account_id": "first", "user_id": "u", "currency": "USD", "created_at": t},
+        {"account_id": "undated", "user_id": "u", "currency": "USD", "created_at": None},
+        {"account_id": "tie-b", "user_id": "v", "currency": "EUR", "created_at": t},
+        {"account_id": "tie-a", "user_id": "v", "currency": "EUR", "created_at": t}])
+    tx = frame(utc, TX_SCHEMA, [
+        {"transaction_id": "1", "user_id": "u", "currency": "USD", "account_id": "late"},
+        {"transaction_id": "2", "user_id": "u", "currency": "EUR", "account_id": "late"},
+        {"transaction_id": "3", "user_id": "v", "currency": "EUR", "account_id": "tie-a"},
+        {"transaction_id": "4", "user_id": None, "currency": "EUR", "account_id": None}])
+    got = {r.transaction_id: (r.resolved_account_id, r.reason, r.consistent)
+           for r in ledger.resolve_accounts(tx, acc).collect()}
+    assert got == {"1": ("first", "", False), "2": (None, "unknown_account", False),
+                   "3": ("tie-a", "", True), "4": (None, "unknown_account", True)}
+
+
 def _brute_replay(opening, rows):
     out = {}
     for acc in sorted({r[1] for r in rows}):

@@ -46,12 +46,14 @@ def test_transaction_contract(utc):
 def test_dlq_envelope_keeps_original_error_topic(utc):
     dlq = utc.createDataFrame(
         [("clickstream.events", 0, 1, json.dumps({"session_id": "s", "page": "/p"}), "missing_event_id"),
-         ("clickstream.events", 0, 2, None, "null_value")],
+         ("clickstream.events", 0, 2, None, "null_value"),
+         ("clickstream.events", 0, 3, 'not {json "x"', "missing_event_id")],
         "topic string, partition_id int, offset_value bigint, raw_value string, error string")
     rows = {r.offset_value: json.loads(r.envelope) for r in B.dlq_envelope(dlq).collect()}
     assert rows[1] == {"original": {"session_id": "s", "page": "/p"}, "error": "missing_event_id",
                        "source_topic": "clickstream.events"}
     assert rows[2]["original"] is None and rows[2]["error"] == "null_value"
+    assert rows[3]["original"] == 'not {json "x"'
 
 
 def test_page_dwell_and_recent_events(utc):
@@ -83,3 +85,16 @@ def test_strict_split_dead_letters_contract_breaks(utc):
     assert [r.offset_value for r in valid.collect()] == [1]
     assert {r.offset_value: r.error for r in dlq.collect()} == {
         2: "contract:event_type,dwell_ms", 3: "missing_event_id"}
+
+
+def test_strict_split_checks_types_of_the_raw_text(utc):
+    base = {"event_id": "a", "session_id": "s", "event_type": "click", "page": "/p", "ts": "2026-05-22T12:00:00Z"}
+    extras = [{"dwell_ms": 12, "x": 3, "y": -4}, {"dwell_ms": "abc"}, {"x": "q"}, {"dwell_ms": 12.7},
+              {"y": 10 ** 30}, {"dwell_ms": "7", "x": 5.0}, {"dwell_ms": None}]
+    env = utc.createDataFrame(
+        [("clickstream.events", 0, i, None, json.dumps(base | e)) for i, e in enumerate(extras)],
+        "topic string, partition_id int, offset_value bigint, key_json string, value_json string")
+    valid, dlq = B.split_clicks(B.annotate_clicks(env), strict=True)
+    assert sorted(r.offset_value for r in valid.collect()) == [0, 5, 6]
+    assert {r.offset_value: r.error for r in dlq.collect()} == {
+        1: "contract:dwell_ms", 2: "contract:x", 3: "contract:dwell_ms", 4: "contract:y"}

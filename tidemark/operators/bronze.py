@@ -103,7 +103,8 @@ def split_clicks(annotated: DataFrame, strict: bool = False) -> tuple[DataFrame,
     rules as the error (``contract:event_type,dwell_ms``)."""
     if strict:
         from tidemark.operators.quality import event_reasons
-        annotated = annotated.withColumn("_reasons", event_reasons())
+        raw = F.from_json("value_json", "x string, y string, dwell_ms string")
+        annotated = annotated.withColumn("_raw", raw).withColumn("_reasons", event_reasons("_raw"))
         ok = clicks_is_valid() & (F.col("_reasons") == "")
         error = (F.when(F.col("value_json").isNull(), F.lit(ERR_NULL_VALUE))
                  .when(F.col("event_id").isNull(), F.lit(ERR_MISSING_EVENT_ID))
@@ -130,13 +131,13 @@ def dlq_envelope(dlq: DataFrame, source_topic_col: str = "topic") -> DataFrame:
     """Dead-letter rows -> ``{original, error, source_topic}`` JSON text (V4).
 
     ``original`` embeds the raw value as JSON when it parses (VARIANT keeps
-    it as an object, not an escaped string); a null or non-JSON value is
-    carried as JSON null and stays available in ``raw_value``.
+    it as an object, not an escaped string); text that is not JSON is embedded
+    as a JSON string, a null value as JSON null.
     """
     return dlq.select(
         "*",
         F.to_json(F.struct(
-            F.try_parse_json("raw_value").alias("original"),
+            F.coalesce(F.try_parse_json("raw_value"), F.col("raw_value").cast("variant")).alias("original"),
             F.col("error").alias("error"),
             F.col(source_topic_col).alias("source_topic"),
         ), {"ignoreNullFields": "false"}).alias("envelope"),

@@ -47,6 +47,28 @@ def signed_amount() -> Column:
     return F.when(F.col("direction") == "credit", F.col("amount")).otherwise(-F.col("amount"))
 
 
+def opening_balance() -> Column:
+    """A known account's opening balance; NULL or out of range counts as zero."""
+    return F.coalesce(F.col("opening_balance").try_cast(MONEY), F.lit(0).cast(MONEY))
+
+
+def resolve_accounts(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The account that each transaction's (user, currency) names: the earliest
+    created one, ties by account id, NULL creation times last. ``reason`` is
+    ``unknown_account`` where there is none, else empty; ``consistent`` tells
+    whether the account recorded on the row is the one found. One row per
+    (user, currency) takes part in the join."""
+    first = F.min(F.struct(F.col("created_at").isNull(), "created_at", "account_id"))
+    owned = accounts.filter(F.col("account_id").isNotNull()).groupBy("user_id", "currency").agg(
+        first["account_id"].alias("resolved_account_id"))
+    return transactions.select("transaction_id", "account_id", "user_id", "currency").join(
+        owned, ["user_id", "currency"], "left").select(
+        "transaction_id", "account_id", "user_id", "currency", "resolved_account_id",
+        F.when(F.col("resolved_account_id").isNull(), F.lit("unknown_account"))
+        .otherwise(F.lit("")).alias("reason"),
+        F.col("account_id").eqNullSafe(F.col("resolved_account_id")).alias("consistent"))
+
+
 def first_account(accounts: DataFrame) -> DataFrame:
     """Each user's first account by ``created_at`` (ties: account id) (V7).
     A min over a struct: partial aggregation, no window over the user."""
@@ -121,19 +143,20 @@ def _replay_fold():
 
     def fold(batches):
         # Rows arrive sorted by (account, kind, occurred_at, transaction_id);
-        # kind 0 is the account's opening balance, kind 1 a transaction.
-        account, balance = None, Decimal(0)
+        # kind 0 is the account's opening balance, kind 1 a transaction; an
+        # account without a kind 0 row is unknown and has no balance.
+        account, balance = None, None
         for pdf in batches:
             keep, accepted, after = [], [], []
             for acc, kind, signed in zip(pdf["account_id"], pdf["_kind"], pdf["signed"]):
                 if acc != account:
-                    account, balance = acc, Decimal(0)
+                    account, balance = acc, None
                 if kind == 0:
-                    if signed is not None and not pd.isna(signed):
-                        balance = Decimal(signed)
+                    balance = Decimal(signed)
                     keep.append(False)
                     continue
-                ok = signed is not None and not pd.isna(signed) and balance + signed >= 0
+                ok = (balance is not None and signed is not None and not pd.isna(signed)
+                      and balance + signed >= 0)
                 if ok:
                     balance = balance + signed
                 keep.append(True)
@@ -151,13 +174,14 @@ def ledger_replay(transactions: DataFrame, accounts: DataFrame,
                   num_partitions: int | None = None) -> DataFrame:
     """Replay every account's ledger rejecting overdrafts (V11): a row is
     accepted when ``balance + signed >= 0``; a rejected row leaves the
-    balance unchanged. NULL amounts are rejected."""
+    balance unchanged. NULL amounts are rejected, and so is every row of an
+    account that ``accounts`` does not hold (``balance_after`` is NULL there)."""
     # Opening balances travel as marker rows (kind 0) sorted before the
     # account's transactions: one shuffle by account, no join.
     opening = accounts.filter(F.col("account_id").isNotNull()).select(
         F.lit(None).cast("string").alias("transaction_id"), "account_id",
         F.lit(None).cast("timestamp").alias("occurred_at"),
-        F.col("opening_balance").try_cast(MONEY).alias("signed"), F.lit(0).alias("_kind"))
+        opening_balance().alias("signed"), F.lit(0).alias("_kind"))
     tx = transactions.filter(F.col("account_id").isNotNull()).select(
         "transaction_id", "account_id", "occurred_at", signed_amount().try_cast(MONEY).alias("signed"),
         F.lit(1).alias("_kind"))

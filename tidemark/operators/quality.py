@@ -16,6 +16,7 @@ from tidemark.operators.ledger import TRANSACTION_TYPES
 EVENT_TYPES = ("page_enter", "page_leave", "route_change", "click", "mouse_move")
 UUID_REGEX = r"^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
 CURRENCY_REGEX = r"^[A-Z]{3}$"
+WHOLE_NUMBER = r"^\s*[+-]?[0-9]+(\.0*)?\s*$"
 MAX_EVENT_ID, MAX_SESSION_ID, MAX_PAGE, MAX_ELEMENT_ID = 120, 120, 240, 160
 MAX_DESCRIPTION, MAX_MERCHANT = 240, 120
 BATCH_MIN, BATCH_MAX = 1, 200
@@ -31,12 +32,23 @@ def _reasons(*rules: tuple[str, Column]) -> Column:
         *[F.when(broken, F.lit(name)) for name, broken in rules])))
 
 
-def event_reasons() -> Column:
-    """V1 as one column over typed event columns: broken rule names, '' if ok."""
-    return _reasons(*_event_rules())
+def event_reasons(raw: str | None = None) -> Column:
+    """V1 as one column over typed event columns: broken rule names, '' if ok.
 
+    ``raw`` names a struct column with the record's own text of ``x``, ``y``
+    and ``dwell_ms``; with it, text that is not a whole number in range breaks
+    its rule, where the typed column alone only shows NULL or a cut value."""
+    return _reasons(*_event_rules(raw))
 
-def _event_rules() -> tuple[tuple[str, Column], ...]:
+
+def _not_whole(raw: str | None, field: str) -> Column:
+    if raw is None:
+        return F.lit(False)
+    text = F.col(f"{raw}.{field}")
+    return text.isNotNull() & (~text.rlike(WHOLE_NUMBER) | F.col(field).isNull())
+
+
+def _event_rules(raw: str | None = None) -> tuple[tuple[str, Column], ...]:
     return (
         ("event_id", ~_length_between(F.col("event_id"), 1, MAX_EVENT_ID)),
         ("session_id", ~_length_between(F.col("session_id"), 1, MAX_SESSION_ID)),
@@ -44,7 +56,9 @@ def _event_rules() -> tuple[tuple[str, Column], ...]:
         ("event_type", ~F.coalesce(F.col("event_type").isin(*EVENT_TYPES), F.lit(False))),
         ("page", ~_length_between(F.col("page"), 1, MAX_PAGE)),
         ("element_id", F.coalesce(F.length("element_id") > MAX_ELEMENT_ID, F.lit(False))),
-        ("dwell_ms", F.coalesce(F.col("dwell_ms") < 0, F.lit(False))),
+        ("x", _not_whole(raw, "x")),
+        ("y", _not_whole(raw, "y")),
+        ("dwell_ms", F.coalesce(F.col("dwell_ms") < 0, F.lit(False)) | _not_whole(raw, "dwell_ms")),
         ("ts", F.col("event_ts").isNull()),
     )
 

@@ -239,6 +239,12 @@ def ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edge(ledger.ledger_replay(L.transactions, L.accounts))
 
 
+def resolve_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import ledger
+    L = Layers(spark, sf_dir)
+    return ledger.resolve_accounts(L.transactions, L.accounts)
+
+
 def page_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators import clicks
     return clicks.page_dwell(Layers(spark, sf_dir).bronze_clicks)
@@ -370,6 +376,7 @@ def registry() -> dict[str, Query]:
         "list_users": list_users,
         "ledger_running_balance": ledger_running_balance,
         "ledger_replay": ledger_replay,
+        "resolve_accounts": resolve_accounts,
         "page_dwell": page_dwell,
         "income_spend": income_spend,
         "recent_events": recent_events,

@@ -6,7 +6,9 @@ processor, which applies them in ledger order (``occurred_at``,
 ``transaction_id``) on top of the stored balance. When rows arrive in ledger
 order the result equals the batch replay (``operators.ledger.ledger_replay``);
 a row older than rows already applied is applied in arrival order (a
-ledger, like the source service, is append-only).
+ledger, like the source service, is append-only). Rows of an account that
+``accounts`` does not hold are rejected and leave no state, so an account that
+appears later starts from its opening balance.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.ledger import MONEY, REPLAY_SCHEMA, signed_amount
+from tidemark.operators.ledger import MONEY, REPLAY_SCHEMA, opening_balance, signed_amount
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_SCHEMA = T.StructType([T.StructField("balance", T.DecimalType(38, 2))])
@@ -38,14 +40,16 @@ def _processor():
             balance = self.balance.get()[0] if self.balance.exists() else None
             accepted, after = [], []
             for opening, signed in zip(pdf["opening"], pdf["signed"]):
-                if balance is None:
-                    balance = Decimal(0) if opening is None or pd.isna(opening) else Decimal(opening)
-                ok = signed is not None and not pd.isna(signed) and balance + signed >= 0
+                if balance is None and opening is not None and not pd.isna(opening):
+                    balance = Decimal(opening)
+                ok = (balance is not None and signed is not None and not pd.isna(signed)
+                      and balance + signed >= 0)
                 if ok:
                     balance = balance + signed
                 accepted.append(bool(ok))
                 after.append(balance)
-            self.balance.update((balance,))
+            if balance is not None:
+                self.balance.update((balance,))
             out = pdf[["transaction_id", "account_id", "occurred_at", "signed"]].copy()
             out["accepted"] = accepted
             out["balance_after"] = after
@@ -63,7 +67,7 @@ def ledger_replay_stream(transactions: DataFrame, accounts: DataFrame) -> DataFr
     (``use_rocksdb_state(spark)``) before the query starts."""
     # (Column names with a leading underscore do not survive the trip to the
     # Python processor under their own name, hence plain names here.)
-    opening = accounts.select("account_id", F.col("opening_balance").alias("opening"))
+    opening = accounts.select("account_id", opening_balance().alias("opening"))
     rows = transactions.filter(F.col("account_id").isNotNull()).select(
         "transaction_id", "account_id", "occurred_at", signed_amount().try_cast(MONEY).alias("signed"))
     return rows.join(opening, "account_id", "left").groupBy("account_id").transformWithStateInPandas(
