@@ -4,10 +4,10 @@ Vectors are scaled to length one and turned so that their coordinates come in
 the order of variance. A k-d tree over the leading coordinates, fitted on a
 bounded sample (SAMPLE rows), cuts the space into leaves; every vector has a
 home leaf and is a guest in each leaf whose box is nearer than the chord of the
-threshold, so that no pair within reach is missed. The rows of a leaf are split
-into tiles of TILE rows, and each tile of home rows meets all tiles of the leaf,
-home and guest, in tasks of their own: a hot leaf becomes more tasks, not a
-larger one. Within a task, leading coordinates are multiplied first; the rest of
+threshold, so that no pair within reach is missed. The home rows of a leaf are
+split into tiles of TILE rows, all its rows, home and guest, into tiles of
+OTHER_TILE rows, and each of the former meets each of the latter in a task of its
+own: a hot leaf becomes more tasks, not a larger one. Within a task, leading coordinates are multiplied first; the rest of
 a product is bounded by the norms of the suffixes, and pairs that cannot reach
 the threshold any more are dropped, blocks without such a pair at once. What
 remains is decided by the cosine of the vectors as given, in double precision.
@@ -38,6 +38,7 @@ from tidemark.llm.components import components
 THRESHOLD = 0.9
 SAMPLE = 50_000
 TILE = 4_096
+OTHER_TILE = 16_384
 LEADING = 8
 #: Coordinates after which the bound is tried.
 STOPS = (8, 16, 32)
@@ -199,11 +200,14 @@ def _compare(home: pd.DataFrame, other: pd.DataFrame, axes: np.ndarray | None, t
 
 def _links(placed: DataFrame, dim: int, axes: np.ndarray, threshold: float) -> DataFrame:
     shared = placed.sparkSession.sparkContext.broadcast(axes)
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    tiled = placed.join(sizes, "leaf").withColumn("tile", F.pmod(F.hash("row"), F.col("tiles")))
-    each = F.sequence(F.lit(0), F.col("tiles") - 1)
-    left = tiled.where("home").select("leaf", "tile", F.explode(each).alias("with"), "row", "vector", "weight", F.lit(True).alias("home"))
-    right = tiled.select("leaf", F.explode(each).alias("tile"), F.col("tile").alias("with"), "row", "vector", "weight", F.lit(False).alias("home"))
+    # A leaf's home rows and all its rows are cut apart from each other: a row moves once for every tile of the other side.
+    tiles = lambda rows, size: F.greatest(F.ceil(rows / size), F.lit(1)).cast("int")
+    sizes = placed.groupBy("leaf").agg(tiles(F.count_if("home"), TILE).alias("homes"), tiles(F.count("*"), OTHER_TILE).alias("others"))
+    tiled = placed.join(sizes, "leaf")
+    home, other = (F.pmod(F.hash("row"), F.col(n)) for n in ("homes", "others"))
+    each_home, each_other = (F.explode(F.sequence(F.lit(0), F.col(n) - 1)) for n in ("homes", "others"))
+    left = tiled.where("home").select("leaf", home.alias("tile"), each_other.alias("with"), "row", "vector", "weight", F.lit(True).alias("home"))
+    right = tiled.select("leaf", each_home.alias("tile"), other.alias("with"), "row", "vector", "weight", F.lit(False).alias("home"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         home, other = rows[rows["home"]], rows[~rows["home"]]
