@@ -236,6 +236,8 @@ def test_substrings(docs, none, rows):
         spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
         want.append((r[0], len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
     same(substrings.remove_repeats(docs).collect(), want)
+    for hot in (0, 2):  # marks that occur more often go window by window
+        same(substrings.remove_repeats(docs, hot=hot).collect(), want)
     assert substrings.remove_repeats(none).count() == 0
 
 

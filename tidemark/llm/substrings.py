@@ -8,7 +8,9 @@ occurs once in all texts has no repeated window. This deals the work out:
 1. One scan lists the marks of every text; they are counted globally.
 2. Texts with marks that occur again are joined with those marks. For each, the
    segment is cut that covers exactly the windows of this mark. Equal segments
-   collapse to one with a count, before they are shuffled.
+   collapse to one with a count, before they are shuffled. A mark that occurs
+   more than HOT times does not gather its segments: its windows are cut one by
+   one, each known by its 128-bit name alone, and counted like any other key.
 3. Segments are dealt by mark and sorted, so that a task reads all segments of a
    mark in sequence; it packs them into shards of SHARD_BYTES, builds the suffix
    array of each by induced sorting, and reads off the permuted common prefixes
@@ -42,6 +44,8 @@ from tidemark.llm.suffixes import permuted_prefixes, suffix_array
 WIDTH = 200
 GRAM = 100
 SHARD_BYTES = 2 << 20
+#: Segments of a mark that one task may gather: at most 5 MB beside the shard.
+HOT = 1 << 14
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -96,7 +100,10 @@ def _marked(texts: DataFrame) -> DataFrame:
 
 
 def _segments(found: DataFrame) -> DataFrame:
-    """From (row, text, hits: array of (start, stop, mark)) the segments: mark, a 128-bit name, bytes, row and start."""
+    """From (row, text, hits: array of (start, stop, mark, hot)) the segments: mark, a 128-bit name, bytes, row and start.
+
+    A hot hit gives its windows one by one: half of the name in place of the mark, and no bytes.
+    """
 
     names = ["mark", "name1", "name2", "bytes", "row", "start"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
@@ -111,11 +118,13 @@ def _segments(found: DataFrame) -> DataFrame:
             for row, text, hits in zip(*(batch.column(i) for i in range(3)), strict=True):
                 raw, key = text.as_py().encode("utf-8", "surrogatepass"), row.as_py()
                 for hit in hits.as_py():
-                    cut = raw[hit["start"] : hit["stop"] + WIDTH]
-                    name = xxhash.xxh3_128_intdigest(cut)
-                    halves = ((name >> 64) - (1 << 63), (name & (1 << 64) - 1) - (1 << 63))
-                    rows.append((hit["mark"], *halves, cut, key, hit["start"]))
-                    if len(rows) == 10_000:
+                    first, last, hot = hit["start"], hit["stop"], hit["hot"]
+                    for start, stop in ((w, w) for w in range(first, last + 1)) if hot else ((first, last),):
+                        cut = raw[start : stop + WIDTH]
+                        name = xxhash.xxh3_128_intdigest(cut)
+                        halves = ((name >> 64) - (1 << 63), (name & (1 << 64) - 1) - (1 << 63))
+                        rows.append((halves[0] if hot else hit["mark"], *halves, b"" if hot else cut, key, start))
+                    if len(rows) >= 10_000:
                         yield packed(rows)
                         rows = []
             if rows:
@@ -163,15 +172,17 @@ def _repeated(segments: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []  # the segments of the mark that is being read
         rows: list[tuple] = []  # the segments of the shard
-        alone: list[tuple] = []  # segments that are the only ones of their mark, copies aside
+        alone: list[tuple] = []  # windows of hot marks, and segments that are the only ones of their mark, copies aside
         size = 0
 
         def settle(group: list[tuple]) -> None:
             nonlocal size
+            alone.extend(r for r in group if not r[3] and r[4] > 1)
+            group = [r for r in group if r[3]]
             if len(group) > 1:
                 rows.extend(group)
                 size += sum(len(r[3]) for r in group)
-            elif group[0][4] > 1:  # else no window of it occurs twice: its second place would be a segment too
+            elif group and group[0][4] > 1:  # else no window of it occurs twice: its second place would be a segment too
                 alone.extend(group)
 
         for batch in batches:
@@ -185,12 +196,12 @@ def _repeated(segments: DataFrame) -> DataFrame:
                         size = 0
                 group.append(row)
             if alone:
-                yield told(alone, [np.ones(len(r[3]) - WIDTH + 1, bool) for r in alone])
+                yield told(alone, [np.ones(max(1, len(r[3]) - WIDTH + 1), bool) for r in alone])
                 alone.clear()
         if group:
             settle(group)
         if alone:
-            yield told(alone, [np.ones(len(r[3]) - WIDTH + 1, bool) for r in alone])
+            yield told(alone, [np.ones(max(1, len(r[3]) - WIDTH + 1), bool) for r in alone])
         if rows:
             yield told(rows, repeated_windows([r[3] for r in rows], [r[4] for r in rows]))
 
@@ -229,7 +240,9 @@ def _cleaned(texts: DataFrame) -> DataFrame:
     return texts.select("sha", "text", "windows").mapInArrow(run, schema)
 
 
-def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_substrings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT
+) -> tuple[DataFrame, DataFrame]:
     """(documents, changed): per input row doc_id, sha, n_bytes, copies; per text with removed bytes what _cleaned gives.
 
     Texts that occur more than once are in neither their spans nor their kept bytes listed: they go as a whole.
@@ -243,8 +256,9 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("row", "sha", "n_bytes", "starts", F.posexplode("marks").alias("i", "mark"))
         .select("row", "mark", F.element_at("starts", F.col("i") + 1).alias("start"), stop.alias("stop"))
     )
-    again = each.groupBy("mark").count().where("count > 1").select("mark")
-    hits = each.join(again, "mark").groupBy("row").agg(F.collect_list(F.struct("start", "stop", "mark")).alias("hits"))
+    # A table, so that both sides of the join are plain exchanges and a mark that stands in very many texts can be split.
+    again = store(each.groupBy("mark").agg((F.count("*") > hot).alias("hot"), F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    hits = each.join(again, "mark").groupBy("row").agg(F.collect_list(F.struct("start", "stop", "mark", "hot")).alias("hits"))
     hits = marked.select("row", "sha").join(hits, "row").join(copies.select("row", "copies"), "row")
     digest = F.sha2(F.col("text").cast("binary"), 256)
     found = store(texts.select(digest.alias("sha"), "text").join(hits, "sha"), "found")
@@ -260,9 +274,9 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return documents, changed
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    documents, changed = repeated_substrings(docs, id_col, text_col)
+    documents, changed = repeated_substrings(docs, id_col, text_col, hot)
     changed = changed.select("sha", "n_removed", "n_spans", "kept_sha256")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= WIDTH)
     return documents.join(changed, "sha", "left").select(
