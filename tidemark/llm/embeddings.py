@@ -37,11 +37,14 @@ from tidemark.llm.components import components
 
 THRESHOLD = 0.9
 SAMPLE = 50_000
-TILE = 4_096
+TILE = 16_384
 OTHER_TILE = 16_384
 LEADING = 8
-#: Coordinates after which the bound is tried.
-STOPS = (8, 16, 32)
+#: Share of the squared length that is left to the suffixes where the bound is first tried.
+REST = 0.62
+#: A block whose share of pairs within reach is below 1 / FEW is decided pair by pair, DECIDED pairs at a time.
+FEW = 2_000
+DECIDED = 1 << 15
 SLACK = 1e-9
 
 
@@ -139,62 +142,83 @@ def _placed(distinct: DataFrame, dim: int, axes: np.ndarray, nodes: list, reach:
     return distinct.select("row", "vector", "weight").mapInPandas(run, "row bigint, vector array<double>, weight bigint, leaf int, home boolean")
 
 
-def _close(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the unit rows whose product may reach the threshold."""
-    dim = a.shape[1]
-    stops = [*(s for s in STOPS if s < dim), dim]
-    partial, at = np.zeros((len(a), len(b))), 0
-    for stop in stops[:-1]:
-        partial += a[:, at:stop] @ b[:, at:stop].T
-        bound = np.sqrt((a[:, stop:] ** 2).sum(axis=1))[:, None] * np.sqrt((b[:, stop:] ** 2).sum(axis=1))[None, :]
-        alive = partial + bound >= threshold - SLACK
-        at = stop
-        kept = np.count_nonzero(alive)
-        if not kept:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if kept * 20 < alive.size:  # few pairs left: finish them one by one
-            i, j = np.nonzero(alive)
-            sums = partial[i, j] + np.einsum("ij,ij->i", a[i, at:], b[j, at:])
-            good = sums >= threshold - SLACK
-            return i[good], j[good]
-    partial += a[:, at:] @ b[:, at:].T
-    return np.nonzero(partial >= threshold - SLACK)
+def _stops(unit: np.ndarray, dim: int) -> list[int]:
+    """After how many coordinates the bound is tried: where REST of the squared length is left, and at doubled numbers."""
+    left = 1 - np.cumsum((unit * unit).mean(axis=0))
+    first = int(np.argmax(left <= REST)) + 1
+    return [*(s for s in (first << k for k in range(dim.bit_length())) if s < dim), dim]
+
+
+def _parts(unit: np.ndarray, stops: list[int], sign: int) -> list[np.ndarray]:
+    """The coordinates before each stop, beside the norm of the suffix there and, signed, of the suffix they take the place of.
+
+    A product of two such rows, summed up to a stop, bounds the whole product.
+    """
+    norm = lambda at: np.sqrt((unit[:, at:] ** 2).sum(axis=1, keepdims=True))
+    out = []
+    for first, last in zip([0, *stops[:-1]], stops, strict=True):
+        part = [unit[:, first:last], norm(last), *([sign * norm(first)] if first else [])]
+        out.append(np.hstack(part).astype(np.float32))
+    return out
+
+
+def _close(a: list[np.ndarray], b: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs whose product may reach ``least``, from the parts of both sides; few pairs left end the sum early."""
+    bound = np.zeros((1, 1), np.float32)
+    for x, y in zip(a, b, strict=True):
+        bound = bound + x @ y.T
+        alive = bound >= least
+        if np.count_nonzero(alive) * FEW < alive.size:
+            break
+    return np.nonzero(alive)
+
+
+def _hooked(top: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The forest ``top`` (roots of all nodes) with the pairs (p, q) joined, and the (root, smaller root) edges that did it."""
+    edges = []
+    while True:
+        p, q = top[p], top[q]
+        apart = p != q
+        p, q = p[apart], q[apart]
+        if not len(p):
+            return top, edges
+        high = np.maximum(p, q)
+        np.minimum.at(top, high, np.minimum(p, q))
+        high = np.unique(high)
+        edges.append(np.stack([high, top[high]]))
+        while not np.array_equal(top, up := top[top]):
+            top = up
 
 
 def _compare(home: pd.DataFrame, other: pd.DataFrame, axes: np.ndarray | None, threshold: float) -> Iterator[pd.DataFrame]:
     """Links of the home rows of one tile with the rows of another: (row, n) counts, and edges (row, to) that span them."""
     given_a, given_b = _level(_matrix(home["vector"])), _level(_matrix(other["vector"]))
     a, b = (_units(x) if axes is None else _units(x) @ axes for x in (given_a, given_b))
+    dim = a.shape[1]
+    stops = _stops(a, dim)
+    a, b = _parts(a, stops, -1), _parts(b, stops, 1)
+    least = threshold - SLACK - (dim + 3 * len(stops)) * 2.0**-22  # of the rounding to single precision
+    size_a, size_b = (np.sqrt((x * x).sum(axis=1)) for x in (given_a, given_b))
     weight, ids_a, ids_b = other["weight"].to_numpy(), home["row"].to_numpy(), other["row"].to_numpy()
-    counts = np.zeros(len(a), np.int64)
-    edges: set[tuple[int, int]] = set()
-    top = {}
-
-    def find(x: int) -> int:
-        while top.setdefault(x, x) != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
-    for i in range(0, len(a), 1024):
-        for j in range(0, len(b), 1024):
-            x, y = _close(a[i : i + 1024], b[j : j + 1024], threshold)
-            x, y = x + i, y + j
-            keep = ids_a[x] != ids_b[y]
-            x, y = x[keep], y[keep]
-            u, v = given_a[x], given_b[y]
-            cosine = (u * v).sum(axis=1) / (np.sqrt((u * u).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
-            x, y = x[cosine >= threshold], y[cosine >= threshold]
-            np.add.at(counts, x, weight[y])
-            for p, q in zip(ids_a[x].tolist(), ids_b[y].tolist(), strict=True):
-                p, q = find(p), find(q)
-                if p != q:
-                    top[max(p, q)] = min(p, q)
-                    edges.add((max(p, q), min(p, q)))
+    ids, node = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
+    node_a, node_b = node[: len(ids_a)], node[len(ids_a) :]
+    counts = np.zeros(len(ids_a), np.int64)
+    top, edges = np.arange(len(ids)), []
+    for i in range(0, len(ids_a), 1024):
+        for j in range(0, len(ids_b), 1024):
+            left, right = _close([x[i : i + 1024] for x in a], [x[j : j + 1024] for x in b], least)
+            for at in range(0, len(left), DECIDED):
+                x, y = left[at : at + DECIDED] + i, right[at : at + DECIDED] + j
+                cosine = (given_a[x] * given_b[y]).sum(axis=1) / (size_a[x] * size_b[y])
+                keep = (cosine >= threshold) & (node_a[x] != node_b[y])
+                x, y = x[keep], y[keep]
+                np.add.at(counts, x, weight[y])
+                top, new = _hooked(top, node_a[x], node_b[y])
+                edges += new
     hit = np.flatnonzero(counts)
     yield pd.DataFrame({"row": ids_a[hit], "n": counts[hit], "to": np.full(len(hit), -1)})
     if edges:
-        rows, to = zip(*edges, strict=True)
+        rows, to = ids[np.concatenate(edges, axis=1)]
         yield pd.DataFrame({"row": rows, "n": np.zeros(len(rows), np.int64), "to": to})
 
 
