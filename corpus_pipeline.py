@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, langid, mixing, simhash
+from tidemark.llm import bpe, exact_dedup, langid, mixing, similar
 from tidemark.llm.common import store, table
 from tidemark.llm.queries import tokenizer_path
 
@@ -26,7 +26,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_per_group(docs)
+    return similar.one_per_group(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

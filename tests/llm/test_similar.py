@@ -1,0 +1,52 @@
+"""The near-duplicate stage of the pipeline against the Jaccard index of all pairs."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tidemark.llm import similar
+
+SCHEMA = "doc_id bigint, text string, lang string"
+
+
+def brute_sets(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def _rows():
+    rng = np.random.default_rng(7)
+    texts, common = [None, "", "one two", "One  two", "one two three"], " ".join(f"c{i}" for i in range(30))
+    for g in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 400, 60 + 25 * g)]
+        for changes in (0, 1, 2, 3, 4, 6, 9):
+            words = list(base)
+            for at in rng.choice(len(words), changes, replace=False):
+                words[at] = f"n{rng.integers(10**6)}"
+            texts.append(" ".join(words))
+        texts += [f"{common} {' '.join(base[:10])}", " ".join(base[: len(base) * 9 // 10])]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    return [*rows, (None, texts[9], "de"), (None, texts[9], "de"), (20, texts[40], "fr")]
+
+
+@pytest.mark.parametrize("often", [1, 10**9])
+def test_near_stage_is_the_jaccard_index_of_all_pairs(spark, monkeypatch, often):
+    monkeypatch.setattr(similar, "SAMPLE", 1)
+    monkeypatch.setattr(similar, "OFTEN", often)
+    rows = _rows()
+    sets = [brute_sets(r[1]) for r in rows]
+    low = list(range(len(rows)))
+    near = [[j for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)] for a in sets]
+    for _ in rows:
+        low = [min(low[j] for j in js) for js in near]
+    groups = {}
+    for i, g in enumerate(low):
+        groups.setdefault(g, []).append(rows[i][0])
+    want = sorted((min((x is None, x or 0) for x in ids)) for ids in groups.values())
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    assert got.columns == ["doc_id", "text", "lang"]
+    kept = got.collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == want
+    assert 12 < len(want) < len(rows) - 20

@@ -1,0 +1,158 @@
+"""One text of each group of similar ones: SimHash links first, then every pair that a prefix filter leaves possible.
+
+Two texts are similar if the Jaccard index of their sets of five-word shingles
+is LEAST or more; groups are the components of that relation. At an index of
+0.8 SimHashes differ by about ten of 64 bits, which no index of segment balls
+reaches without comparing a fixed share of all pairs. So SimHash only joins the
+closest texts, and a prefix filter finds the others without loss: in any common
+order of all shingles, two sets of that similarity share one of their first
+n - ceil(LEAST * n) + 1. Every candidate is decided by the shingles themselves.
+
+The order puts frequent shingles last, so that a common passage is no key of
+the texts that merely hold it. What is frequent comes from a sample; any order
+gives the same pairs, so the sample touches the cost and never the result.
+
+A key's texts are first held against the shortest of them, and what that joins
+counts as one; only pairs of different groups are compared afterwards, so a
+large group of copies costs its rows and not its pairs.
+
+Defined results: texts without words are similar to one another; the row that
+stays has the least (doc_id, nulls last; SHA-256 of the text; row number).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm import simhash
+from tidemark.llm.common import store, text_of
+from tidemark.llm.components import components
+
+SHINGLE = 5
+#: The least Jaccard index, as a fraction.
+LEAST = (4, 5)
+#: The sample of one row in SAMPLE counts a shingle as frequent from OFTEN on; so many are set back at most.
+SAMPLE, OFTEN, SET_BACK = 16, 4, 1 << 17
+
+
+def shingles(text: str | None) -> set[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").translate(simhash.LOWER).split()
+    return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+
+
+def _hashes(text: str | None) -> np.ndarray:
+    found = shingles(text)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
+
+
+def _frequent(rows: DataFrame) -> np.ndarray:
+    """Hashes of shingles that many texts hold, the rarer ones first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(text.as_py()).view(np.int64))], names=["key"])
+
+    some = rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "key bigint")
+    often = some.groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(SET_BACK)
+    return np.array([r["key"] for r in often.collect()][::-1], np.int64).view(np.uint64)
+
+
+def _keys(rows: DataFrame, often: np.ndarray) -> DataFrame:
+    """(key, row, n): the first shingles of each set of n, which a similar set must share in part."""
+    order = np.argsort(often)
+    known, (part, whole) = often[order], LEAST
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, counts = [], [], []
+            for text in batch.column(1):
+                found = _hashes(text.as_py())
+                n = len(found)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    found = found[np.lexsort((found, np.where(known[at] == found, order[at] + 1, 0)))]
+                keys.append(found[: n + (-part * n // whole) + 1].view(np.int64))
+                sizes.append(n)
+                counts.append(len(keys[-1]))
+            if keys:
+                columns = [np.concatenate(keys), np.repeat(batch.column(0).to_numpy(), counts), np.repeat(np.array(sizes, np.int32), counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "row", "n"])
+
+    return rows.select("row", "text").mapInArrow(run, "key bigint, row bigint, n int")
+
+
+def _similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are similar, decided by their shingles."""
+    part, whole = LEAST
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = lru_cache(256)(shingles)
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = held(x.as_py()), held(y.as_py())
+                both = len(one & two)
+                keep.append(whole * both >= part * (len(one) + len(two) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    texts = store(rows.select("row", "text").join(ends, "row", "left_semi"), "texts")
+    first, second = (texts.select(F.col("row").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
+    return store(both.mapInArrow(run, "a bigint, b bigint"), "similar")
+
+
+def _close(rows: DataFrame) -> DataFrame:
+    """Pairs by SimHash: each row with the first of its fingerprint, and the first rows of linked fingerprints."""
+    found = store(simhash.fingerprints(rows, "row", shingle=SHINGLE), "fingerprints")
+    first = found.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    same = found.join(first, "fp").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+    a, b = (first.select(F.col("fp").alias(x), F.col("low").alias(f"low_{x}")) for x in "ab")
+    linked = simhash.links(first.select("fp")).join(a, "a").join(b, "b")
+    return same.union(linked.select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))).where("a <> b")
+
+
+def similar_pairs(rows: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) of ``rows`` (row, text) that connect each group of similar texts."""
+    part, whole = LEAST
+    item = F.struct("n", "row")
+    grouped = _keys(rows, _frequent(rows)).groupBy("key").agg(F.sort_array(F.collect_set(item)).alias("met"))
+    met = store(grouped.where("size(met) > 1"), "met")
+    members = met.select("key", F.explode("met").alias("x"), F.col("met")[0].alias("y"))
+    shortest = members.where(whole * F.col("y.n") >= part * F.col("x.n")).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
+    sure = _similar(_close(rows).union(shortest), rows)
+    roots = components(sure)
+    placed = members.select("key", "x.n", "x.row").join(roots, F.col("row") == F.col("node"), "left")
+    placed = placed.select("key", "n", "row", F.coalesce("root", "row").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.collect_list(F.struct("n", "row", "root")).alias("met"))
+    each = mixed.where("low <> high").select(F.explode("met").alias("x"), "met")
+
+    def possible(y):  # noqa: ANN001, ANN202
+        x = F.col("x")
+        return (x["root"] < y["root"]) & (whole * F.least(x["n"], y["n"]) >= part * F.greatest(x["n"], y["n"]))
+
+    more = each.select(F.col("x.row").alias("a"), F.explode(F.filter("met", possible)).alias("y")).select("a", F.col("y.row").alias("b"))
+    return sure.union(_similar(more, rows))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each group of similar texts."""
+    whole = store(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = whole.select(F.col("__row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    roots = store(components(similar_pairs(rows.select("row", "text"))), "roots")
+    nodes = roots.union(roots.select("root", "root")).distinct().withColumnRenamed("node", "row")
+    digest = F.sha2(text_of("text").cast("binary"), 256)
+    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), digest.alias("digest"), F.col("row").alias("row"))
+    ranked = store(rows.join(nodes, "row").select("row", "root", rank.alias("rank")), "ranked")
+    first = ranked.groupBy("root").agg(F.min("rank")["row"].alias("first"))
+    gone = ranked.join(first, "root").where("row <> first").select(F.col("row").alias("__row"))
+    return whole.join(gone, "__row", "left_anti").select(*docs.columns)
