@@ -1,12 +1,13 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 The base patterns find the seeds: e-mail addresses, IPv4 addresses, card numbers
-that pass Luhn's test, and phone numbers with a country code. The words beside a
-seed are its lexical patterns. Looser shapes (LOOSE) give candidates, which are
-no finding of themselves. Spark then scores the graph of patterns and instances:
+that pass Luhn's test, and phone numbers with a country code. The runs of one to
+LENGTH tokens beside a seed, on either side, are its lexical patterns, and they
+are counted by the tokens that make them. Looser shapes (LOOSE) give candidates,
+which are no finding of themselves. Spark then scores the graph of patterns and instances:
 
 * a pattern (kind, side, word) scores the summed scores of its instances over
-  all occurrences of its word in the corpus, so that a common word that happens
+  all occurrences of its tokens in the corpus, so that a common word that happens
   to stand before an address scores next to nothing; a pattern needs SUPPORT
   distinct instances of score ACCEPT or more;
 * a seed scores 1, a candidate one minus the product of (1 - score) over the
@@ -46,6 +47,10 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+(])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
 }
+#: A token of context: letters, digits, or one other character that is no white space.
+TOKEN = r"[\p{L}\p{M}_]+|\p{N}+|[^\p{L}\p{M}\p{N}_\x20\x09-\x0D]"
+#: The most tokens in a pattern.
+LENGTH = 3
 #: Characters of context that are looked at on either side of a match.
 CONTEXT = 64
 SUPPORT = 3
@@ -139,33 +144,51 @@ def _occurrences(scanned: DataFrame) -> DataFrame:
     seeds = both.select("row", F.explode("base").alias("x"), F.lit(True).alias("seed"))
     fresh = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
     candidates = both.select("row", F.explode(fresh).alias("x"), F.lit(False).alias("seed"))
-    spaces = r"[\x20\x09-\x0D]*"
-    word = r"([^\x20\x09-\x0D]+)"
-    left = F.struct(F.lit("left").alias("side"), F.regexp_extract("x.before", f"{word}{spaces}$", 1).alias("word"))
-    right = F.struct(F.lit("right").alias("side"), F.regexp_extract("x.after", f"^{spaces}{word}", 1).alias("word"))
-    every = seeds.union(candidates).select("row", "x.kind", "x.start", "x.stop", F.lower("x.value").alias("value"), "seed", F.array(left, right).alias("beside"))
-    return every.withColumn("beside", F.transform("beside", lambda b: F.struct(b["side"].alias("side"), F.lower(b["word"]).alias("word"))))
-
-
-def _words(docs: DataFrame, text_col: str) -> DataFrame:
-    """How often each word occurs in the whole corpus."""
-    words = docs.select(F.explode(F.split(F.lower(text_of(text_col)), r"[\x20\x09-\x0D]+")).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("total"))
-
-
-def _accepted(occurrences: DataFrame, words: DataFrame) -> DataFrame:
+    whole = F.when(F.length("x.before") == CONTEXT, F.regexp_replace("x.before", rf"^(?:{TOKEN})", "")).otherwise(F.col("x.before"))
+    end = F.when(F.length("x.after") == CONTEXT, F.regexp_replace("x.after", rf"(?:{TOKEN})$", "")).otherwise(F.col("x.after"))
+    tokens = lambda text: F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    sides = {"left": lambda k: F.slice(F.reverse("before"), 1, k), "right": lambda k: F.slice("after", 1, k)}
+
+    def pattern(side: str, k: int) -> Column:
+        some = F.reverse(sides[side](k)) if side == "left" else sides[side](k)
+        return F.struct(F.lit(side).alias("side"), F.when(F.size(some) == k, F.array_join(some, " ")).otherwise("").alias("word"))
+
+    beside = F.array(*(pattern(side, k) for side in sides for k in range(1, LENGTH + 1)))
+    every = seeds.union(candidates).select(
+        "row", "x.kind", "x.start", "x.stop", F.lower("x.value").alias("value"), "seed", tokens(F.lower(whole)).alias("before"), tokens(F.lower(end)).alias("after")
+    )
+    return every.select("row", "kind", "start", "stop", "value", "seed", beside.alias("beside"))
+
+
+def _totals(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """How often each wanted run of tokens occurs in the whole corpus."""
+    tokens = docs.select(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(TOKEN), F.lit(0)).alias("tokens")).where("size(tokens) > 0")
+    runs = []
+    for k in range(1, LENGTH + 1):
+        places = F.sequence(F.lit(1), F.size("tokens") - (k - 1))
+        run = F.col("tokens") if k == 1 else F.transform(places, lambda i: F.array_join(F.slice("tokens", i, k), " "))  # noqa: B023
+        runs.append(tokens.where(F.size("tokens") >= k).select(F.explode(run).alias("word")).join(wanted.where(F.col("length") == k), "word", "left_semi"))
+    found = runs[0]
+    for more in runs[1:]:
+        found = found.union(more)
+    return found.groupBy("word").agg(F.count("*").alias("total"))
+
+
+def _accepted(occurrences: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(kind, value) of the candidates that the patterns vouch for."""
     edges = occurrences.select("kind", "value", "seed", F.explode("beside").alias("b")).where("b.word <> ''")
-    edges = edges.groupBy("kind", "value", "b.side", "b.word").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    totals = words.join(edges.select("word").distinct(), "word", "left_semi")
-    edges = store(edges.join(totals, "word"), "edges")
+    edges = store(edges.groupBy("kind", "value", "b.side", "b.word").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "edges")
+    # A pattern of fewer instances never scores.
+    often = edges.groupBy("kind", "side", "word").agg(F.count("*").alias("values")).where(F.col("values") >= SUPPORT)
+    wanted = store(often.select("word", F.size(F.split("word", " ")).alias("length")).distinct(), "wanted")
+    edges = store(edges.join(_totals(docs, text_col, wanted), "word", "left"), "edges")
     scores = edges.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for _ in range(ROUNDS):
         strong = F.count(F.when(F.col("score") >= ACCEPT, 1))
         patterns = (
             edges.join(scores, ["kind", "value"])
             .groupBy("kind", "side", "word")
-            .agg(F.least(F.lit(0.999), F.sum(F.col("score") * F.col("n")) / F.max("total")).alias("trust"), strong.alias("support"))
+            .agg(F.least(F.lit(0.999), F.sum(F.col("score") * F.col("n")) / F.greatest(F.max("total"), F.sum("n"))).alias("trust"), strong.alias("support"))
             .where(F.col("support") >= SUPPORT)
         )
         doubt = F.exp(F.sum(F.log(1 - F.coalesce("trust", F.lit(0.0)))))
@@ -182,7 +205,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per input row: doc_id, base and spans (arrays of kind, start, stop in the order of KINDS, then start)."""
     scanned = store(_scanned(docs, id_col, text_col), "scanned")
     occurrences = store(_occurrences(scanned), "occurrences")
-    accepted = _accepted(occurrences, _words(docs, text_col))
+    accepted = _accepted(occurrences, docs, text_col)
     span = F.struct("kind", "start", "stop")
     added = occurrences.where(~F.col("seed")).join(accepted, ["kind", "value"]).groupBy("row").agg(F.collect_set(span).alias("added"))
     bare = F.transform(_spans("base"), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
