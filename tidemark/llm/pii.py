@@ -3,7 +3,7 @@
 The base patterns find the seeds: e-mail addresses, IPv4 addresses, card numbers
 that pass Luhn's test, and phone numbers with a country code. The runs of one to
 LENGTH tokens beside a seed, on either side, are its lexical patterns, and they
-are counted by the tokens that make them. Looser shapes (LOOSE) give candidates,
+are counted by the tokens that make them. Broad shapes (LOOSE) give candidates,
 which are no finding of themselves. Spark then scores the graph of patterns and instances:
 
 * a pattern (kind, side, word) scores the summed scores of its instances over
@@ -42,10 +42,10 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]++ ?(?:@|[(\[]at[)\]]) ?[A-Z0-9-]++(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Z0-9-]++)++",
-    "ip": r"(?i)(?<![0-9A-Z:])[0-9A-F]{1,4}(?::[0-9A-F]{1,4}){7}(?![0-9A-Z:])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])",
-    "phone": r"(?<![0-9+(])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+    "email": r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]++ ?(?:@|[(\[{<]at[)\]}>]|(?<= )at(?= )) ?[A-Z0-9-]++(?: ?(?:\.|[(\[{<]dot[)\]}>]|(?<= )dot(?= )) ?[A-Z0-9-]++)++",
+    "ip": r"(?i)(?<![0-9A-Z:])(?:[0-9A-F]{1,4}|(?=::))(?::{1,2}[0-9A-F]{1,4}){0,7}(?:::|(?<=:[0-9A-F]{1,4}))(?![0-9A-Z])",
+    "card": r"(?<![0-9])[0-9](?:[ ./_-]{0,2}[0-9]){12,18}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?<![0-9][ ()./-]{1,2})\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])(?![ ()./-]{1,2}[0-9])",
 }
 #: A token of context: letters, digits, or one other character that is no white space.
 TOKEN = r"[\p{L}\p{M}_]+|\p{N}+|[^\p{L}\p{M}\p{N}_\x20\x09-\x0D]"
@@ -84,7 +84,12 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _loosely_valid(kind: str, value: Column) -> Column:
-    return _luhn(F.regexp_replace(value, "[^0-9]", "")) if kind == "card" else F.lit(True)
+    if kind == "card":
+        return _luhn(F.regexp_replace(value, "[^0-9]", ""))
+    if kind == "ip":
+        pairs, groups = F.size(F.split(value, "::")) - 1, F.size(F.regexp_extract_all(value, F.lit("(?i)[0-9a-f]+"), F.lit(0)))
+        return ((pairs == 1) & (groups <= 7)) | ((pairs == 0) & (groups == 8))
+    return F.lit(True)
 
 
 def _walk(found: str, between: str) -> Column:
@@ -113,7 +118,7 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     digit, at = F.col("text").rlike("[0-9]"), F.contains(F.col("text"), F.lit("@"))
     may = {"email": at, "ip": digit, "card": digit, "phone": digit & F.contains(F.col("text"), F.lit("+"))}
-    may_loosely = {"email": at | F.col("text").rlike(r"(?i)[(\[]at[)\]]"), "ip": F.contains(F.col("text"), F.lit(":")), "card": digit, "phone": digit}
+    may_loosely = {"email": at | F.col("text").rlike(r"(?i)[(\[{< ]at[)\]}> ]"), "ip": F.contains(F.col("text"), F.lit(":")), "card": digit, "phone": digit}
     names = [(f"{name}_{kind}", table[kind], test[kind]) for name, table, test in (("base", BASE, may), ("loose", LOOSE, may_loosely)) for kind in KINDS]
     none = F.array().cast("array<string>")
     found = rows.select("*", *(F.when(m, F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none).alias(n) for n, p, m in names))
