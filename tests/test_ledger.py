@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import ACCOUNT_SCHEMA, TX_SCHEMA, frame
@@ -22,8 +23,8 @@ def _accounts(spark, opening):
 def _txs(spark, rows):
     t0 = datetime(2026, 5, 1)
     return frame(spark, TX_SCHEMA, [
-        {"transaction_id": tid, "account_id": acc, "user_id": "u-" + acc, "direction": d,
-         "amount": Decimal(a), "occurred_at": t0 + timedelta(hours=h), "created_at": t0 + timedelta(hours=h)}
+        {"transaction_id": tid, "account_id": acc, "user_id": "u-" + acc, "currency": "USD", "direction": d,
+         "amount": None if a is None else Decimal(a), "occurred_at": t0 + timedelta(hours=h), "created_at": t0 + timedelta(hours=h)}
         for tid, acc, d, a, h in rows])
 
 
@@ -73,29 +74,82 @@ def test_accounts_resolve_by_user_and_currency(utc):
 def _brute_replay(opening, rows):
     out = {}
     for acc in sorted({r[1] for r in rows}):
-        bal = Decimal(opening.get(acc, "0"))
+        bal = Decimal(opening[acc]) if acc in opening else None
         for tid, _, d, a, h in sorted((r for r in rows if r[1] == acc), key=lambda r: (r[4], r[0])):
-            signed = Decimal(a) if d == "credit" else -Decimal(a)
-            ok = bal + signed >= 0
+            signed = None if a is None else Decimal(a) if d == "credit" else -Decimal(a)
+            ok = bal is not None and signed is not None and bal + signed >= 0
             bal = bal + signed if ok else bal
             out[tid] = (ok, bal)
     return out
 
 
-def test_replay_matches_brute_force_across_batches(utc):
-    rnd = random.Random(11)
-    opening = {a: f"{rnd.randint(-20, 200)}.00" for a in "ABCDE"}
-    rows = [(f"t{i:05d}", rnd.choice("AAAAABCDE"), rnd.choice(["credit", "debit", "debit"]),
-             f"{rnd.randint(1, 90)}.{rnd.randint(0, 99):02d}", rnd.randint(0, 500)) for i in range(4000)]
-    utc.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")  # many batches per account
-    try:
-        got = {r.transaction_id: (r.accepted, r.balance_after)
-               for r in ledger.ledger_replay(_txs(utc, rows), _accounts(utc, opening), 3).collect()}
-    finally:
-        utc.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+def _random_ledger(seed, n, hours):
+    rnd = random.Random(seed)
+    opening = {a: f"{rnd.randint(-400, 900)}.00" for a in "ABCDEFG"}
+    opening["H"], opening["I"] = "-30.00", "-100000.00"
+    rows = [(f"t{i:05d}", rnd.choice("AAAAAABCDEFGHIX"), rnd.choice(["credit", "debit", "debit"]),
+             None if rnd.random() < 0.02 else f"{rnd.randint(0, 90)}.{rnd.randint(0, 99):02d}", rnd.randint(0, hours)) for i in range(n)]
+    return opening, rows
+
+
+@pytest.fixture
+def small_ranges(utc):
+    """Ranges are not joined again, so that a ledger of a few hundred rows has many."""
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24",
+                "spark.sql.execution.arrow.maxRecordsPerBatch": "37"}
+    old = {k: utc.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        utc.conf.set(k, v)
+    yield utc
+    for k, v in old.items():
+        utc.conf.unset(k) if v is None else utc.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed,hours", [(1, 500), (2, 0), (3, 40)])
+def test_replay_over_many_ranges_matches_brute_force(small_ranges, seed, hours):
+    opening, rows = _random_ledger(seed, 1500, hours)
+    found = ledger.ledger_replay(_txs(small_ranges, rows), _accounts(small_ranges, opening)).collect()
+    assert {r.transaction_id: (r.accepted, r.balance_after) for r in found} == _brute_replay(opening, rows)
+    reasons = {r.reason for r in found}
+    assert reasons == {"", "insufficient_funds", "unknown_account", "no_amount"}
+
+
+def test_all_kinds_of_ranges_occur(small_ranges):
+    opening, rows = _random_ledger(1, 1500, 500)
+    rows += [(f"z{i}", "D", "credit", "5.00", 600 + i) for i in range(300)]
+    decided = ledger.range_decisions(ledger._ledger_rows(_txs(small_ranges, rows), "kinds"), _accounts(small_ranges, opening))
+    assert {r.how for r in decided.select("how").distinct().collect()} == {ledger.PLAIN, ledger.ASLEEP, ledger.ROWS, ledger.UNKNOWN}
+
+
+def test_a_hot_ledger_without_refusals_is_spread_over_tasks(small_ranges):
+    """Two thirds of all rows on one ledger, half of them at one instant: no range holds a quarter, and none is folded."""
+    rows = [(f"t{i:05d}", "hot" if i % 3 else f"c{i % 50}", "credit" if i % 2 else "debit", f"{i % 7}.00", 0 if i % 2 else i)
+            for i in range(6000)]
+    opening = {acc: "100000.00" for acc in {r[1] for r in rows}}
+    accounts = _accounts(small_ranges, opening)
+    placed = ledger._ledger_rows(_txs(small_ranges, rows), "hot")
+    sizes = [r["count"] for r in placed.groupBy("_part").count().collect()]
+    assert max(sizes) < 0.25 * len(rows)
+    assert {r.how for r in ledger.range_decisions(placed, accounts).collect()} == {ledger.PLAIN}
+    got = {r.transaction_id: (r.accepted, r.balance_after) for r in ledger.ledger_replay(_txs(small_ranges, rows), accounts).collect()}
     assert got == _brute_replay(opening, rows)
 
 
+def test_the_account_is_the_one_that_user_and_currency_name(utc):
+    t = datetime(2026, 3, 1)
+    acc = frame(utc, ACCOUNT_SCHEMA, [
+        {"account_id": "late", "user_id": "u", "currency": "USD", "opening_balance": Decimal("900.00"), "created_at": t + timedelta(days=1)},
+        {"account_id": "first", "user_id": "u", "currency": "USD", "opening_balance": Decimal("10.00"), "created_at": t}])
+    tx = frame(utc, TX_SCHEMA, [
+        {"transaction_id": i, "user_id": "u", "currency": c, "account_id": "late", "direction": "debit", "amount": Decimal("11.00"), "occurred_at": t}
+        for i, c in (("1", "USD"), ("2", "EUR"), ("3", None))])
+    got = {r.transaction_id: (r.account_id, r.accepted, r.balance_after, r.reason) for r in ledger.ledger_replay(tx, acc).collect()}
+    assert got == {"1": ("first", False, Decimal("10.00"), "insufficient_funds"), "2": (None, False, None, "unknown_account"),
+                   "3": (None, False, None, "unknown_account")}
+    got = {r.transaction_id: (r.account_id, r.balance_after, r.reason) for r in ledger.ledger_running_balance(tx, acc).collect()}
+    assert got == {"1": ("first", Decimal("-1.00"), ""), "2": (None, None, "unknown_account"), "3": (None, None, "unknown_account")}
+
+
 def test_running_balance_matches_brute_force(utc):
     rnd = random.Random(5)
     opening = {a: f"{rnd.randint(0, 100)}.00" for a in "ABC"}

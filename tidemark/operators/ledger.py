@@ -1,13 +1,19 @@
 """Ledger rules re-aimed from the wallet service.
 
-Order of a ledger: ``occurred_at, transaction_id`` per account. The running
-balance (V10) is an associative scan and uses the bucketed scan. The replay
-with overdraft rejection (V11) is not associative -- whether a debit is
-accepted depends on every earlier decision -- so it is a sequential fold:
-rows are hash-partitioned by account and sorted inside the partition, and
-``mapInPandas`` streams the Arrow batches through the fold, carrying only
-``(account, balance)`` across batch boundaries. Memory stays one batch; a
-hot account is one ordered pass, never a collected group.
+A ledger is the transactions of one (user, currency), which names an account,
+in the order ``occurred_at, transaction_id``. Running balances (V10) and the
+replay with overdraft rejection (V11) cut the sorted rows of all ledgers into
+ranges, so that one hot ledger is many ranges; amounts are whole cents.
+
+Whether the replay accepts a row depends on every earlier decision, but most
+ranges of a ledger can be decided by two numbers, their total and their least
+prefix sum. A balance that is not negative stays so, and a refused debit only
+leaves it higher than a plain sum would. A lower bound of the balance before
+each range is therefore the sum that is pushed back to zero wherever it would
+fall below; it is a maximum of prefix sums, one small window per ledger. A
+range whose least prefix sum stays above it refuses nothing and needs its
+total only. The other ranges go row by row through a fold, between the totals
+of the ranges around them, in one ordered pass per ledger with bounded memory.
 """
 
 from __future__ import annotations
@@ -16,13 +22,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.scans import bucketed_running
+from tidemark.operators.scans import ranged
+from tidemark.session import stored
 
 MONEY = "decimal(18,2)"
+#: Sums of cents: exact for more rows than any ledger has.
+CENTS = "decimal(30,0)"
 # Transaction types by direction.
 CREDIT_TYPES = ("deposit", "transfer_in")
 DEBIT_TYPES = ("withdrawal", "payment", "transfer_out")
 TRANSACTION_TYPES = CREDIT_TYPES + DEBIT_TYPES
+# Why a row has no balance or was refused.
+UNKNOWN_ACCOUNT, NO_FUNDS, NO_AMOUNT = "unknown_account", "insufficient_funds", "no_amount"
+LEDGER = ["user_id", "currency"]
 
 
 def direction_for_type(type_col: Column) -> Column:
@@ -52,19 +64,28 @@ def opening_balance() -> Column:
     return F.coalesce(F.col("opening_balance").try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
+def signed_cents() -> Column:
+    return (signed_amount().try_cast(MONEY) * 100).cast("bigint")
+
+
+def owned_accounts(accounts: DataFrame) -> DataFrame:
+    """The account of each (user, currency): the earliest created one, ties by account id, NULL creation times last."""
+    first = F.min(F.struct(F.col("created_at").isNull(), "created_at", "account_id", opening_balance().alias("opening")))
+    known = accounts.filter(F.col("account_id").isNotNull() & F.col("user_id").isNotNull() & F.col("currency").isNotNull())
+    return known.groupBy("user_id", "currency").agg(first.alias("_first")).select(
+        "user_id", "currency", "_first.account_id", (F.col("_first.opening") * 100).cast("bigint").alias("opening"))
+
+
 def resolve_accounts(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
-    """The account that each transaction's (user, currency) names: the earliest
-    created one, ties by account id, NULL creation times last. ``reason`` is
+    """The account that each transaction's (user, currency) names. ``reason`` is
     ``unknown_account`` where there is none, else empty; ``consistent`` tells
     whether the account recorded on the row is the one found. One row per
     (user, currency) takes part in the join."""
-    first = F.min(F.struct(F.col("created_at").isNull(), "created_at", "account_id"))
-    owned = accounts.filter(F.col("account_id").isNotNull()).groupBy("user_id", "currency").agg(
-        first["account_id"].alias("resolved_account_id"))
+    owned = owned_accounts(accounts).select("user_id", "currency", F.col("account_id").alias("resolved_account_id"))
     return transactions.select("transaction_id", "account_id", "user_id", "currency").join(
         owned, ["user_id", "currency"], "left").select(
         "transaction_id", "account_id", "user_id", "currency", "resolved_account_id",
-        F.when(F.col("resolved_account_id").isNull(), F.lit("unknown_account"))
+        F.when(F.col("resolved_account_id").isNull(), F.lit(UNKNOWN_ACCOUNT))
         .otherwise(F.lit("")).alias("reason"),
         F.col("account_id").eqNullSafe(F.col("resolved_account_id")).alias("consistent"))
 
@@ -103,24 +124,45 @@ def list_users(users: DataFrame) -> DataFrame:
         F.col("created_at").asc_nulls_first(), F.col("user_id").asc_nulls_first())
 
 
-def ledger_running_balance(transactions: DataFrame, accounts: DataFrame,
-                           bucket_seconds: int = 86_400) -> DataFrame:
-    """``balance_after`` = opening + running signed sum in ledger order.
-
-    The scan is per (account, day) with a per-account stitch, so a hot
-    account is spread over its days. The opening balance enters through the
-    small per-(account, day) summary, so the transaction rows take part in
-    one join only."""
-    tx = transactions.filter(F.col("account_id").isNotNull()).select(
-        "transaction_id", "account_id", "occurred_at", signed_amount().alias("_signed"))
+def _ledger_rows(transactions: DataFrame, label: str) -> DataFrame:
+    """The rows of all ledgers in ranges, with running sums of cents inside each; NULL keys are a ledger of no account."""
+    rows = transactions.select("transaction_id", *LEDGER, "occurred_at", signed_cents().alias("cents"))
     order = [F.col("occurred_at").asc_nulls_first(), F.col("transaction_id").asc_nulls_first()]
-    opening = accounts.select("account_id", F.col("opening_balance").alias("_init"))
-    scanned = bucketed_running(tx, ["account_id"], order, F.unix_timestamp("occurred_at"),
-                               F.col("_signed"), "_running", "sum", bucket_seconds, initial=opening)
-    return scanned.select(
-        "transaction_id", "account_id", "occurred_at",
-        F.coalesce("_running", F.lit(0)).try_cast(MONEY).alias("balance_after"),
-    )
+    return ranged(rows, LEDGER, order, F.col("cents").cast("decimal(20,0)"), label)
+
+
+def _range_totals(rows: DataFrame, accounts: DataFrame) -> DataFrame:
+    """One row per ledger and range: total, least prefix sum, greatest amount, account and opening balance,
+    and ``before``, the total of the ledger's earlier ranges."""
+    ranges = rows.groupBy(*LEDGER, "_part").agg(
+        F.coalesce(F.sum(F.col("cents").cast("decimal(20,0)")), F.lit(0)).cast(CENTS).alias("total"),
+        F.coalesce(F.min("_prefix"), F.lit(0)).cast(CENTS).alias("least"),
+        F.max("cents").alias("most"))
+    earlier = Window.partitionBy(*LEDGER).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.join(owned_accounts(accounts), LEDGER, "left").withColumn(
+        "before", F.coalesce(F.sum("total").over(earlier), F.lit(0)).cast(CENTS))
+
+
+def _same_range(a: DataFrame, b: DataFrame) -> Column:
+    return (a["_part"] == b["_part"]) & a["user_id"].eqNullSafe(b["user_id"]) & a["currency"].eqNullSafe(b["currency"])
+
+
+def _money(cents: Column) -> Column:
+    return (cents.cast("decimal(38,2)") / 100).try_cast(MONEY)
+
+
+def ledger_running_balance(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
+    """``balance_after`` = opening + running signed sum in ledger order (V10);
+    NULL, with the reason ``unknown_account``, where (user, currency) names no account.
+
+    The rows are sorted into ranges and written once; only one row per ledger
+    and range takes part in the scan over a ledger and in the join."""
+    rows = _ledger_rows(transactions, "running_balance")
+    totals = _range_totals(rows, accounts).select(*LEDGER, "_part", "account_id", (F.col("opening") + F.col("before")).alias("start"))
+    after = F.col("start") + F.coalesce("_prefix", F.lit(0))
+    return rows.join(totals, _same_range(rows, totals)).select(
+        "transaction_id", "account_id", "occurred_at", _money(after).alias("balance_after"),
+        F.when(F.col("account_id").isNull(), F.lit(UNKNOWN_ACCOUNT)).otherwise(F.lit("")).alias("reason"))
 
 
 REPLAY_SCHEMA = T.StructType([
@@ -130,66 +172,119 @@ REPLAY_SCHEMA = T.StructType([
     T.StructField("signed", T.DecimalType(18, 2)),
     T.StructField("accepted", T.BooleanType()),
     T.StructField("balance_after", T.DecimalType(18, 2)),
+    T.StructField("reason", T.StringType()),
 ])
 
+# How a range is decided.
+PLAIN, ASLEEP, ROWS, UNKNOWN = "plain", "asleep", "rows", "unknown"
+
+
+def range_decisions(rows: DataFrame, accounts: DataFrame) -> DataFrame:
+    """``_range_totals`` with ``how`` each range is decided.
+
+    A ledger that opens below zero is asleep until an amount lifts it to zero
+    or more: ranges before that one refuse everything."""
+    w = Window.partitionBy(*LEDGER).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    lifted = F.coalesce(F.max("most").over(w) >= -F.col("opening"), F.lit(False))
+    ranges = _range_totals(rows, accounts).withColumn("awake", (F.col("opening") >= 0) | lifted)
+    ranges = ranges.withColumn("wakes", ~F.col("awake") & F.coalesce(F.col("most") >= -F.col("opening"), F.lit(False)))
+    # After a range the bound is total + max(bound before it, its shortfall); less the totals so far, a running maximum.
+    bound = (F.when(F.col("awake"), F.greatest(-F.col("least"), F.lit(0)) - F.col("before"))
+             .when(F.col("wakes"), -(F.col("before") + F.col("total"))))
+    floor = F.greatest(F.max(bound).over(w), F.when(F.col("opening") >= 0, F.col("opening").cast(CENTS)))
+    how = (F.when(F.col("opening").isNull(), F.lit(UNKNOWN))
+           .when(F.col("wakes"), F.lit(ROWS))
+           .when(~F.col("awake"), F.lit(ASLEEP))
+           .when(F.col("before") + F.col("floor") + F.col("least") >= 0, F.lit(PLAIN))
+           .otherwise(F.lit(ROWS)))
+    return ranges.withColumn("bound", bound).withColumn("floor", floor).withColumn("how", how).drop("awake", "wakes", "bound", "floor")
 
-def _replay_fold():
-    """The fold over rows sorted by (account, occurred_at, transaction_id).
+
+FOLDED = ("user_id string, currency string, _part int, transaction_id string, account_id string, occurred_at timestamp, "
+          "cents bigint, accepted boolean, balance decimal(38,0)")
+
+
+def _fold():
+    """The fold over rows sorted by (ledger, range, place); a row without a place is a range's opening balance
+    (the first) or total, and answers with the balance before it.
 
     Built inside a function so that it is shipped to the Python workers by
-    value: the workers need pandas, not this package."""
-    import pandas as pd
-    from decimal import Decimal
+    value: the workers need pyarrow, not this package."""
+    import decimal
+
+    import pyarrow as pa
 
     def fold(batches):
-        # Rows arrive sorted by (account, kind, occurred_at, transaction_id);
-        # kind 0 is the account's opening balance, kind 1 a transaction; an
-        # account without a kind 0 row is unknown and has no balance.
-        account, balance = None, None
-        for pdf in batches:
+        ledger, balance = None, 0
+        for batch in batches:
             keep, accepted, after = [], [], []
-            for acc, kind, signed in zip(pdf["account_id"], pdf["_kind"], pdf["signed"]):
-                if acc != account:
-                    account, balance = acc, None
-                if kind == 0:
-                    balance = Decimal(signed)
-                    keep.append(False)
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist()
+                       for c in ("user_id", "currency", "_part", "_at", "cents", "total"))
+            for row, (user, currency, part, at, cents, total) in enumerate(zip(*columns, strict=True)):
+                if (user, currency) != ledger or part < 0:
+                    ledger, balance = (user, currency), int(total)
+                    continue
+                keep.append(row)
+                if at is None:
+                    accepted.append(None)
+                    after.append(balance)
+                    balance += int(total)
                     continue
-                ok = (balance is not None and signed is not None and not pd.isna(signed)
-                      and balance + signed >= 0)
+                ok = cents is not None and balance + cents >= 0
                 if ok:
-                    balance = balance + signed
-                keep.append(True)
-                accepted.append(bool(ok))
+                    balance += cents
+                accepted.append(ok)
                 after.append(balance)
-            out = pdf.loc[keep, ["transaction_id", "account_id", "occurred_at", "signed"]].copy()
-            out["accepted"] = accepted
-            out["balance_after"] = after
-            yield out
+            kept = batch.take(pa.array(keep, pa.int64()))
+            names = ["user_id", "currency", "_part", "transaction_id", "account_id", "occurred_at", "cents"]
+            columns = [kept.column(kept.schema.get_field_index(c)) for c in names]
+            columns += [pa.array(accepted, pa.bool_()), pa.array([decimal.Decimal(b) for b in after], pa.decimal128(38, 0))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "accepted", "balance"])
 
     return fold
 
 
-def ledger_replay(transactions: DataFrame, accounts: DataFrame,
-                  num_partitions: int | None = None) -> DataFrame:
-    """Replay every account's ledger rejecting overdrafts (V11): a row is
-    accepted when ``balance + signed >= 0``; a rejected row leaves the
-    balance unchanged. NULL amounts are rejected, and so is every row of an
-    account that ``accounts`` does not hold (``balance_after`` is NULL there)."""
-    # Opening balances travel as marker rows (kind 0) sorted before the
-    # account's transactions: one shuffle by account, no join.
-    opening = accounts.filter(F.col("account_id").isNotNull()).select(
-        F.lit(None).cast("string").alias("transaction_id"), "account_id",
-        F.lit(None).cast("timestamp").alias("occurred_at"),
-        opening_balance().alias("signed"), F.lit(0).alias("_kind"))
-    tx = transactions.filter(F.col("account_id").isNotNull()).select(
-        "transaction_id", "account_id", "occurred_at", signed_amount().try_cast(MONEY).alias("signed"),
-        F.lit(1).alias("_kind"))
-    parts = [num_partitions] if num_partitions else []
-    ordered = opening.unionByName(tx).repartition(*parts, "account_id").sortWithinPartitions(
-        "account_id", "_kind", F.col("occurred_at").asc_nulls_first(),
-        F.col("transaction_id").asc_nulls_first())
-    return ordered.mapInPandas(_replay_fold(), REPLAY_SCHEMA)
+def ledger_replay(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Replay every ledger rejecting overdrafts (V11): a row is accepted when
+    ``balance + signed >= 0``; a refused row leaves the balance unchanged and
+    tells the ``reason``. The account is the one that (user, currency) names;
+    rows that name none are refused with a NULL account and balance, rows
+    without an amount are refused as well."""
+    rows = _ledger_rows(transactions, "replay")
+    ranges = stored(range_decisions(rows, accounts), "replay_ranges")
+
+    # Ledgers of which every range is decided need no fold: the balance before a range is the plain sum.
+    folded_ledgers = ranges.filter(F.col("how") == ROWS).select(*LEDGER).distinct()
+    at, nothing = F.lit(None).cast("bigint"), F.lit(None)
+    inside = ranges.join(folded_ledgers, LEDGER, "left_semi")
+    marks = inside.filter(F.col("how") != ROWS).select(
+        *LEDGER, "_part", at.alias("_at"), nothing.cast("string").alias("transaction_id"), "account_id",
+        nothing.cast("timestamp").alias("occurred_at"), nothing.cast("bigint").alias("cents"),
+        F.when(F.col("how") == PLAIN, F.col("total")).otherwise(F.lit(0)).cast(CENTS).alias("total"))
+    openings = inside.groupBy(*LEDGER).agg(F.max("opening").alias("opening"), F.max("account_id").alias("account_id")).select(
+        *LEDGER, F.lit(-1).alias("_part"), at.alias("_at"), nothing.cast("string").alias("transaction_id"), "account_id",
+        nothing.cast("timestamp").alias("occurred_at"), nothing.cast("bigint").alias("cents"), F.col("opening").cast(CENTS).alias("total"))
+    single = ranges.filter(F.col("how") == ROWS).select(*LEDGER, "_part", "account_id")
+    each = rows.join(single, [*LEDGER, "_part"]).select(
+        *LEDGER, "_part", "_at", "transaction_id", "account_id", "occurred_at", "cents", nothing.cast(CENTS).alias("total"))
+    ordered = openings.unionByName(marks).unionByName(each).repartition(*LEDGER).sortWithinPartitions(*LEDGER, "_part", "_at")
+    folded = stored(ordered.mapInArrow(_fold(), FOLDED), "replay_folded")
+
+    starts = folded.filter(F.col("accepted").isNull()).select(*LEDGER, "_part", F.col("balance").alias("found"))
+    plain = F.when(F.col("how") == PLAIN, F.col("opening") + F.col("before")).when(F.col("how") == ASLEEP, F.col("opening"))
+    known = ranges.filter(F.col("how") != ROWS)
+    known = known.join(starts, _same_range(known, starts), "left").select(
+        known["user_id"], known["currency"], known["_part"], "account_id", "how",
+        F.coalesce("found", plain).cast("decimal(38,0)").alias("start"))
+    decided = rows.join(known, _same_range(rows, known)).select(
+        "transaction_id", "account_id", "occurred_at", "cents",
+        ((F.col("how") == PLAIN) & F.col("cents").isNotNull()).alias("accepted"),
+        (F.col("start") + F.when(F.col("how") == PLAIN, F.coalesce("_prefix", F.lit(0))).otherwise(F.lit(0))).alias("balance"))
+    both = decided.unionByName(folded.filter(F.col("accepted").isNotNull()).select(*decided.columns))
+    reason = (F.when(F.col("accepted"), F.lit("")).when(F.col("account_id").isNull(), F.lit(UNKNOWN_ACCOUNT))
+              .when(F.col("cents").isNull(), F.lit(NO_AMOUNT)).otherwise(F.lit(NO_FUNDS)))
+    return both.select("transaction_id", "account_id", "occurred_at", _money(F.col("cents")).alias("signed"),
+                       "accepted", _money(F.col("balance")).alias("balance_after"), reason.alias("reason"))
 
 
 def income_spend(transactions: DataFrame) -> DataFrame:

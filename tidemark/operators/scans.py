@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import stored
+
 # Sentinel bucket for rows whose ordering time is NULL: sorts first, as
 # NULLs do in an ascending window order.
 NULL_BUCKET = -(2 ** 62)
@@ -31,6 +33,19 @@ def time_bucket(seconds: Column, bucket_seconds: int) -> Column:
     return F.coalesce(F.floor(seconds / F.lit(bucket_seconds)).cast("bigint"), F.lit(NULL_BUCKET))
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Column, label: str) -> DataFrame:
+    """``df`` in ranges of (keys, order), written once: ``_part`` is a row's range, ``_at`` rises along
+    the order within it, ``_prefix`` is the running sum of ``sums`` over the rows of the same key and range.
+
+    Ranges are cut by row counts, so that a key with most of the rows, even
+    all at one instant, is spread over as many tasks as its size asks for."""
+    by = [*[F.col(k) for k in keys], *order]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).select(
+        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    local = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return stored(placed.withColumn("_prefix", F.sum(sums).over(local)), label)
+
+
 def bucketed_running(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], seconds: Column,
     value: Column, out: str, how: str = "sum", bucket_seconds: int = 86_400,

@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
@@ -73,5 +73,28 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     return "/".join(p.strip("/") if i else p for i, p in enumerate(pieces))
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write ``df`` under the shared root and read it back.
+
+    Ids that depend on partitions are final once written, and a lost executor
+    costs the tasks that were running, not the plan behind the table."""
+    path = shared_path(df.sparkSession, "stored", label, unique=True)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any Hadoop file system, if it is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """The paths directly under a folder of any Hadoop file system; none if it is not there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [str(f.getPath().toString()) for f in files.listStatus(hadoop)] if files.exists(hadoop) else []
+
+
 def env_master(default: str = "local[*]") -> str:
     return os.environ.get("SPARK_MASTER", default)
