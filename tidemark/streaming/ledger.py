@@ -1,59 +1,98 @@
 """Streaming ledger replay with overdraft rejection (V11, stream form).
 
-``transformWithStateInPandas`` keeps one balance per account in the state
-store (RocksDB). Each micro-batch hands an account's new rows to the
-processor, which applies them in ledger order (``occurred_at``,
-``transaction_id``) on top of the stored balance. When rows arrive in ledger
-order the result equals the batch replay (``operators.ledger.ledger_replay``);
-a row older than rows already applied is applied in arrival order (a
-ledger, like the source service, is append-only). Rows of an account that
-``accounts`` does not hold are rejected and leave no state, so an account that
-appears later starts from its opening balance.
+``transformWithStateInPandas`` buffers each account's rows in the state store
+(RocksDB) by buckets of event time and sets a timer at every bucket's end.
+When the watermark passes it, the timer applies the bucket's rows in ledger
+order (``occurred_at``, ``transaction_id``) to the stored balance. The result
+therefore does not depend on how rows are dealt to micro-batches, nor on their
+order, as long as no row is later than ``delay``: it equals the batch replay
+(``operators.ledger.ledger_replay``). A row whose bucket has been applied is
+not: it comes out at once, refused with the reason ``late``, so that a caller
+can route it elsewhere. Rows without a time belong to the first bucket.
+
+Memory holds one bucket of one account. The watermark moves with all rows of
+the source, also with heartbeats: rows that have a time but neither
+transaction, user nor currency, which are dropped afterwards. Rows that name
+no account are refused and leave no state, so an account that appears later
+starts from its opening balance.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.operators.ledger import MONEY, REPLAY_SCHEMA, opening_balance, signed_amount
+from tidemark.operators.ledger import NO_AMOUNT, NO_FUNDS, REPLAY_SCHEMA, UNKNOWN_ACCOUNT, _money, owned_accounts, signed_cents
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_SCHEMA = T.StructType([T.StructField("balance", T.DecimalType(38, 2))])
+LATE = "late"
+#: What the processor reads and writes: whole numbers travel as text, so that none becomes a float.
+OUT = "transaction_id string, account_id string, occurred_us string, cents string, accepted boolean, balance string, reason string"
 
 
-def _processor():
+def _processor(bucket_ms: int):
     """Built inside a function so that workers receive it by value."""
-    from decimal import Decimal
+    import json
 
     import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+    unknown, no_amount, no_funds, late = UNKNOWN_ACCOUNT, NO_AMOUNT, NO_FUNDS, LATE
+    names = ["transaction_id", "account_id", "occurred_us", "cents", "accepted", "balance", "reason"]
+
+    def text(value):
+        return None if value is None or value != value else str(value)
+
     class LedgerFold(StatefulProcessor):
         def init(self, handle) -> None:
-            self.balance = handle.getValueState("balance", STATE_SCHEMA)
+            self.handle = handle
+            self.account = handle.getValueState("account", "balance string, released bigint")
+            self.sizes = handle.getMapState("sizes", "bucket bigint", "n bigint")
+            self.chunks = handle.getMapState("chunks", "bucket bigint, n bigint", "rows string")
 
         def handleInputRows(self, key, rows, timerValues):
-            pdf = pd.concat(list(rows), ignore_index=True)
-            pdf = pdf.sort_values(["occurred_at", "transaction_id"], na_position="first", kind="stable")
-            balance = self.balance.get()[0] if self.balance.exists() else None
-            accepted, after = [], []
-            for opening, signed in zip(pdf["opening"], pdf["signed"]):
-                if balance is None and opening is not None and not pd.isna(opening):
-                    balance = Decimal(opening)
-                ok = (balance is not None and signed is not None and not pd.isna(signed)
-                      and balance + signed >= 0)
+            balance, released = self.account.get() if self.account.exists() else (None, -1)
+            for pdf in rows:
+                found, out = {}, []
+                for row in zip(*(pdf[c] for c in ("occurred_us", "transaction_id", "cents", "account_id", "opening")), strict=True):
+                    at, tid, cents, account, opening = map(text, row)
+                    if account is None:
+                        out.append((tid, None, at, cents, False, None, unknown))
+                        continue
+                    if balance is None:
+                        balance = opening
+                        self.account.update((balance, released))
+                    bucket = max(0, int(at) // (bucket_ms * 1000)) if at is not None else 0
+                    if bucket <= released:
+                        out.append((tid, account, at, cents, False, balance, late))
+                    else:
+                        found.setdefault(bucket, []).append((at, tid, cents, account))
+                for bucket, chunk in found.items():
+                    n = self.sizes.getValue((bucket,))[0] if self.sizes.containsKey((bucket,)) else 0
+                    if not n:
+                        self.handle.registerTimer((bucket + 1) * bucket_ms)
+                    self.chunks.updateValue((bucket, n), (json.dumps(chunk),))
+                    self.sizes.updateValue((bucket,), (n + 1,))
+                if out:
+                    yield pd.DataFrame(out, columns=names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            bucket = expiredTimerInfo.getExpiryTimeInMs() // bucket_ms - 1
+            rows = []
+            for n in range(self.sizes.getValue((bucket,))[0]):
+                rows += json.loads(self.chunks.getValue((bucket, n))[0])
+                self.chunks.removeKey((bucket, n))
+            self.sizes.removeKey((bucket,))
+            rows.sort(key=lambda r: (r[0] is not None, int(r[0] or 0), r[1] is not None, r[1] or ""))
+            balance = int(self.account.get()[0])
+            out = []
+            for at, tid, cents, account in rows:
+                ok = cents is not None and balance + int(cents) >= 0
                 if ok:
-                    balance = balance + signed
-                accepted.append(bool(ok))
-                after.append(balance)
-            if balance is not None:
-                self.balance.update((balance,))
-            out = pdf[["transaction_id", "account_id", "occurred_at", "signed"]].copy()
-            out["accepted"] = accepted
-            out["balance_after"] = after
-            yield out
+                    balance += int(cents)
+                out.append((tid, account, at, cents, ok, str(balance), "" if ok else no_amount if cents is None else no_funds))
+            self.account.update((str(balance), bucket))
+            yield pd.DataFrame(out, columns=names)
 
         def close(self) -> None:
             pass
@@ -61,19 +100,42 @@ def _processor():
     return LedgerFold()
 
 
-def ledger_replay_stream(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
+def ledger_replay_stream(transactions: DataFrame, accounts: DataFrame, delay: str = "1 hour",
+                         bucket_seconds: int = 3600) -> DataFrame:
     """Streaming transactions (silver columns) + static accounts -> replayed
     rows (``REPLAY_SCHEMA``). The state store must be RocksDB
     (``use_rocksdb_state(spark)``) before the query starts."""
-    # (Column names with a leading underscore do not survive the trip to the
-    # Python processor under their own name, hence plain names here.)
-    opening = accounts.select("account_id", opening_balance().alias("opening"))
-    rows = transactions.filter(F.col("account_id").isNotNull()).select(
-        "transaction_id", "account_id", "occurred_at", signed_amount().try_cast(MONEY).alias("signed"))
-    return rows.join(opening, "account_id", "left").groupBy("account_id").transformWithStateInPandas(
-        _processor(), REPLAY_SCHEMA, "Append", "None")
-
-
-def use_rocksdb_state(spark) -> None:
-    """transformWithState needs the RocksDB state store provider."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    heartbeat = F.col("transaction_id").isNull() & F.col("user_id").isNull() & F.col("currency").isNull()
+    # It names the time, so that the optimizer cannot drop the rows before they have moved the watermark.
+    heartbeat = heartbeat & F.col("occurred_at").isNotNull()
+    timed = transactions.withWatermark("occurred_at", delay).filter(~heartbeat)
+    # Times as numbers: rows behind the watermark must reach the processor, which tells the late ones.
+    rows = timed.select("transaction_id", "user_id", "currency", F.unix_micros("occurred_at").cast("string").alias("occurred_us"),
+                        signed_cents().cast("string").alias("cents"))
+    owned = owned_accounts(accounts).withColumn("opening", F.col("opening").cast("string"))
+    # Rows without an account are keys of their own, not one hot key.
+    key = F.coalesce(F.concat(F.lit("a"), "account_id"), F.concat(F.lit("t"), "transaction_id"), F.lit("-"))
+    keyed = rows.join(owned, ["user_id", "currency"], "left").withColumn("ledger", key)
+    replayed = keyed.groupBy("ledger").transformWithStateInPandas(_processor(bucket_seconds * 1000), OUT, "Append", "EventTime")
+    return replayed.select(
+        "transaction_id", "account_id", F.timestamp_micros(F.col("occurred_us").cast("bigint")).alias("occurred_at"),
+        _money(F.col("cents").cast("decimal(38,0)")).alias("signed"), "accepted",
+        _money(F.col("balance").cast("decimal(38,0)")).alias("balance_after"), "reason").to(REPLAY_SCHEMA)
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def use_rocksdb_state(spark) -> str | None:
+    """transformWithState needs the RocksDB state store provider while a query
+    starts. Returns the one set before, for ``restore_state_store``."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    return before
+
+
+def restore_state_store(spark, before: str | None) -> None:
+    if before is None:
+        spark.conf.unset(STORE)
+    else:
+        spark.conf.set(STORE, before)
