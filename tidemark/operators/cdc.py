@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.casts import to_money
@@ -67,59 +67,70 @@ def latest_per_key(df: DataFrame, key: str | Sequence[str],
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in [*order, *rest]])
 
 
-def _latest(bronze: DataFrame, table: str, apply_deletes: bool) -> DataFrame:
-    latest = latest_per_key(cdc_changes(bronze, table, include_deletes=apply_deletes), "key")
+def latest_images(bronze: DataFrame, table: str, apply_deletes: bool = False) -> DataFrame:
+    """Each key's latest change: key, op, position and ``after`` fields; a delete only with ``apply_deletes``."""
+    return latest_per_key(cdc_changes(bronze, table, include_deletes=apply_deletes), "key")
+
+
+def silver_columns(table: str) -> list[Column]:
+    """The silver columns of ``latest_images`` (M1-M3); the first is the key."""
+    occurred = timestamp_from_text(F.col("a_occurred_at"))
+    return {
+        "transactions": lambda: [
+            F.col("key").alias("transaction_id"),
+            F.col("a_user_id").alias("user_id"),
+            F.col("a_account_id").alias("account_id"),
+            F.col("a_type").alias("type"),
+            F.col("a_direction").alias("direction"),
+            to_money(F.col("a_amount")).alias("amount"),
+            F.col("a_currency").alias("currency"),
+            F.col("a_description").alias("description"),
+            F.col("a_merchant").alias("merchant"),
+            to_money(F.col("a_balance_after")).alias("balance_after"),
+            occurred.alias("occurred_at"),
+            timestamp_from_text(F.col("a_created_at")).alias("created_at"),
+            F.coalesce(utc_date(occurred), F.col("bronze_dt")).alias("dt"),
+        ],
+        "users": lambda: [
+            F.col("key").alias("user_id"),
+            F.col("a_full_name").alias("full_name"),
+            F.col("a_email").alias("email"),
+            timestamp_from_text(F.col("a_created_at")).alias("created_at"),
+            F.col("event_ts"),
+        ],
+        "accounts": lambda: [
+            F.col("key").alias("account_id"),
+            F.col("a_user_id").alias("user_id"),
+            F.col("a_currency").alias("currency"),
+            to_money(F.col("a_opening_balance")).alias("opening_balance"),
+            to_money(F.col("a_current_balance")).alias("current_balance"),
+            timestamp_from_text(F.col("a_created_at")).alias("created_at"),
+            timestamp_from_text(F.col("a_updated_at")).alias("updated_at"),
+            F.col("event_ts"),
+        ],
+    }[table]()
+
+
+def _silver(bronze: DataFrame, table: str, apply_deletes: bool) -> DataFrame:
+    latest = latest_images(bronze, table, apply_deletes)
     if apply_deletes:
         latest = latest.filter(F.col("op") != DELETE_OP)
-    return latest
+    return latest.select(*silver_columns(table))
 
 
 def silver_transactions(bronze: DataFrame, apply_deletes: bool = False) -> DataFrame:
     """Current transactions (M1); ``dt`` is the business date (S3)."""
-    t = _latest(bronze, "transactions", apply_deletes)
-    occurred = timestamp_from_text(F.col("a_occurred_at"))
-    return t.select(
-        F.col("key").alias("transaction_id"),
-        F.col("a_user_id").alias("user_id"),
-        F.col("a_account_id").alias("account_id"),
-        F.col("a_type").alias("type"),
-        F.col("a_direction").alias("direction"),
-        to_money(F.col("a_amount")).alias("amount"),
-        F.col("a_currency").alias("currency"),
-        F.col("a_description").alias("description"),
-        F.col("a_merchant").alias("merchant"),
-        to_money(F.col("a_balance_after")).alias("balance_after"),
-        occurred.alias("occurred_at"),
-        timestamp_from_text(F.col("a_created_at")).alias("created_at"),
-        F.coalesce(utc_date(occurred), F.col("bronze_dt")).alias("dt"),
-    )
+    return _silver(bronze, "transactions", apply_deletes)
 
 
 def silver_users(bronze: DataFrame, apply_deletes: bool = False) -> DataFrame:
     """Current users (M2)."""
-    u = _latest(bronze, "users", apply_deletes)
-    return u.select(
-        F.col("key").alias("user_id"),
-        F.col("a_full_name").alias("full_name"),
-        F.col("a_email").alias("email"),
-        timestamp_from_text(F.col("a_created_at")).alias("created_at"),
-        "event_ts",
-    )
+    return _silver(bronze, "users", apply_deletes)
 
 
 def silver_accounts(bronze: DataFrame, apply_deletes: bool = False) -> DataFrame:
     """Current accounts (M3)."""
-    a = _latest(bronze, "accounts", apply_deletes)
-    return a.select(
-        F.col("key").alias("account_id"),
-        F.col("a_user_id").alias("user_id"),
-        F.col("a_currency").alias("currency"),
-        to_money(F.col("a_opening_balance")).alias("opening_balance"),
-        to_money(F.col("a_current_balance")).alias("current_balance"),
-        timestamp_from_text(F.col("a_created_at")).alias("created_at"),
-        timestamp_from_text(F.col("a_updated_at")).alias("updated_at"),
-        "event_ts",
-    )
+    return _silver(bronze, "accounts", apply_deletes)
 
 
 def latest_changes(bronze: DataFrame) -> DataFrame:

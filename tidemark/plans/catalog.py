@@ -5,45 +5,62 @@ Tables are external parquet tables under one shared root (read from the
 session, see ``tidemark.session``). ``prefix`` isolates several lakehouses
 in one session (tests, parallel runs): namespace ``bronze`` becomes
 ``<prefix>bronze``.
+
+Silver and gold tables are replaced whole by ``publish``: the rows go to a
+fresh folder, and one change of the table's location in the catalog makes them
+current. A write that fails leaves the old rows in place, and no reader meets
+an empty or half-written table. The catalog does not list the partitions of
+these tables; they follow from the folder, so that one change moves them all.
 """
 
 from __future__ import annotations
 
 import contextlib
+import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.session import shared_path
+from tidemark.session import delete_path, list_path, shared_path
 
+#: Marks in a bronze table's properties, by ingest.
+COMPACTED = "tidemark.compacted."
 OVERWRITE_CONF = "spark.sql.sources.partitionOverwriteMode"
 
 
+#: Whether the catalog lists the partitions of a table that is created; else they follow from its folder.
+LISTED_CONF = "spark.sql.hive.manageFilesourcePartitions"
+
+
 @contextlib.contextmanager
-def _overwrite_mode(spark: SparkSession, mode: str) -> Iterator[None]:
-    old = spark.conf.get(OVERWRITE_CONF, None)
-    spark.conf.set(OVERWRITE_CONF, mode)
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if old is None:
-            spark.conf.unset(OVERWRITE_CONF)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(OVERWRITE_CONF, old)
+            spark.conf.set(name, old)
 
 
 def overwrite_mode(spark: SparkSession, mode: str):
     """Context: the session's partition overwrite mode for ``dynamic`` or
     ``full`` table rebuilds."""
-    return _overwrite_mode(spark, "dynamic" if mode == "dynamic" else "static")
+    return _setting(spark, OVERWRITE_CONF, "dynamic" if mode == "dynamic" else "static")
 
 
 def _ddl_type(dt) -> str:
     return dt.simpleString()
 
 
+def _leaf(path: str) -> str:
+    return path.rstrip("/").rpartition("/")[2]
+
+
 class Lakehouse:
     """The bronze / silver / gold tables of one root folder."""
 
@@ -68,17 +85,19 @@ class Lakehouse:
         """Create the namespaces and tables that do not exist yet.
 
         Returns one row per table: name, partition columns, column count."""
-        for ns in schemas.NAMESPACES:
+        tables = list(tables or schemas.TABLES)
+        for ns in {*schemas.NAMESPACES, *(t.split(".")[0] for t in tables)}:
             self.spark.sql(
                 f"CREATE DATABASE IF NOT EXISTS {self.prefix}{ns} LOCATION '{self.root}/{ns}'")
         rows = []
-        for logical in tables or schemas.TABLES:
-            spec = schemas.TABLES[logical]
+        for logical in tables:
+            spec = schemas.spec(logical)
             cols = ", ".join(f"`{f.name}` {_ddl_type(f.dataType)}" for f in spec.schema.fields)
             part = f" PARTITIONED BY ({', '.join(spec.partition_by)})" if spec.partition_by else ""
-            self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.name(logical)} ({cols}) USING {self.fmt}"
-                f"{part} LOCATION '{self.path(logical)}'")
+            with _setting(self.spark, LISTED_CONF, "true" if spec.namespace == "bronze" else "false"):
+                self.spark.sql(
+                    f"CREATE TABLE IF NOT EXISTS {self.name(logical)} ({cols}) USING {self.fmt}"
+                    f"{part} LOCATION '{self.path(logical)}'")
             rows.append((self.name(logical), ",".join(spec.partition_by), len(spec.columns)))
         return self.spark.createDataFrame(rows, "table string, partition_by string, columns int")
 
@@ -88,7 +107,26 @@ class Lakehouse:
         partitions are written by streaming queries in their own sessions."""
         name = self.name(logical)
         self.spark.catalog.refreshTable(name)
-        return self.spark.table(name)
+        rows = self.spark.table(name)
+        return rows.filter(self.visible(logical)) if logical.startswith("bronze.") else rows
+
+    # -- compacted batches ------------------------------------------------
+    def properties(self, logical: str) -> dict[str, str]:
+        return {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.name(logical)}").collect()}
+
+    def compacted(self, logical: str) -> dict[str, tuple[int, int]]:
+        """By ingest: (upto, generation) of a bronze table's committed compaction."""
+        found = {k.removeprefix(COMPACTED): v for k, v in self.properties(logical).items() if k.startswith(COMPACTED)}
+        return {ingest: tuple(map(int, v.split(":"))) for ingest, v in found.items()}
+
+    def visible(self, logical: str) -> Column:
+        """Whether a bronze row counts, on its partition columns: a batch that compaction
+        has not taken in, or the committed generation (batch ids below zero) of its ingest."""
+        shown = F.col("batch_id") >= 0
+        for ingest, (upto, generation) in self.compacted(logical).items():
+            own = F.col("ingest_id") == ingest
+            shown = (~own & shown) | (own & ((F.col("batch_id") > upto) | (F.col("batch_id") == -generation)))
+        return shown
 
     def use(self, namespace: str) -> None:
         """Make a namespace current, so tables resolve by bare name (C11)."""
@@ -107,12 +145,15 @@ class Lakehouse:
 
         ``dynamic``: replace only the partitions present in ``df`` (the
         reference behaviour, S13: a partition that emptied keeps stale rows).
-        ``full``: replace the whole table. With ``set_mode=False`` the caller
-        has already set the session's overwrite mode (``overwrite_mode``) for
-        a group of concurrent writes.
+        ``full``: replace the whole table, as ``publish`` does. With
+        ``set_mode=False`` the caller has already set the session's overwrite
+        mode (``overwrite_mode``) for a group of concurrent writes.
         """
         if mode not in ("dynamic", "full"):
             raise ValueError(f"unknown overwrite mode {mode!r}")
+        if mode == "full":
+            self.publish(logical, df)
+            return
         out = self._aligned(logical, df)
         if not set_mode:
             out.write.insertInto(self.name(logical), overwrite=True)
@@ -120,6 +161,48 @@ class Lakehouse:
         with overwrite_mode(self.spark, mode):
             out.write.insertInto(self.name(logical), overwrite=True)
 
+    def location(self, logical: str) -> str:
+        """The folder that holds a table's current rows."""
+        rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name(logical)}")
+        return rows.filter(F.col("col_name") == "Location").first()["data_type"]
+
+    def publish(self, logical: str, df: DataFrame) -> str:
+        """Replace a silver or gold table by ``df`` at once; returns its new folder.
+
+        The folder before it stays until the next publish, for readers that
+        have planned on it; older ones are deleted. ``df`` may read the table."""
+        spec = schemas.spec(logical)
+        if spec.namespace == "bronze":
+            raise ValueError("bronze tables are append-only")
+        fresh = self.write_version(logical, df)
+        self.switch(logical, fresh)
+        return fresh
+
+    def write_version(self, logical: str, df: DataFrame) -> str:
+        """Write ``df`` to a fresh folder that nothing reads yet."""
+        spec = schemas.spec(logical)
+        fresh = f"{self.root}/_versions/{spec.namespace}/{spec.name}/{uuid.uuid4().hex}"
+        try:
+            writer = self._aligned(logical, df).write.format(self.fmt)
+            (writer.partitionBy(*spec.partition_by) if spec.partition_by else writer).save(fresh)
+        except BaseException:
+            delete_path(self.spark, fresh)
+            raise
+        return fresh
+
+    def switch(self, logical: str, fresh: str) -> None:
+        """Make the rows of a folder current, and delete those before the last."""
+        spec = schemas.spec(logical)
+        old = self.location(logical)
+        if _leaf(old) == _leaf(fresh):
+            return
+        self.spark.sql(f"ALTER TABLE {self.name(logical)} SET LOCATION '{fresh}'")
+        self.spark.catalog.refreshTable(self.name(logical))
+        versions = list_path(self.spark, f"{self.root}/_versions/{spec.namespace}/{spec.name}")
+        for path in [*versions, self.path(logical)]:
+            if _leaf(path) not in (_leaf(fresh), _leaf(old)):
+                delete_path(self.spark, path)
+
     def append(self, logical: str, df: DataFrame) -> None:
         self._aligned(logical, df).write.insertInto(self.name(logical), overwrite=False)
 
@@ -128,7 +211,7 @@ class Lakehouse:
         columns last: select by name in the catalog's order, typed."""
         target = self.spark.table(self.name(logical)).schema
         out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.fields])
-        parts = schemas.TABLES[logical].partition_by
+        parts = schemas.spec(logical).partition_by
         # Few files per written partition; AQE sizes the write tasks.
         return out.hint("rebalance", *parts) if parts else out
 

@@ -31,15 +31,17 @@ DAILY_BUILDS = (
 
 
 def builds(as_of: Column | None = None, apply_deletes: bool = False,
-           since: _dt.date | None = None) -> list[Build]:
+           since: _dt.date | None = None, days: set[_dt.date] | None = None) -> list[Build]:
     """The thirteen builds; with ``since`` the daily gold builds read only
     silver partitions ``dt >= since`` (partition pruning) and, written in
-    dynamic mode, replace only those days."""
+    dynamic mode, replace only those days; with ``days`` those of that set."""
 
     def t(lh: Lakehouse, logical: str, daily: bool = False) -> DataFrame:
         df = lh.table(logical)
         if daily and since is not None:
             df = df.filter(F.col("dt") >= F.lit(since))
+        if daily and days is not None:
+            df = df.filter(F.col("dt").isin(sorted(days)))
         return df
 
     return [
@@ -59,7 +61,7 @@ def builds(as_of: Column | None = None, apply_deletes: bool = False,
             t(lh, "silver.clickstream_events", True))),
         ("gold.user_engagement_daily", lambda lh: marts.user_engagement_daily(
             t(lh, "silver.clickstream_events", True), t(lh, "silver.transactions", True))),
-        ("gold.sessions", lambda lh: sessions.gold_sessions(t(lh, "silver.sessions", True))),
+        ("gold.sessions", lambda lh: sessions.gold_sessions(t(lh, "silver.sessions", days is None))),
     ]
 
 
@@ -102,15 +104,12 @@ def refresh_all(lakehouse: Lakehouse, mode: str | None = None, as_of: Column | N
         if on_build:
             on_build(table, time.perf_counter() - start)
 
-    # The mode is a session setting that concurrent writers must not toggle
-    # under each other: the tables of a level are written mode by mode.
+    # Whole tables are published, which no session setting touches; the
+    # setting for day partitions is made once for all concurrent writers.
     levels = LEVELS if parallel > 1 else tuple((table,) for table in plan)
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool, overwrite_mode(lakehouse.spark, "dynamic"):
         for level in levels:
-            for one in ("full", "dynamic"):
-                if tables := [t for t in level if mode_of(t) == one]:
-                    with overwrite_mode(lakehouse.spark, one):
-                        list(pool.map(run, tables))
+            list(pool.map(run, level))
 
 
 def load_bronze_batch(lakehouse: Lakehouse, cdc_envelopes: DataFrame, click_envelopes: DataFrame,

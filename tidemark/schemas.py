@@ -117,6 +117,22 @@ TABLES: dict[str, TableSpec] = {
 
 NAMESPACES = ("bronze", "silver", "gold")
 
+# What incremental refreshes remember beside the tables above: the bronze
+# batches a silver table has taken in, the position of the change that each
+# key's row comes from, and the spans of the sessions of each raw session.
+CONSUMED = _schema(("ingest_id", S), ("batch_id", L))
+POSITIONS = _schema(("key", S), ("event_ts", TS), ("partition_id", I), ("offset_value", L), ("old_dt", DT))
+SPANS = _schema(("session_id", S), ("start", L), ("last", L), ("ordinal", L))
+STATE_TABLES: dict[str, TableSpec] = {
+    spec.qualified: spec
+    for spec in [
+        *(TableSpec("state", f"{t}_consumed", CONSUMED)
+          for t in ("transactions", "users", "accounts", "clickstream_events")),
+        *(TableSpec("state", f"{t}_positions", POSITIONS) for t in ("transactions", "users", "accounts")),
+        TableSpec("state", "session_spans", SPANS),
+    ]
+}
+
 
 def spec(name: str) -> TableSpec:
-    return TABLES[name]
+    return TABLES.get(name) or STATE_TABLES[name]

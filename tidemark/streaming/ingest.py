@@ -29,7 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark import schemas
 from tidemark.operators import bronze as B
-from tidemark.plans.catalog import Lakehouse, _overwrite_mode
+from tidemark.plans.catalog import Lakehouse, overwrite_mode
 from tidemark.session import shared_path
 from tidemark.sources import testdata
 
@@ -45,11 +45,18 @@ def ingest_id_of(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
 
 
+class CompactedBatch(RuntimeError):
+    """A batch is written again after compaction has taken it in."""
+
+
 def overwrite_batch(lakehouse: Lakehouse, logical: str, df: DataFrame, batch_id: int,
                     ingest_id: str) -> None:
     """Replace every row of ``(ingest_id, batch_id)`` in a bronze table with ``df``."""
     if not ingest_id.replace("-", "").replace("_", "").isalnum():
         raise ValueError(f"bad ingest id {ingest_id!r}")
+    upto, _ = lakehouse.compacted(logical).get(ingest_id, (-1, 0))
+    if 0 <= batch_id <= upto:
+        raise CompactedBatch(f"batch {batch_id} of {ingest_id} is part of a compaction up to batch {upto}")
     spark = df.sparkSession
     spec = schemas.TABLES[logical]
     view = f"_tm_batch_{uuid.uuid4().hex}"
@@ -64,7 +71,7 @@ def overwrite_batch(lakehouse: Lakehouse, logical: str, df: DataFrame, batch_id:
               ).hint("rebalance", *dynamic).createOrReplaceTempView(view)
     cols = ", ".join(f"`{c}`" for c in [f.name for f in data_cols] + dynamic)
     try:
-        with _overwrite_mode(spark, "static"):
+        with overwrite_mode(spark, "full"):
             spark.sql(
                 f"INSERT OVERWRITE TABLE {lakehouse.name(logical)} "
                 f"PARTITION (ingest_id = '{ingest_id}', batch_id = {int(batch_id)}, "
