@@ -14,13 +14,14 @@ def _ids(df):
     return {r.event_id: r.analytics_session_id for r in df.collect()}
 
 
-def test_idle_gap_splits_session(any_tz):
-    t0 = datetime(2026, 5, 22, 12, 0, 0)
-    rows = [click_row("event-1", t0), click_row("event-2", t0 + timedelta(minutes=5), event_type="click",
-                                                 element_id="quick-action-pay"),
-            click_row("event-3", t0 + timedelta(minutes=40), page="/payments")]
-    got = _ids(sessions.sessionize(bronze_clicks(any_tz, rows)))
-    assert got == {"event-1": "session-1-001", "event-2": "session-1-001", "event-3": "session-1-002"}
+def test_idle_gaps_split_interleaved_sessions(any_tz):
+    """Two raw sessions whose events alternate: each one counts its own gaps only."""
+    t0 = datetime(2025, 8, 30, 23, 10)
+    minutes = {"left": [0, 29, 58, 90, 121, 122], "right": [15, 46, 76, 300]}
+    rows = [click_row(f"{raw}-{m}", t0 + timedelta(minutes=m), session_id=raw) for raw, own in minutes.items() for m in own]
+    got = _ids(sessions.sessionize(bronze_clicks(any_tz, rows[::-1])))
+    assert [got[f"left-{m}"][-3:] for m in minutes["left"]] == ["001", "001", "001", "002", "003", "003"]
+    assert [got[f"right-{m}"] for m in minutes["right"]] == ["right-001", "right-002", "right-002", "right-003"]
 
 
 @pytest.mark.parametrize("gap,expected", [
