@@ -156,3 +156,30 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, folder):
         out = stage(spark, none, folder)
         assert out.columns == none.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, none, folder).count() == 0
+
+
+#: Names that stages use, or have used, for columns of their own.
+CLASHING = ["all", "id", "key", "sha", "n", "first", "rank", "tie", "none", "one", "fp", "lang_pred", "score", "times", "sum", "rows", "nth",
+            "epoch", "__row", "__key", "__id", "__n", "__lang", "__share", "__score", "__sha", "__first", "component_id", "a.b"]
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    rows = [(*r, *(f"{c} of {i}" for c in CLASHING)) for i, r in enumerate(_documents())]
+    names = ", ".join(f"`{c}` string" for c in CLASHING)
+    wide = spark.createDataFrame(rows, f"{SCHEMA}, {names}").repartition(3)
+    plain = spark.createDataFrame(_documents(), SCHEMA).repartition(3)
+    known = {r[0]: tuple(r) for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = [tuple(r) for r in stage(spark, wide, folder).collect()]
+        assert all(known[r[0]] == r for r in found), name
+        assert sorted(r[0] for r in found) == sorted(r.doc_id for r in stage(spark, plain, folder).collect()), name
+
+
+def test_rows_without_an_id_or_with_equal_ids_are_near_copies_too(spark, folder):
+    text = _documents()[40][1]
+    rows = [(None, text, "en", "web", 1), (None, text, "en", "web", 2), (5, text, None, None, 3), (5, text, None, None, 4), (5, "other words", None, None, 5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = corpus_pipeline.near(spark, docs, folder).collect()
+    assert {(r.doc_id, r.text) for r in found} == {(5, "other words"), (5, text)} and len(found) == 2
+    alone = corpus_pipeline.near(spark, docs.where("doc_id is null"), folder).collect()
+    assert [(r.doc_id, r.text) for r in alone] == [(None, text)]

@@ -37,6 +37,12 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Each row of ``docs`` as one struct ``all`` beside ``columns``: its own names clash with none; ``select("all.*")`` unpacks it."""
+    own = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    return docs.select(F.struct(*own).alias("all"), *[c.alias(name) for name, c in columns.items()])
+
+
 def text_of(column: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

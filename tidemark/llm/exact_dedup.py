@@ -25,7 +25,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, forget, store, text_of
+from tidemark.llm.common import SPACES, forget, packed, store, text_of
 
 BLOCK = 16_384
 KEY = ["doc_id", "text_sha256", "n_points"]
@@ -119,19 +119,14 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs``, with all their columns, that stay: one for each normalised text."""
     from pyspark.sql import Window
 
-    kept = decisions(docs, id_col, text_col).where("kept").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"),
-        F.col("text_sha256").alias("__sha"),
-        F.col("n_points").alias("__n"),
-    )
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    kept = decisions(docs, id_col, text_col).where("kept").select(own.alias("id"), F.col("text_sha256").alias("sha"), F.col("n_points").alias("n"))
     text = text_of(text_col)
-    keys = ["__id", "__sha", "__n"]
-    rows = docs.withColumns(
-        {
-            "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-            "__sha": F.sha2(F.translate(text, SPACES, "").cast("binary"), 256),
-            "__n": F.length(text),
-        }
+    rows = packed(
+        docs,
+        id=F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+        sha=F.sha2(F.translate(text, SPACES, "").cast("binary"), 256),
+        n=F.length(text),
     )
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy("__n"))
-    return rows.join(kept, keys, "left_semi").withColumn("__first", first).where("__first = 1").drop(*keys, "__first")
+    first = F.row_number().over(Window.partitionBy("id", "sha", "n").orderBy("n"))
+    return rows.join(kept, ["id", "sha", "n"], "left_semi").withColumn("first", first).where("first = 1").select("all.*")

@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import remainder
+from tidemark.llm.common import packed, remainder
 
 UNKNOWN = "und"
 SAMPLE = 4_000
@@ -166,5 +166,5 @@ def keep_identified(
 ) -> DataFrame:
     """The rows of ``docs``, with their columns as they are, whose text has a language with a score of ``least`` or more."""
     model = train(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
-    guessed = predict(docs, model, text_col, ("__lang", "__score"))
-    return guessed.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+    guessed = predict(packed(docs, text=F.col(text_col)), model)
+    return guessed.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("all.*")

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, store, text_of
+from tidemark.llm.common import WORD, packed, store, text_of
 
 MOST_EPOCHS = 3
 RANGE_DIGITS = 3  # leading hex digits of the key: 16**3 ranges a source
@@ -100,12 +100,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents stay whole: the one at which a budget ends is taken with all its words in its last epoch.
     """
     taken = mix(docs, id_col, text_col, source_col).where("taken > 0")
-    times = taken.select(F.col("key").alias("__key"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    times = taken.select("key", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
     # Rows of one key are equal in id, text and size; their epochs may differ by one, in any order.
-    times = times.groupBy("__key").agg(F.sum("__times").alias("__sum"), F.count("*").alias("__rows"))
-    from_docs = docs.withColumn("__key", _key(id_col, text_col, source_col))
-    order = Window.partitionBy("__key").orderBy("__sum")
-    rows = from_docs.join(times, "__key").withColumn("__nth", F.row_number().over(order))
-    whole = F.expr("cast(__sum div __rows as int)") + (F.col("__nth") <= F.expr("__sum % __rows")).cast("int")
-    rows = rows.withColumn("__times", whole).where("__times > 0")
-    return rows.withColumn("__epoch", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    times = times.groupBy("key").agg(F.sum("times").alias("sum"), F.count("*").alias("rows"))
+    order = Window.partitionBy("key").orderBy("sum")
+    rows = packed(docs, key=_key(id_col, text_col, source_col)).join(times, "key").withColumn("nth", F.row_number().over(order))
+    whole = F.expr("cast(sum div rows as int)") + (F.col("nth") <= F.expr("sum % rows")).cast("int")
+    rows = rows.withColumn("times", whole).where("times > 0")
+    return rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), "times"))).select("all.*")

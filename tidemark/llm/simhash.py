@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import store
+from tidemark.llm.common import packed, store, text_of
 from tidemark.llm.components import components
 
 SEED = 42
@@ -99,10 +99,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is their component's smallest.
+    """The rows of ``docs``, with all their columns, that stay: one of each component.
 
-    Rows without an id stay, as nothing tells which of them would represent a group.
+    It is the row of the least id, null last; of rows with equal ids the text's digest decides, and of rows equal in
+    both any one stays.
     """
-    decided = near_duplicates(docs, id_col, text_col).where("doc_id = component_id")
-    keep = decided.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs[id_col] == F.col("__id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    tie = F.md5(text_of(text_col).cast("binary"))
+    rows = packed(docs, none=F.col(id_col).isNull(), id=F.col(id_col), tie=tie, text=F.col(text_col))
+    decided = near_duplicates(rows.select(F.struct("none", "id", "tie").alias("rank"), "text"), "rank")
+    keep = decided.where("doc_id = component_id").select("doc_id.*").distinct()
+    keep = keep.select(F.col("none").alias("k_none"), F.col("id").alias("k_id"), F.col("tie").alias("k_tie"))
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie"))
+    one = F.row_number().over(Window.partitionBy("id", "tie").orderBy("none"))
+    return rows.drop("text").join(keep, same, "left_semi").withColumn("one", one).where("one = 1").select("all.*")
