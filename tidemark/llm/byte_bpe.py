@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -35,7 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLE_BYTES = 128 << 20
+TABLE_BYTES = 192 << 20
+#: A piece takes over the entries of its first bytes from an earlier piece that begins alike.
+STEMS = (10, 7, 4)
 #: Characters of a long text that are cut into pieces at once.
 SLICE = 1 << 20
 #: A match of the patterns in use depends on so many characters behind its end at most ('re, then what follows).
@@ -117,10 +120,11 @@ class Vocabulary:
 class Prefixes:
     """The last token of every prefix of a piece."""
 
-    def __init__(self, vocabulary: Vocabulary, raw: bytes = b"") -> None:
-        self.vocabulary, self.raw = vocabulary, b""
-        self.last: list[int] = []
-        self.append(raw)
+    def __init__(self, vocabulary: Vocabulary, raw: bytes = b"", last: tuple[int, ...] = ()) -> None:
+        """``last`` are the entries of the first bytes, where they are known."""
+        self.vocabulary, self.raw = vocabulary, raw
+        self.last = [*last]
+        self._fill(raw, self.last, len(raw))
 
     def append(self, more: bytes) -> None:
         """Extend the piece; no earlier entry changes."""
@@ -177,21 +181,38 @@ class Prefixes:
         return out[::-1]
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Pieces(dict):
     """The ids of pieces as packed 32-bit integers, of bounded size; encodes what it does not have."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary, self.bytes = vocabulary, 0
+        self.stems: dict[bytes, tuple[int, ...]] = {}
+
+    def _ids(self, raw: bytes) -> list[int]:
+        if len(raw) <= STEMS[-1]:
+            return Prefixes(self.vocabulary, raw).ids()
+        known = next((found for size in STEMS if (found := self.stems.get(raw[:size])) is not None), ())
+        table = Prefixes(self.vocabulary, raw, known)
+        for size in STEMS:
+            if len(known) < size < len(raw):
+                self.stems[raw[:size]] = tuple(table.last[:size])
+                self.bytes += 140 + 9 * size
+        return table.ids()
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass")
         whole = self.vocabulary.ranks.get(raw)
-        ids = Prefixes(self.vocabulary, raw).ids() if whole is None else [whole]
-        packed = np.array(ids, "<u4").tobytes()
+        packed = pack(self._ids(raw)) if whole is None else pack([whole])
         self.bytes += 250 + 2 * len(raw) + len(packed)
         if self.bytes > TABLE_BYTES:
             self.clear()
+            self.stems.clear()
             self.bytes = 0
         self[piece] = packed
         return packed
