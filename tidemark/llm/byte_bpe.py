@@ -36,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLE_BYTES = 192 << 20
+TABLE_BYTES = 384 << 20
 #: A piece takes over the entries of its first bytes from an earlier piece that begins alike.
-STEMS = (10, 7, 4)
+STEMS = (8, 5)
 #: Characters of a long text that are cut into pieces at once.
 SLICE = 1 << 20
 #: A match of the patterns in use depends on so many characters behind its end at most ('re, then what follows).
@@ -58,12 +58,12 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        sizes: dict[bytes, set[int]] = {}
+        ends: dict[bytes, set[int]] = {}
         for token in ranks:
-            if len(token) > 1:
-                sizes.setdefault(token[-2:], set()).add(len(token))
-        #: By its last two bytes, how long a token can be, longest first.
-        self.sizes = {end: tuple(sorted(found | {1}, reverse=True)) for end, found in sizes.items()}
+            if len(token) > 2:
+                ends.setdefault(token[-3:], set()).add(len(token))
+        #: By its last three bytes, how long a token of three bytes or more can be, shortest first.
+        self.sizes = {end: tuple(sorted(found)) for end, found in ends.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
 
@@ -134,24 +134,27 @@ class Prefixes:
     def _fill(self, raw: bytes, last: list[int], stop: int) -> None:
         """Entries of the prefixes behind those in ``last``, up to the length ``stop``."""
         v = self.vocabulary
-        sizes, rank, known, single = v.sizes.get, v.ranks.get, v._fits.get, (1,)
+        sizes, rank, known, fits = v.sizes.get, v.ranks.get, v._fits.get, v.fits
         for end in range(len(last) + 1, stop + 1):
-            for size in sizes(raw[end - 2 : end], single) if end > 1 else single:
-                if size > end:
-                    continue
-                token = rank(raw[end - size : end])
-                if token is None:
-                    continue
-                if size == end:
-                    if v.made(token):
-                        break
-                    continue
-                before = last[end - size - 1]
-                fit = known((before, token))
-                if fit if fit is not None else v.fits(before, token):
+            token = None
+            for size in sizes(raw[end - 3 : end], ()) if end > 2 else ():
+                if size >= end:
                     break
-            else:
-                raise ValueError("the vocabulary lacks single bytes")
+                one = rank(raw[end - size : end])
+                if one is not None:
+                    before = last[end - size - 1]
+                    fit = known((before, one))
+                    if fit if fit is not None else fits(before, one):
+                        token = one
+                        break
+            if token is None:  # the whole prefix, two bytes or one
+                token = rank(raw[:end])
+                if token is None or not v.made(token):
+                    token = rank(raw[end - 2 : end]) if end > 2 else None
+                    if token is None or not fits(last[end - 3], token):
+                        token = rank(raw[end - 1 : end])
+                        if token is None:
+                            raise ValueError("the vocabulary lacks single bytes")
             last.append(token)
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
@@ -187,30 +190,38 @@ def pack(ids: list[int]) -> bytes:
 
 
 class Pieces(dict):
-    """The ids of pieces as packed 32-bit integers, of bounded size; encodes what it does not have."""
+    """The ids of pieces as packed 32-bit integers; encodes what it does not have.
+
+    It keeps two generations of about half of ``TABLE_BYTES`` each: when the
+    younger is full, what has not been met since the last time is forgotten."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary, self.bytes = vocabulary, 0
+        self.old: dict[str, bytes] = {}
         self.stems: dict[bytes, tuple[int, ...]] = {}
 
     def _ids(self, raw: bytes) -> list[int]:
-        if len(raw) <= STEMS[-1]:
+        long, short = STEMS
+        if len(raw) <= short:
             return Prefixes(self.vocabulary, raw).ids()
-        known = next((found for size in STEMS if (found := self.stems.get(raw[:size])) is not None), ())
+        known = self.stems.get(raw[:long]) or self.stems.get(raw[:short], ())
         table = Prefixes(self.vocabulary, raw, known)
         for size in STEMS:
             if len(known) < size < len(raw):
                 self.stems[raw[:size]] = tuple(table.last[:size])
-                self.bytes += 140 + 9 * size
+                self.bytes += 130 + 9 * size
         return table.ids()
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        whole = self.vocabulary.ranks.get(raw)
-        packed = pack(self._ids(raw)) if whole is None else pack([whole])
-        self.bytes += 250 + 2 * len(raw) + len(packed)
-        if self.bytes > TABLE_BYTES:
+        packed = self.old.get(piece)
+        if packed is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            whole = self.vocabulary.ranks.get(raw)
+            packed = pack(self._ids(raw)) if whole is None else pack([whole])
+        self.bytes += 160 + 2 * len(piece) + len(packed)
+        if self.bytes > TABLE_BYTES // 2:
+            self.old = dict(self)
             self.clear()
             self.stems.clear()
             self.bytes = 0
@@ -247,6 +258,9 @@ class Encoder:
         self.plain = regex.compile(pattern)
         newer = {kind: _newer(kind) for kind in (r"\p{L}", r"\p{N}", r"\s") if kind in pattern}
         self.newer = regex.compile(f"[{''.join(newer.values())}]") if any(newer.values()) else None
+        # Most texts have no character beyond the least of them, which is quickly seen.
+        least = min((found[: found.index("-")] for found in newer.values() if found), default="")
+        self.beyond = regex.compile(f"[{least}-\\U0010ffff]") if least else None
         strict = pattern
         for kind, ranges in newer.items():
             if ranges:
@@ -255,7 +269,7 @@ class Encoder:
 
     def cut(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text, slice by slice."""
-        odd = self.newer is not None and not text.isascii() and self.newer.search(text) is not None
+        odd = self.newer is not None and not text.isascii() and self.beyond.search(text) and self.newer.search(text)
         find = (self.strict if odd else self.plain).findall
         at, step = 0, SLICE
         while at < len(text):
