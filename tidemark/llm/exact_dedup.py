@@ -53,11 +53,13 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = F.when(F.length("body") <= block, F.array("body")).otherwise(
         F.regexp_extract_all("body", F.lit(f"(?s).{{1,{block}}}+"), F.lit(0))
     )
-    pieces = (
+    # Written once: normalising and hashing the texts costs more than reading the blocks back.
+    pieces = store(
         keyed(docs, id_col, text_col)
         .select(*KEY, blocks.alias("blocks"))
         .select(*KEY, F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
-        .withColumn("digest", F.md5(F.col("block").cast("binary")))
+        .withColumn("digest", F.md5(F.col("block").cast("binary"))),
+        "pieces",
     )
     # The digest only saves shipping the text a second time. Should two blocks ever share one, the join is on the text.
     match = ["digest"]
@@ -73,6 +75,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "level",
     )
     forget(names)
+    forget(pieces)
     done = [current.where("n = 1").select(*KEY, "copies", F.lit(0).alias("level"), "name")]
     most, level = current.agg(F.max("n")).first()[0] or 1, 0
     while most > 1:
