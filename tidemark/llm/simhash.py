@@ -78,7 +78,9 @@ def links(distinct: DataFrame, differing: int = 2) -> DataFrame:
         raise ValueError("balls of radius one in each segment cover two differing bits")
     flips = [1 << (s * SEGMENT_BITS + i) for s in range(SEGMENTS) for i in range(SEGMENT_BITS)]
     masks = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in [0, *flips]))
-    keys = distinct.select("fp", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), "fp")
+    # A fingerprint becomes 65 rows here: few and small partitions of fingerprints would be few tasks.
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = spread.select("fp", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), "fp")
     met = keys.groupBy("key").agg(F.collect_set("fp").alias("met")).where("size(met) > 1")
     pairs = met.select(F.explode("met").alias("a"), F.array_min("met").alias("b")).where("a <> b")
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= differing).distinct()
