@@ -14,10 +14,11 @@ to several languages is kept for all of them, and a word that strayed into
 another language's texts is not.
 
 Training reads the text and language of all rows it is given, or of a sample
-with ``SAMPLE`` expected rows a language, taken by a hash of the id; each
+with ``SAMPLE`` expected rows a language, taken by a hash of id and text; each
 language keeps its ``GRAMS`` most frequent n-grams. Both bounds size the
 classifier alone: prediction covers every whole text. The filter has a fixed
-size (``WORDS`` words of 8 bytes for every 64 languages) and is broadcast.
+size (``WORDS`` words of 8 bytes for every 64 languages) and is broadcast; more
+than ``MOST_LANGUAGES`` different labels are an error, as they cannot be languages.
 
 Defined results: a text that is null or without a letter is ``und`` with score
 0; a text whose n-grams are all unknown gets the language with most training
@@ -43,6 +44,8 @@ from tidemark.llm.common import packed, remainder
 UNKNOWN = "und"
 SAMPLE = 4_000
 GRAMS = 30_000
+#: Labels that training accepts: at most 64 MB of filters.
+MOST_LANGUAGES = 512
 OWN_RATE = 0.3
 WORDS = 1 << 20
 HASHES = 2
@@ -71,9 +74,11 @@ def _places(found: np.ndarray, salt: np.uint64) -> np.ndarray:
 
 
 def sampled(labelled: DataFrame, id_col: str, lang_col: str, sample: int) -> DataFrame:
-    """About ``sample`` rows of each language, chosen by a hash of the id; all rows of languages with fewer."""
+    """About ``sample`` rows of each language, chosen by a hash of id and text; all rows of languages with fewer.
+
+    ``train`` has checked that there is one row of shares for each of a few hundred languages at most."""
     share = labelled.groupBy(lang_col).agg((F.lit(float(sample)) / F.count("*")).alias("__share"))
-    spread = (F.xxhash64(F.col(id_col)).cast("double") / 2.0**64) + 0.5
+    spread = (F.xxhash64(*(F.col(c) for c in labelled.columns if c != lang_col)).cast("double") / 2.0**64) + 0.5
     return labelled.join(F.broadcast(share), lang_col).where(spread < F.col("__share")).drop("__share")
 
 
@@ -82,7 +87,9 @@ def train(
 ) -> Model:
     """Learn from the rows of ``labelled`` whose language is not null."""
     labelled = labelled.where(F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # one row a language
+    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}  # one row a language
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
