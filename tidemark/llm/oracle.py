@@ -50,24 +50,6 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-LINES = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER - 1 AS no
-  FROM documents WHERE text IS NOT NULL
-), p AS (
-  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start,
-         lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS unit
-  FROM l
-), u AS (
-  SELECT *, first_value(doc_id) OVER w AS keep_doc_id, first_value(no) OVER w AS keep_line
-  FROM p WHERE len(string_split(unit, ' ')) >= 8
-  WINDOW w AS (PARTITION BY unit ORDER BY doc_id NULLS LAST, no)
-)
-SELECT doc_id, no AS line, start, (start + length(line))::INTEGER AS stop, sha256(unit) AS digest, keep_doc_id, keep_line
-FROM u WHERE doc_id <> keep_doc_id OR no <> keep_line
-"""
-
-
 
 def _crc32(hexed: str) -> str:
     """CRC-32 of the bytes whose hex digits ``hexed`` names: a fold over each byte and its eight shifts (-1)."""
@@ -161,7 +143,6 @@ FROM placed
 
 SQL = {
     "op2_mixing": MIX,
-    "op4_line_dedup": LINES,
     "op10_exact_dedup": EXACT,
     "op11_prefix_trie": TRIE,
     "op12_resampling": RESAMPLE,

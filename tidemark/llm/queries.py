@@ -12,7 +12,6 @@ from tidemark.llm import (
     embeddings,
     exact_dedup,
     langid,
-    line_dedup,
     lm_score,
     mixing,
     passage_dedup,
@@ -45,11 +44,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeats(table(spark, sf_dir, "documents"))
-
-
-def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passage_dedup.repeats(table(spark, sf_dir, "documents"))
+    return passage_dedup.documents(table(spark, sf_dir, "documents"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
