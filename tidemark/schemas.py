@@ -130,6 +130,9 @@ STATE_TABLES: dict[str, TableSpec] = {
           for t in ("transactions", "users", "accounts", "clickstream_events")),
         *(TableSpec("state", f"{t}_positions", POSITIONS) for t in ("transactions", "users", "accounts")),
         TableSpec("state", "session_spans", SPANS),
+        TableSpec("state", "column_statistics", _schema(
+            ("table_name", S), ("dt", DT), ("column", S), ("rows", L), ("nulls", L), ("low", T.DecimalType(38, 6)),
+            ("high", T.DecimalType(38, 6)), ("low_text", S), ("high_text", S), ("sketch", T.BinaryType()))),
     ]
 }
 
