@@ -15,7 +15,9 @@ def _plan(df) -> str:
 def test_silver_build_prunes_bronze_by_source_table(utc):
     lh = ingest.fresh_lakehouse(utc, "t-plan")
     refresh.load_bronze_batch(lh, testdata.cdc_envelopes(utc, SF_SMALL), testdata.click_envelopes(utc, SF_SMALL), "load1")
+    utc.conf.set("spark.sql.maxMetadataStringLength", "2000")  # the batches shown are a filter too
     plan = _plan(cdc.silver_transactions(lh.table("bronze.pg_cdc_raw")))
+    utc.conf.unset("spark.sql.maxMetadataStringLength")
     filters = plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "source_table" in filters and "transactions" in filters
 
@@ -33,3 +35,33 @@ def test_marts_aggregate_partially_before_joining(utc):
     assert "partial_sum" in plan and "partial_count" in plan
     plan = _plan(marts.user_engagement_daily(L.events, L.transactions))
     assert plan.count("partial_") >= 2 and "FullOuter" in plan
+
+
+def test_sessions_hash_their_events(utc):
+    """The events meet fixed-width aggregates only; texts are compared on one row per session and user."""
+    from helpers import EVENT_SCHEMA, frame
+    from tidemark.operators import sessions
+    plan = _plan(sessions.sessions(frame(utc, EVENT_SCHEMA, [])))
+    lowest = [line for line in plan.splitlines() if "Aggregate" in line][-1]
+    assert "HashAggregate" in lowest and "partial_count" in lowest
+
+
+def test_page_dwell_drops_other_events_before_its_shuffle(utc):
+    lines = _plan(clicks.page_dwell(Layers(utc, SF_SMALL).bronze_clicks)).splitlines()
+    shuffles = [i for i, line in enumerate(lines) if "hashpartitioning(session_id" in line]
+    filters = [i for i, line in enumerate(lines) if "Filter" in line and "page_enter" in line]
+    assert shuffles and filters and max(filters) > max(shuffles)  # plans list the source last
+
+
+def test_ingest_writes_without_a_shuffle(utc):
+    from tidemark.operators import bronze as B
+    envelope = utc.createDataFrame([], "topic string, partition_id int, offset_value bigint, key_json string, value_json string")
+    for annotate, split in ((B.annotate_cdc, B.split_cdc), (B.annotate_clicks, B.split_clicks)):
+        assert all("Exchange" not in _plan(df) for df in split(annotate(envelope)))
+
+
+def test_replay_joins_ranges_not_rows(utc):
+    """Beside the sort into ranges, the rows of the ledgers are shuffled for joins with one row per range only."""
+    L = Layers(utc, SF_SMALL)
+    plan = _plan(ledger.ledger_running_balance(L.transactions, L.accounts))
+    assert "Window" in plan and "o_orderkey" not in plan  # the rows are read back, not built and parsed again

@@ -98,3 +98,40 @@ def test_strict_split_checks_types_of_the_raw_text(utc):
     assert sorted(r.offset_value for r in valid.collect()) == [0, 5, 6]
     assert {r.offset_value: r.error for r in dlq.collect()} == {
         1: "contract:dwell_ms", 2: "contract:x", 3: "contract:dwell_ms", 4: "contract:y"}
+
+
+def _batch(n, offset):
+    events = [json.dumps({"event_id": f"{offset}-{i}", "page": "/p"}) for i in range(n)]
+    return ("clickstream.batches", 0, offset, '{"events":[' + ",".join(events) + "]}")
+
+
+def test_batches_of_events(utc):
+    rows = [_batch(0, 0), _batch(1, 1), _batch(200, 2), _batch(201, 3), ("clickstream.batches", 0, 4, "{}"),
+            ("clickstream.batches", 0, 5, None), ("clickstream.batches", 0, 6, "no json"), ("clickstream.batches", 0, 7, '{"events": 7}')]
+    batches = utc.createDataFrame(rows, "topic string, partition_id int, offset_value bigint, value_json string")
+    got = {r.offset_value: (r.events, r.reasons, r.valid) for r in quality.batch_violations(batches).collect()}
+    assert got == {0: (0, "empty", False), 1: (1, "", True), 2: (200, "", True), 3: (201, "too_long", False),
+                   **{k: (None, "events", False) for k in (4, 5, 6, 7)}}
+    events, refused = quality.split_batches(batches)
+    found = {(r.offset_value, r.position): json.loads(r.value_json)["event_id"] for r in events.collect()}
+    assert found == {(1, 0): "1-0", **{(2, i): f"2-{i}" for i in range(200)}}
+    assert {r.offset_value: r.error for r in refused.collect()} == {
+        0: "batch:empty", 3: "batch:too_long", **{k: "batch:events" for k in (4, 5, 6, 7)}}
+    assert B.split_clicks(B.annotate_clicks(events))[0].count() == 201  # envelopes like any other
+
+
+def test_digits_of_raw_amounts(utc):
+    texts = {"1.005": True, "1.50": False, "1.500": False, "0012.3": False, "1234567890123456.78": False, "12345678901234567": True,
+             "1e3": False, "1.5e-3": True, "+7": False, "1E40": True, "abc": True, None: False}
+    tx = utc.createDataFrame([(str(i), "deposit", Decimal("1.00"), "EUR", None, None, t) for i, t in enumerate(texts)],
+                             "transaction_id string, type string, amount decimal(18,2), currency string, description string, merchant string, raw string")
+    got = {int(r.transaction_id): r.reasons for r in quality.transaction_violations(tx, "raw").collect()}
+    assert got == {i: "digits" if broken else "" for i, broken in enumerate(texts.values())}
+
+
+def test_event_contract_checks_types_of_the_raw_text(utc):
+    t = datetime(2026, 5, 22, 12, 0)
+    rows = [click_row("e-1", t, user_id=None) | {"value_json": '{"x": "q", "dwell_ms": 1.5}'},
+            click_row("e-2", t, user_id=None, x=3) | {"value_json": '{"x": 3}'}]
+    got = {r.event_id: r.reasons for r in quality.event_violations(bronze_clicks(utc, rows)).collect()}
+    assert got == {"e-1": "x,dwell_ms", "e-2": ""}

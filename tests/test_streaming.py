@@ -144,3 +144,31 @@ def test_a_late_row_comes_out_by_itself(utc, tmp_path, ledger_rows):
     got = {r.transaction_id: (r.accepted, r.reason) for r in _ledger_stream(utc, str(tmp_path), parts, _accounts(utc, {"A": "0.00"}), "1 hour").collect()}
     # The watermark of t2 takes effect with the next trigger, which applies the first bucket; t3 comes after that.
     assert got == {"t1": (True, ""), "t2": (True, ""), "t2b": (True, ""), "t3": (False, "late"), "t4": (False, "insufficient_funds")}
+
+
+def test_dead_letters_are_written_as_envelopes_and_a_failing_sink_fails_the_batch(utc):
+    import json
+    lh = _lakehouse(utc, "t-sink")
+    lh.init(["bronze.clickstream_raw", "bronze.dlq_clickstream"])
+    rows = [("clickstream.events", 0, 1, None, '{"event_id":"a","session_id":"s"}'), ("clickstream.events", 0, 2, None, '{"session_id":"s2"}'),
+            ("clickstream.events", 0, 3, None, None)]
+    env = utc.createDataFrame(rows, "topic string, partition_id int, offset_value bigint, key_json string, value_json string")
+    sent = []
+
+    def keep(records, batch_id):
+        sent.append((batch_id, [(r.key, json.loads(r.value)) for r in records.collect()]))
+
+    ingest.batch_writer(lh, "clicks", "w", dlq_sink=keep)(env, 3)
+    topic = "clickstream.events"
+    assert sent[0][0] == 3 and sorted(sent[0][1], key=repr) == sorted([
+        ("s2", {"original": {"session_id": "s2"}, "error": "missing_event_id", "source_topic": topic}),
+        (None, {"original": None, "error": "null_value", "source_topic": topic})], key=repr)
+
+    def fail(_records, _batch_id):
+        raise OSError("broker gone")
+
+    writer = ingest.batch_writer(lh, "clicks", "w", dlq_sink=fail)
+    with pytest.raises(OSError, match="broker gone"):
+        writer(env, 4)
+    ingest.batch_writer(lh, "clicks", "w", dlq_sink=keep)(env, 4)  # the retry replaces what the failed try wrote
+    assert lh.table("bronze.clickstream_raw").filter("batch_id = 4").count() == 1

@@ -4,6 +4,9 @@
     python -m tidemark.cli ingest cdc    --kafka HOST:PORT   (or --files DIR --format json)
     python -m tidemark.cli ingest clicks --kafka HOST:PORT [--topic clickstream.events]
     python -m tidemark.cli refresh [--mode dynamic|full] [--since YYYY-MM-DD] [--apply-deletes] [--parallel N]
+    python -m tidemark.cli refresh --incremental [--apply-deletes]
+    python -m tidemark.cli compact
+    python -m tidemark.cli statistics
     python -m tidemark.cli check [--nonempty]
 
 Tables live under ``--root`` or, by default, under the session's
@@ -39,11 +42,15 @@ def main(argv: list[str] | None = None) -> int:
     ref.add_argument("--since", type=dt.date.fromisoformat)
     ref.add_argument("--apply-deletes", action="store_true")
     ref.add_argument("--parallel", type=int, default=1, help="concurrent builds per dependency level")
+    ref.add_argument("--incremental", action="store_true", help="read only new bronze batches and rebuild the days they change")
+    sub.add_parser("compact")
+    sub.add_parser("statistics")
     chk = sub.add_parser("check")
     chk.add_argument("--nonempty", action="store_true")
     args = parser.parse_args(argv)
 
-    from tidemark.plans import refresh
+    from tidemark import schemas
+    from tidemark.plans import compaction, incremental, refresh, statistics
     from tidemark.plans.catalog import REQUIRED_NONEMPTY, Lakehouse
     from tidemark.session import build_session
     from tidemark.sources import kafka
@@ -69,6 +76,20 @@ def main(argv: list[str] | None = None) -> int:
         if not ingest.run_to_completion(query, args.timeout):
             print("ingest stopped at the timeout", file=sys.stderr)
             return 1
+    elif args.cmd == "refresh" and args.incremental:
+        if args.since or args.mode:
+            parser.error("--incremental finds the days by itself")
+        for table, days in incremental.refresh_incremental(lh, apply_deletes=args.apply_deletes).items():
+            print(f"{table}: {len(days)} days changed")
+    elif args.cmd == "compact":
+        lh.init()
+        for table in ("bronze.pg_cdc_raw", "bronze.clickstream_raw", "bronze.dlq_pg_cdc", "bronze.dlq_clickstream"):
+            for row in incremental.bronze_batches(lh, table).select("ingest_id").distinct().collect():
+                print(f"{table} {row.ingest_id}: up to batch {compaction.compact(lh, table, row.ingest_id)}")
+    elif args.cmd == "statistics":
+        lh.init()
+        for table in [t for t in schemas.TABLES if not t.startswith("bronze.")]:
+            print(f"{table}: {len(statistics.update_statistics(lh, table))} days read")
     elif args.cmd == "refresh":
         refresh.refresh_all(lh, mode=args.mode, since=args.since, apply_deletes=args.apply_deletes,
                             parallel=args.parallel, on_build=lambda t, s: print(f"{t}: {s:.1f}s"))

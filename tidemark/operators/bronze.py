@@ -102,8 +102,8 @@ def split_clicks(annotated: DataFrame, strict: bool = False) -> tuple[DataFrame,
     that break the record contract (V1) to the dead letters, with the broken
     rules as the error (``contract:event_type,dwell_ms``)."""
     if strict:
-        from tidemark.operators.quality import event_reasons
-        raw = F.from_json("value_json", "x string, y string, dwell_ms string")
+        from tidemark.operators.quality import RAW_NUMBERS, event_reasons
+        raw = F.from_json("value_json", RAW_NUMBERS)
         annotated = annotated.withColumn("_raw", raw).withColumn("_reasons", event_reasons("_raw"))
         ok = clicks_is_valid() & (F.col("_reasons") == "")
         error = (F.when(F.col("value_json").isNull(), F.lit(ERR_NULL_VALUE))
@@ -142,3 +142,8 @@ def dlq_envelope(dlq: DataFrame, source_topic_col: str = "topic") -> DataFrame:
             F.col(source_topic_col).alias("source_topic"),
         ), {"ignoreNullFields": "false"}).alias("envelope"),
     )
+
+
+def dlq_records(dlq: DataFrame) -> DataFrame:
+    """Dead-letter rows as broker records: the session as key, the envelope as value (V4)."""
+    return dlq_envelope(dlq).select(F.get_json_object("raw_value", "$.session_id").alias("key"), F.col("envelope").alias("value"))

@@ -21,8 +21,10 @@ def normalized_times(events: DataFrame) -> DataFrame:
 def page_dwell(bronze_clicks: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """For each ``page_leave``, milliseconds since the latest
     ``page_enter`` of the same raw session at or before it (>= 0; NULL when
-    there was none). The latest enter is a running max -- bucketed scan."""
-    keyed = bronze_clicks.filter(F.col("session_id").isNotNull() & F.col("event_id").isNotNull())
+    there was none). The latest enter is a running max -- bucketed scan over
+    enters and leaves; other events are dropped before any shuffle."""
+    keyed = bronze_clicks.filter(F.col("session_id").isNotNull() & F.col("event_id").isNotNull()
+                                 & F.col("event_type").isin("page_enter", "page_leave"))
     enter_us = F.when(F.col("event_type") == "page_enter", F.unix_micros("event_ts"))
     order = [F.col(c).asc_nulls_first() for c in EVENT_ORDER]
     scanned = bucketed_running(keyed, ["session_id"], order, whole_seconds("event_ts"),

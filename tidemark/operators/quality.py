@@ -63,28 +63,78 @@ def _event_rules(raw: str | None = None) -> tuple[tuple[str, Column], ...]:
     )
 
 
+#: The text of the whole numbers of an event's JSON; the typed columns alone only show NULL where it is none.
+RAW_NUMBERS = "x string, y string, dwell_ms string"
+
+
 def event_violations(events: DataFrame) -> DataFrame:
-    """V1 on typed events (bronze clickstream columns)."""
-    reasons = event_reasons()
+    """V1 on bronze click events; types are checked on the record's own text where ``value_json`` is there."""
+    raw = "_raw" if "value_json" in events.columns else None
+    if raw:
+        events = events.withColumn(raw, F.from_json("value_json", RAW_NUMBERS))
+    reasons = event_reasons(raw)
     return events.select("event_id", "offset_value", reasons.alias("reasons"),
                          (reasons == "").alias("valid"))
 
 
+# -- batches of events (V3) ---------------------------------------------
+
+def _listed(batches: DataFrame) -> DataFrame:
+    """Batch records ``{"events": [...]}`` with their events as texts, and what is wrong with them as a whole."""
+    events = F.from_json("value_json", "events array<string>")["events"]
+    listed = batches.withColumn("_events", events)
+    reason = (F.when(F.col("_events").isNull(), F.lit("events"))
+              .when(F.size("_events") < BATCH_MIN, F.lit("empty"))
+              .when(F.size("_events") > BATCH_MAX, F.lit("too_long")).otherwise(F.lit("")))
+    return listed.withColumn("_reason", reason)
+
+
+def batch_violations(batches: DataFrame) -> DataFrame:
+    """V3: per batch record the number of its events (NULL without a list) and the broken rule, '' if none."""
+    return _listed(batches).select(
+        "topic", "partition_id", "offset_value", F.when(F.col("_events").isNotNull(), F.size("_events").cast("bigint")).alias("events"),
+        F.col("_reason").alias("reasons"), (F.col("_reason") == "").alias("valid"))
+
+
+def split_batches(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, refused batches). Events are envelopes with their ``position`` in the batch, one row
+    each; a batch that breaks V3 is refused as a whole, as a dead-letter row."""
+    listed = _listed(batches)
+    envelope = ["topic", "partition_id", "offset_value"]
+    events = listed.filter(F.col("_reason") == "").select(*envelope, F.posexplode("_events").alias("position", "value_json"))
+    refused = listed.filter(F.col("_reason") != "").select(
+        *envelope, F.col("value_json").alias("raw_value"), F.concat(F.lit("batch:"), F.col("_reason")).alias("error"))
+    return events, refused
+
+
 def batch_sizes(events: DataFrame, batch_cols: list[Column | str]) -> DataFrame:
     """V3: events per batch and whether the size is within 1..200."""
     return events.groupBy(*batch_cols).agg(F.count(F.lit(1)).alias("events")).withColumn(
         "valid", F.col("events").between(BATCH_MIN, BATCH_MAX))
 
 
-def transaction_violations(transactions: DataFrame) -> DataFrame:
-    """V6 on silver transactions (amount already DECIMAL(18,2) or NULL)."""
-    rules = (
+def _not_money(text: Column) -> Column:
+    """Text of an amount with more than 2 decimals or 18 digits, zeros at the ends aside; an exponent shifts the point."""
+    plain = text.rlike(r"^\s*[+-]?0*[0-9]{0,16}(\.[0-9]{0,2}0*)?\s*$")
+    wide = text.try_cast("decimal(38,18)")
+    shifted = text.rlike("[eE]") & (wide == F.round(wide, 2)) & (F.abs(wide) < 10 ** 16)
+    return text.isNotNull() & ~F.coalesce(plain | shifted, F.lit(False))
+
+
+def transaction_violations(transactions: DataFrame, raw_amount: str | None = None) -> DataFrame:
+    """V6 on silver transactions (amount already DECIMAL(18,2) or NULL).
+
+    ``raw_amount`` names a column with the amount's own text: digits and
+    decimals that the cast has rounded away break the rule ``digits``."""
+    rules = [
         ("type", ~F.coalesce(F.col("type").isin(*TRANSACTION_TYPES), F.lit(False))),
         ("amount", ~F.coalesce(F.col("amount") > 0, F.lit(False))),
         ("currency", ~F.coalesce(F.col("currency").rlike(CURRENCY_REGEX), F.lit(False))),
         ("description", F.coalesce(F.length("description") > MAX_DESCRIPTION, F.lit(False))),
         ("merchant", F.coalesce(F.length("merchant") > MAX_MERCHANT, F.lit(False))),
-    )
+    ]
+    if raw_amount is not None:
+        rules.insert(2, ("digits", _not_money(F.col(raw_amount))))
     reasons = _reasons(*rules)
     return transactions.select("transaction_id", reasons.alias("reasons"),
                                (reasons == "").alias("valid"))

@@ -112,18 +112,26 @@ def session_flags(bronze_clicks: DataFrame, gap_seconds: int = SESSION_IDLE_GAP_
 
 
 def sessions(silver_events: DataFrame) -> DataFrame:
-    """silver.sessions (M5): one row per analytics session (partial aggregation)."""
-    return (
+    """silver.sessions (M5): one row per analytics session.
+
+    Two levels: the events are counted per (session, raw session, user) with
+    fixed-width aggregates only, which hash; texts are compared on those few rows."""
+    seen = (
         silver_events.filter(F.col("analytics_session_id").isNotNull())
-        .groupBy("analytics_session_id")
+        .groupBy("analytics_session_id", "session_id", "user_id")
+        .agg(F.min("event_ts").alias("first"), F.max("event_ts").alias("last"), F.count(F.lit(1)).alias("n"),
+             F.sum(F.coalesce("dwell_ms", F.lit(0))).alias("dwell"), F.min("dt").alias("day"))
+    )
+    return (
+        seen.groupBy("analytics_session_id")
         .agg(
             F.max("session_id").alias("raw_session_id"),
             F.max("user_id").alias("user_id"),
-            F.min("event_ts").alias("started_at"),
-            F.max("event_ts").alias("ended_at"),
-            F.count(F.lit(1)).alias("events_count"),
-            F.sum(F.coalesce("dwell_ms", F.lit(0))).cast("bigint").alias("total_dwell_ms"),
-            F.min("dt").alias("dt"),
+            F.min("first").alias("started_at"),
+            F.max("last").alias("ended_at"),
+            F.sum("n").alias("events_count"),
+            F.sum("dwell").cast("bigint").alias("total_dwell_ms"),
+            F.min("day").alias("dt"),
         )
         .withColumnRenamed("analytics_session_id", "session_id")
     )

@@ -1,10 +1,11 @@
 """The medallion layers of one source folder as lazy DataFrames.
 
 ``Layers(spark, sf_dir)`` wires the testdata adapter into the batch form of
-the bronze ingest and then into every silver and gold build. Nothing is
-computed until an action; Catalyst sees each requested table as one plan
-(from parquet scan to mart), prunes the JSON fields it does not need and
-pushes filters down to the scans.
+the bronze ingest and then into every silver and gold build. Catalyst sees each
+requested table as one plan (from parquet scan to mart), prunes the JSON fields
+it does not need and pushes filters down to the scans. Only the click events,
+which a scan over sessions reads in several branches, are written once in their
+parsed form, when the first of its results is asked for.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators import bronze as B
 from tidemark.operators import cdc, marts, sessions
+from tidemark.session import stored
 from tidemark.sources import testdata
 
 
@@ -59,22 +62,31 @@ class Layers:
     def dlq_clicks(self) -> DataFrame:
         return self._click_split[1]
 
+    @cached_property
+    def clicks(self) -> DataFrame:
+        """The bronze click events without their JSON text, written and read back."""
+        return stored(self.bronze_clicks.drop("value_json"), "clicks")
+
+    def changes(self, table: str) -> DataFrame:
+        """The bronze changes of one topic; the other topics' records are not even built."""
+        return self.bronze_cdc.filter(F.col("topic") == f"wallet.public.{table}")
+
     # -- silver ---------------------------------------------------------
     @cached_property
     def transactions(self) -> DataFrame:
-        return cdc.silver_transactions(self.bronze_cdc)
+        return cdc.silver_transactions(self.changes("transactions"))
 
     @cached_property
     def users(self) -> DataFrame:
-        return cdc.silver_users(self.bronze_cdc)
+        return cdc.silver_users(self.changes("users"))
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return cdc.silver_accounts(self.bronze_cdc)
+        return cdc.silver_accounts(self.changes("accounts"))
 
     @cached_property
     def events(self) -> DataFrame:
-        return sessions.sessionize(self.bronze_clicks, gap_seconds=self.gap_seconds)
+        return sessions.sessionize(self.clicks, gap_seconds=self.gap_seconds)
 
     @cached_property
     def sessions(self) -> DataFrame:

@@ -82,7 +82,7 @@ def silver_transactions_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sessionize_long_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4 with an 8 h idle gap, so that both split branches are exercised."""
-    events = sessions.sessionize(Layers(spark, sf_dir).bronze_clicks, gap_seconds=8 * 3600)
+    events = sessions.sessionize(Layers(spark, sf_dir).clicks, gap_seconds=8 * 3600)
     return events.select("event_id", "analytics_session_id")
 
 
@@ -191,6 +191,32 @@ def validate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         events, ["session_id", F.date_trunc("minute", "event_ts").alias("batch_start")]))
 
 
+def validate_batch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3 on batch records that hold lists of events."""
+    from tidemark.operators import quality
+    from tidemark.sources import testdata
+    batches = testdata.click_batches(testdata.read_table(spark, sf_dir, "events"))
+    return quality.batch_violations(batches).drop("topic", "partition_id")
+
+
+def batch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of all batches that keep V3, parsed, with their positions."""
+    from tidemark.operators import quality
+    from tidemark.sources import testdata
+    batches = testdata.click_batches(testdata.read_table(spark, sf_dir, "events"))
+    events, _ = quality.split_batches(batches)
+    return events.select("offset_value", "position", F.get_json_object("value_json", "$.event_id").alias("event_id"))
+
+
+def rolling_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 merged: distinct users of the last seven days, from bitmaps per day."""
+    from tidemark.operators import distinct
+    from tidemark.session import stored
+    events = Layers(spark, sf_dir).events.select("dt", "user_id")
+    codes = stored(distinct.new_codes(events.select("user_id")), "user_codes")
+    return distinct.rolling_users(events, codes)
+
+
 def dlq_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     env = B.dlq_envelope(Layers(spark, sf_dir).dlq_clicks)
     return env.select(
@@ -208,7 +234,9 @@ def tx_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validate_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators import quality
-    return quality.transaction_violations(Layers(spark, sf_dir).transactions)
+    L = Layers(spark, sf_dir)
+    raw = cdc.latest_images(L.bronze_cdc, "transactions").select(*cdc.silver_columns("transactions"), "a_amount")
+    return quality.transaction_violations(raw, "a_amount")
 
 
 def first_account(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +280,7 @@ def resolve_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators import clicks
-    return clicks.page_dwell(Layers(spark, sf_dir).bronze_clicks)
+    return clicks.page_dwell(Layers(spark, sf_dir).clicks)
 
 
 def income_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +315,7 @@ def event_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.session_flags(Layers(spark, sf_dir).bronze_clicks)
+    return sessions.session_flags(Layers(spark, sf_dir).clicks)
 
 
 def cdc_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,6 +410,9 @@ def registry() -> dict[str, Query]:
         "validate_events": validate_events,
         "normalize_ts": normalize_ts,
         "validate_batches": validate_batches,
+        "validate_batch_records": validate_batch_records,
+        "batch_events": batch_events,
+        "rolling_users": rolling_users,
         "dlq_envelope": dlq_envelope,
         "tx_direction": tx_direction,
         "validate_transactions": validate_transactions,

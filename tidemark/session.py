@@ -47,9 +47,10 @@ def build_session(
 def shared_root(spark: SparkSession) -> str:
     """Root of the shared work folder.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir); only
-    when neither is set -- local runs and tests -- a private folder is made and
-    registered as the checkpoint dir, so later calls agree.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir). When
+    neither is set, a session whose driver and executors are one process gets a
+    private folder, registered as the checkpoint dir, so later calls agree; on a
+    cluster, where others would not see that folder, it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -60,6 +61,9 @@ def shared_root(spark: SparkSession) -> str:
         current = None
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
     local = tempfile.mkdtemp(prefix="tidemark-")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir().rstrip("/")

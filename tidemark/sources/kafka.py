@@ -8,6 +8,8 @@ same contract over a directory of envelope files (JSON lines or parquet).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,3 +78,12 @@ def envelope_from_files(
     if streaming and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return reader.load(path).select(*[f.name for f in ENVELOPE_SCHEMA.fields])
+
+
+def kafka_dlq_sink(bootstrap_servers: str, topic: str, options: dict[str, str] | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``dlq_sink`` of the ingest that sends the records to a dead-letter topic."""
+    def send(records: DataFrame, batch_id: int) -> None:
+        writer = records.write.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers).option("topic", topic)
+        writer.options(**(options or {})).save()
+
+    return send

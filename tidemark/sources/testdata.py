@@ -118,6 +118,29 @@ def clickstream_envelopes(events: DataFrame) -> DataFrame:
     )
 
 
+BATCH_TOPIC = "clickstream.batches"
+
+
+def click_batches(events: DataFrame) -> DataFrame:
+    """events -> batch records ``{"events": [...]}``: a batch for each 200 event ids, and beside it by
+    the block's number modulo 5: 1 the batch with its first event again, 2 its first event alone, 3 no
+    event, 4 no list."""
+    one = clickstream_envelopes(events).filter(F.col("offset_value") % 3 == 0)
+    block = F.floor(F.col("offset_value") / 600).cast("bigint")
+    blocks = one.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("offset_value", "value_json"))).alias("rows"))
+    texts = F.col("rows.value_json")
+    rest = F.col("block") % 5
+    variants = F.array(
+        F.struct(F.lit(0).alias("v"), texts.alias("events")),
+        F.when(rest == 1, F.struct(F.lit(1).alias("v"), F.concat(texts, F.slice(texts, 1, 1)).alias("events"))),
+        F.when(rest == 2, F.struct(F.lit(2).alias("v"), F.slice(texts, 1, 1).alias("events"))),
+        F.when(rest == 3, F.struct(F.lit(3).alias("v"), F.slice(texts, 1, 0).alias("events"))),
+        F.when(rest == 4, F.struct(F.lit(4).alias("v"), F.lit(None).cast("array<string>").alias("events"))))
+    return blocks.select("block", F.explode(F.array_compact(variants)).alias("b")).select(
+        F.lit(BATCH_TOPIC).alias("topic"), F.lit(0).alias("partition_id"), (F.col("block") * 8 + F.col("b.v")).alias("offset_value"),
+        F.coalesce(F.concat(F.lit('{"events":['), F.array_join("b.events", ","), F.lit("]}")), F.lit("{}")).alias("value_json"))
+
+
 def _snapshot_envelope(table: str, key: Column, after: Column, partition: Column,
                        offset: Column) -> list[Column]:
     value = F.struct(

@@ -2,8 +2,8 @@
 (C1-C5, R1-R7, S21).
 
 ``start_bronze_ingest`` runs ``envelope stream -> foreachBatch`` where each
-micro-batch is annotated once, persisted, and split into the valid bronze
-rows and the dead-letter rows. Both writes are *idempotent per batch*: the
+micro-batch is annotated and split into the valid bronze rows and the
+dead-letter rows. Both writes are *idempotent per batch*: the
 bronze tables are partitioned by ``(ingest_id, batch_id, [source_table,] dt)``
 and a batch is written as ``INSERT OVERWRITE ... PARTITION (ingest_id = q,
 batch_id = k, ...)`` in static mode, so a retried batch first drops whatever an earlier
@@ -17,12 +17,12 @@ in the checkpoint folder under the shared root.
 
 from __future__ import annotations
 
+import datetime
 import functools
 import json
 import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -63,12 +63,11 @@ def overwrite_batch(lakehouse: Lakehouse, logical: str, df: DataFrame, batch_id:
     dynamic = [c for c in spec.partition_by if c not in schemas.STATIC_BRONZE_PARTITIONS]
     data_cols = [f for f in spec.schema.fields if f.name not in spec.partition_by]
     part_types = {f.name: f.dataType for f in spec.schema.fields}
-    # REBALANCE(dynamic partition columns): cluster rows by partition so each
-    # is written by few tasks (few files), while AQE splits a large partition
-    # into advisory-sized chunks and merges small ones.
+    # Tasks write their own rows, sorted by partition, without a shuffle of the raw text;
+    # ``plans.compaction`` makes few files of closed batches.
     df.select(*[F.col(f.name).cast(f.dataType) for f in data_cols],
               *[F.col(c).cast(part_types[c]) for c in dynamic]
-              ).hint("rebalance", *dynamic).createOrReplaceTempView(view)
+              ).createOrReplaceTempView(view)
     cols = ", ".join(f"`{c}`" for c in [f.name for f in data_cols] + dynamic)
     try:
         with overwrite_mode(spark, "full"):
@@ -80,11 +79,16 @@ def overwrite_batch(lakehouse: Lakehouse, logical: str, df: DataFrame, batch_id:
         spark.catalog.dropTempView(view)
 
 
+DlqSink = Callable[[DataFrame, int], None]
+
+
 def batch_writer(lakehouse: Lakehouse, kind: str, ingest_id: str | Callable[[], str],
-                 strict: bool = False) -> Callable[[DataFrame, int], None]:
+                 strict: bool = False, dlq_sink: DlqSink | None = None) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function for one ingest kind (R3 / R4). A callable
     ``ingest_id`` is asked at every batch, as a query's id exists only once it runs.
-    ``strict`` (clicks) also dead-letters events that break the contract."""
+    ``strict`` (clicks) also dead-letters events that break the contract.
+    ``dlq_sink`` gets each batch's dead letters as envelope records (V4); if it
+    fails, the batch fails and is tried again."""
     annotate, split, valid_table, dlq_table = KINDS[kind]
     if strict:
         if kind != "clicks":
@@ -92,16 +96,15 @@ def batch_writer(lakehouse: Lakehouse, kind: str, ingest_id: str | Callable[[],
         split = functools.partial(split, strict=True)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # One ingest time per batch; the annotated batch is reused by both
-        # writes instead of re-reading the source (persist, then unpersist).
-        annotated = annotate(batch, F.current_timestamp()).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            valid, dlq = split(annotated)
-            writer_id = ingest_id() if callable(ingest_id) else ingest_id
-            overwrite_batch(lakehouse, valid_table, valid, batch_id, writer_id)
-            overwrite_batch(lakehouse, dlq_table, dlq, batch_id, writer_id)
-        finally:
-            annotated.unpersist()
+        # One ingest time per batch. Both writes read the source: each parses only the fields it
+        # needs, which costs less than keeping the raw text of a batch on the executors' disks.
+        now = F.lit(datetime.datetime.now(datetime.timezone.utc))
+        valid, dlq = split(annotate(batch, now))
+        writer_id = ingest_id() if callable(ingest_id) else ingest_id
+        overwrite_batch(lakehouse, valid_table, valid, batch_id, writer_id)
+        overwrite_batch(lakehouse, dlq_table, dlq, batch_id, writer_id)
+        if dlq_sink:
+            dlq_sink(B.dlq_records(dlq), batch_id)
 
     return write
 
@@ -109,7 +112,7 @@ def batch_writer(lakehouse: Lakehouse, kind: str, ingest_id: str | Callable[[],
 def start_bronze_ingest(
     envelopes: DataFrame, kind: str, lakehouse: Lakehouse, checkpoint: str | None = None,
     available_now: bool = True, processing_time: str | None = None, query_name: str | None = None,
-    strict: bool = False,
+    strict: bool = False, dlq_sink: DlqSink | None = None,
 ) -> StreamingQuery:
     """Start the envelope stream into bronze. ``available_now`` drains what
     is there and stops (R1); otherwise it runs every ``processing_time``."""
@@ -120,7 +123,7 @@ def start_bronze_ingest(
     writer_id = functools.partial(ingest_id_of, lakehouse.spark, checkpoint)
     writer = (
         envelopes.writeStream.foreachBatch(
-            batch_writer(lakehouse, kind, writer_id, strict=strict))
+            batch_writer(lakehouse, kind, writer_id, strict=strict, dlq_sink=dlq_sink))
         .option("checkpointLocation", checkpoint)
     )
     if query_name:
