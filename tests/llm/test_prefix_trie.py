@@ -53,7 +53,9 @@ def small(monkeypatch):
     monkeypatch.setattr(prefix_trie, "RUN", 3)
 
 
-def test_random_conversations_over_many_shards(spark, small):
+@pytest.mark.parametrize("segment", [512, 4, 1])
+def test_random_conversations_over_many_shards(spark, small, monkeypatch, segment):
+    monkeypatch.setattr(prefix_trie, "SEGMENT", segment)
     rng = random.Random(5)
     rows = []
     for conv in range(60):

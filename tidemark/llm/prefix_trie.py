@@ -19,8 +19,12 @@ are sorted and joined in runs over all tasks, a large group in many; one
 task then feeds the runs of a group into one digest, as SHA-256 demands.
 
 Positions of turns come from one range sort, so that a conversation with many turns is
-spread over tasks. Its turn numbers then form one row (8 bytes a turn), which
-must fit into a task's memory; so must a shard of about SHARD turns.
+spread over tasks. Sequences are cut into segments of SEGMENT turns. A segment hangs below its
+anchor, the node of all turns before it, which is known by a polynomial hash of the
+earlier segments, a running sum over one narrow row per segment. Each anchor is the root of a tree of its
+own; as a subtree goes on in the next segment's tree, the nodes on the way to a whole
+segment's end are boundary nodes like the others. No row holds more than a segment, no task
+more than a shard of some SHARD turns.
 
 Defined results: a null role or text is empty; a null turn comes first, and equal turns follow
 role, then text; repeated rows are repeated turns. Rows without a conv_id belong to no
@@ -33,6 +37,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from decimal import Decimal
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +50,10 @@ from tidemark.llm.common import forget, store
 SHARD = 1 << 17
 #: Conversation ids that are joined to one text before they are hashed.
 RUN = 1 << 12
+#: Turns of a sequence that form one row.
+SEGMENT = 512
+#: Segments are hashed modulo a prime (2^89 - 1), with a base that is fixed.
+PRIME, BASE = (1 << 89) - 1, 0x9E3779B97F4A7C15F39CC1
 #: The rule that rebuilds conversations: every GROUP-th is the base of those behind it, of whose turns at most MOST are taken.
 GROUP, MOST = 5, 9
 NO_END = hashlib.sha256(b"").hexdigest()
@@ -83,21 +93,57 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 
 def rebuilt(rows: DataFrame) -> DataFrame:
-    """(conv_id, ids, sizes): each conversation as its base's first h turns, then its own after its first h."""
+    """(conv_id, seg, total, ids, sizes): each conversation as its base's first h turns, then its own after its first h.
+
+    A segment is a row; ``total`` is the number of the conversation's turns. One without turns has one empty segment."""
     taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % MOST
     convs = rows.groupBy("conv_id").agg(F.max("nth").alias("n")).select(
         "conv_id", "n", taken.alias("h"), (F.col("conv_id") - F.col("conv_id") % GROUP).alias("base")
     )
+    given = F.least("h", F.coalesce("n_base", F.lit(0)))
+    convs = convs.join(convs.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base")), "base", "left").withColumn("given", given)
+    convs = convs.withColumn("total", F.col("given") + F.greatest(F.col("n") - F.col("h"), F.lit(0)))
+    convs = store(convs.select("conv_id", "base", "h", "given", "total"), "convs")
     heads = rows.where(F.col("nth") < MOST).select(F.col("conv_id").alias("base"), "nth", "turn_id", "n_bytes")
-    first = convs.join(heads, "base").where("nth <= h").select("conv_id", "nth", "turn_id", "n_bytes")
-    # Turns of the base come first whatever their number, as theirs is h at most.
-    rest = rows.where(F.col("nth") > taken).select("conv_id", "nth", "turn_id", "n_bytes")
-    turn = F.struct("nth", "turn_id", "n_bytes")
-    found = first.unionByName(rest).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    first = convs.join(heads, "base").where("nth <= h").select("conv_id", "total", F.col("nth").alias("pos"), "turn_id", "n_bytes")
+    rest = rows.where(F.col("nth") > taken).join(convs, "conv_id").select(
+        "conv_id", "total", (F.col("nth") - F.col("h") + F.col("given")).alias("pos"), "turn_id", "n_bytes"
+    )
+    turn = F.struct("pos", "turn_id", "n_bytes")
+    found = first.unionByName(rest).groupBy("conv_id", F.floor((F.col("pos") - 1) / SEGMENT).alias("seg")).agg(
+        F.max("total").alias("total"), F.array_sort(F.collect_list(turn)).alias("t")
+    )
     none = F.array().cast("array<bigint>")
-    return convs.select("conv_id").join(found, "conv_id", "left").select(
-        "conv_id", F.coalesce("t.turn_id", none).alias("ids"), F.coalesce("t.n_bytes", none).alias("sizes")
+    empty = convs.where("total = 0").select("conv_id", F.lit(0).cast("bigint").alias("seg"), "total", none.alias("ids"), none.alias("sizes"))
+    return found.select("conv_id", "seg", "total", F.col("t.turn_id").alias("ids"), F.col("t.n_bytes").alias("sizes")).unionByName(empty)
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (conv_id, seg, ids) -> (conv_id, seg, term): a segment's term of the polynomial hash."""
+    for batch in batches:
+        terms = []
+        for seg, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            digest = hashlib.sha256(b"".join(i.to_bytes(8, "little", signed=True) for i in ids)).digest()
+            terms.append(Decimal(int.from_bytes(digest, "big") % PRIME * pow(BASE, seg, PRIME) % PRIME))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(terms, pa.decimal128(38, 0))], names=["conv_id", "seg", "term"])
+
+
+def anchored(segments: DataFrame) -> DataFrame:
+    """``segments`` with anchor, the name of the node above them, and next: that of a whole segment's last node."""
+    long = segments.where(F.col("total") >= SEGMENT)
+    terms = long.select("conv_id", "seg", "ids").mapInArrow(_terms, "conv_id bigint, seg bigint, term decimal(38,0)")
+    w = Window.partitionBy("conv_id").orderBy("seg")
+    name = lambda seg, total: F.unhex(F.sha2(F.concat_ws(":", seg, total % F.lit(Decimal(PRIME))).cast("binary"), 256))
+    before = F.sum("term").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    upto = F.sum("term").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    names = terms.select(
+        "conv_id", "seg", F.coalesce(name(F.col("seg"), before), F.lit(TOP)).alias("anchor"), name(F.col("seg") + 1, upto).alias("next")
     )
+    whole = F.when(F.size("ids") == SEGMENT, F.col("next"))
+    deep = long.join(names.withColumn("anchor", F.when(F.col("seg") == 0, F.lit(TOP)).otherwise(F.col("anchor"))), ["conv_id", "seg"])
+    columns = ["conv_id", "seg", "total", "ids", "sizes", "anchor"]
+    short = segments.where(F.col("total") < SEGMENT).withColumn("anchor", F.lit(TOP))
+    return deep.select(*columns, whole.alias("next")).unionByName(short.select(*columns, F.lit(None).cast("binary").alias("next")))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,15 +177,15 @@ def ends(members: DataFrame) -> DataFrame:
 class Tree:
     """A ternary search tree over sequences of turn numbers; entry 0 is the root, which has no turn."""
 
-    def __init__(self) -> None:
-        self.turn, self.size, self.depth, self.parent = [-1], [0], [0], [0]
+    def __init__(self, depth: int = 0) -> None:
+        self.turn, self.size, self.depth, self.parent = [-1], [0], [depth], [0]
         self.lower, self.higher, self.below = [0], [0], [0]
         self.convs, self.least, self.end = [0], [None], [NO_END]
 
     def insert(self, ids: list[int], sizes: list[int], copies: int, least: int, end: str) -> None:
         turn, lower, higher, below = self.turn, self.lower, self.higher, self.below
         node = 0
-        for depth, (want, size) in enumerate(zip(ids, sizes, strict=True), 1):
+        for depth, (want, size) in enumerate(zip(ids, sizes, strict=True), self.depth[0] + 1):
             # The entries for the turns behind ``node`` hang together by lower and higher; find that of this turn.
             at, links, owner = below[node], below, node
             while at and turn[at] != want:
@@ -169,30 +215,29 @@ def medians(n: int) -> Iterator[int]:
             waiting += [(low, middle), (middle + 1, high)]
 
 
-def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes of one shard, whose rows (ids, sizes, copies, least, end) are sorted by ids."""
-    found = [batch for batch in batches if batch.num_rows]
-    if not found:
-        return
-    table = pa.Table.from_batches(found)
-    ids, sizes = table.column(0), table.column(1)
-    others = [table.column(k).to_pylist() for k in (2, 3, 4)]
-    tree = Tree()
-    for row in medians(table.num_rows):
-        tree.insert(ids[row].as_py(), sizes[row].as_py(), *(c[row] for c in others))
+def _nodes(rows: list[tuple]) -> pa.Table:
+    """The nodes of the tree below one anchor, from sorted rows (anchor, ids, sizes, copies, least, end, next, depth)."""
+    anchor, start = rows[0][0], rows[0][7]
+    tree = Tree(start)
+    for row in medians(len(rows)):
+        tree.insert(*rows[row][1:6])
     n = len(tree.turn)
     convs, least, parent = tree.convs, tree.least, tree.parent
     children, leaves, saved = [0] * n, [0] * n, [0] * n
-    # Paths of the first and the last sequence: their nodes may stand in other shards too.
-    paths: dict[int, bytes] = {0: TOP}
-    for row in {0, table.num_rows - 1}:
-        node, path = 0, TOP
-        for want in ids[row].as_py():
+    # Paths of the first and the last sequence, whose nodes may stand in other shards too, and of those that go on.
+    paths: dict[int, bytes] = {0: anchor}
+    for row, (_, ids, _, _, _, _, after, _) in enumerate(rows):
+        if 0 < row < len(rows) - 1 and after is None:
+            continue
+        node, path = 0, anchor
+        for want in ids:
             at = tree.below[node]
             while tree.turn[at] != want:
                 at = tree.lower[at] if want < tree.turn[at] else tree.higher[at]
             node, path = at, hashlib.sha256(path + want.to_bytes(8, "little", signed=True)).digest()
             paths[node] = path
+        if after is not None:
+            paths[node] = after
     # An entry is made after its parent, so that going back from the last one sees children first.
     for node in range(n - 1, -1, -1):
         bound = node in paths
@@ -209,12 +254,15 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 leaves[up] += leaves[node]
                 saved[up] += saved[node]
     inner_parent = [parent[k] not in paths for k in range(n)]
+    up_conv = [least[parent[k]] if inner_parent[k] else None for k in range(n)]
+    if start:
+        convs[0] = 0  # its members are counted where the segment before it ends
     columns = [
         ([paths.get(k) for k in range(n)], pa.binary()),
         ([paths.get(parent[k]) if k else None for k in range(n)], pa.binary()),
         (tree.depth, pa.int64()),
         (least, pa.int64()),
-        ([least[parent[k]] if inner_parent[k] else None for k in range(n)], pa.int64()),
+        (up_conv, pa.int64()),
         (convs, pa.int64()),
         (children, pa.int64()),
         (leaves, pa.int64()),
@@ -223,17 +271,23 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (tree.end, pa.string()),
         ([k in paths for k in range(n)], pa.bool_()),
     ]
-    whole = pa.table([pa.array(c, t) for c, t in columns], names=[c.split()[0] for c in NODE.split(", ")])
-    yield from whole.to_batches(max_chunksize=1 << 14)
+    return pa.table([pa.array(c, t) for c, t in columns], names=[c.split()[0] for c in NODE.split(", ")])
+
+
+def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of one shard, whose rows are sorted by anchor and ids."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for _, own in groupby(rows, key=lambda row: row[0]):
+        yield from _nodes(list(own)).to_batches(max_chunksize=1 << 14)
 
 
 def _merged(pieces: DataFrame) -> DataFrame:
     """Boundary nodes, one row each, with the sums over their whole subtrees."""
     own = store(
         pieces.groupBy("path").agg(
-            F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.min("conv_id").alias("conv_id"),
+            F.max("parent").alias("parent"), F.max("depth").alias("depth"), F.min("conv_id").alias("conv_id"),
             F.sum("n_convs").alias("n_convs"), F.sum("n_children").alias("hanging"), F.sum("n_leaves").alias("leaves"),
-            F.sum("saved").alias("saved"), F.first("n_bytes").alias("n_bytes"),
+            F.sum("saved").alias("saved"), F.max("n_bytes").alias("n_bytes"),
             F.max(F.when(F.col("end") != NO_END, F.col("end"))).alias("end"),
         ),
         "boundary",
@@ -266,17 +320,22 @@ def _merged(pieces: DataFrame) -> DataFrame:
     return now
 
 
-def trie(sequences: DataFrame) -> DataFrame:
-    """The nodes of the trie of (conv_id, ids, sizes); ``sizes`` are the bytes of each turn's text."""
-    seq = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").cast("binary"), 256)
-    rows = store(sequences.withColumn("seq", seq), "sequences")
+def trie(segments: DataFrame) -> DataFrame:
+    """The nodes of the trie of the conversations whose segments are given as by ``rebuilt``."""
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    seq = F.sha2(F.concat(F.hex("anchor"), F.lit(":"), listed).cast("binary"), 256)
+    rows = store(anchored(segments).withColumn("seq", seq), "sequences")
     # Copies are counted on narrow rows; the arrays come from the least copy.
     groups = rows.groupBy("seq").agg(F.count("*").alias("copies"), F.min("conv_id").alias("least"))
-    kept = rows.select("seq", F.col("conv_id").alias("least"), "ids", "sizes").join(groups, ["seq", "least"])
-    distinct = store(kept.join(ends(rows.select("seq", "conv_id")), "seq").select("ids", "sizes", "copies", "least", "end"), "distinct")
+    depth = (F.col("seg") * SEGMENT).alias("depth")
+    kept = rows.select("seq", F.col("conv_id").alias("least"), "anchor", "ids", "sizes", "next", depth).join(groups, ["seq", "least"])
+    last = rows.where((F.col("seg") + 1) * SEGMENT >= F.col("total")).select("seq", "conv_id")
+    end = F.coalesce("end", F.lit(NO_END)).alias("end")
+    distinct = kept.join(ends(last), "seq", "left").select("anchor", "ids", "sizes", "copies", "least", end, "next", "depth")
+    distinct = store(distinct, "distinct")
     forget(rows)
     total = distinct.agg(F.sum(F.size("ids") + 1)).first()[0] or 0
-    shards = distinct.repartitionByRange(max(1, math.ceil(total / SHARD)), "ids").sortWithinPartitions("ids")
+    shards = distinct.repartitionByRange(max(1, math.ceil(total / SHARD)), "anchor", "ids").sortWithinPartitions("anchor", "ids")
     nodes = store(shards.mapInArrow(_shard, NODE), "nodes")
     forget(distinct)
     bounds = _merged(nodes.where("bound"))
@@ -291,4 +350,4 @@ def trie(sequences: DataFrame) -> DataFrame:
 
 def conversation_trie(conversations: DataFrame) -> DataFrame:
     """One row per node of the trie of rebuilt conversations."""
-    return trie(rebuilt(store(turns(conversations), "turns")))
+    return trie(store(rebuilt(store(turns(conversations), "turns")), "segments"))
