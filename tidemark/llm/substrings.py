@@ -105,30 +105,33 @@ def _segments(found: DataFrame) -> DataFrame:
     A hot hit gives its windows one by one: half of the name in place of the mark, and no bytes.
     """
 
-    names = ["mark", "name1", "name2", "bytes", "row", "start"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
-
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(zip(*rows, strict=True), types, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in columns], names=names)
+    def packed(cuts: list[bytes], digests: list[bytes], columns: list[list[int]]) -> pa.RecordBatch:
+        names = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+        rows, starts, marks, hot = (np.array(c, np.int64) for c in columns)
+        arrays = [np.where(hot == 1, names[:, 0], marks), names[:, 0], names[:, 1], pa.array(cuts, pa.binary()), rows, starts.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["mark", "name1", "name2", "bytes", "row", "start"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            rows: list[tuple] = []
-            for row, text, hits in zip(*(batch.column(i) for i in range(3)), strict=True):
-                raw, key = text.as_py().encode("utf-8", "surrogatepass"), row.as_py()
-                for hit in hits.as_py():
-                    first, last, hot = hit["start"], hit["stop"], hit["hot"]
+            hits = batch.column(2)
+            ends = (hits.offsets.to_numpy() - hits.offsets[0].as_py()).tolist()
+            every = [hits.flatten().field(name).to_numpy(zero_copy_only=False) for name in ("start", "stop", "mark", "hot")]
+            cuts, digests, columns = [], [], [[], [], [], []]
+            for k, (row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                raw = text.as_py().encode("utf-8", "surrogatepass")
+                for first, last, mark, hot in zip(*(x[ends[k] : ends[k + 1]].tolist() for x in every), strict=True):
                     for start, stop in ((w, w) for w in range(first, last + 1)) if hot else ((first, last),):
                         cut = raw[start : stop + WIDTH]
-                        name = xxhash.xxh3_128_intdigest(cut)
-                        halves = ((name >> 64) - (1 << 63), (name & (1 << 64) - 1) - (1 << 63))
-                        rows.append((halves[0] if hot else hit["mark"], *halves, b"" if hot else cut, key, start))
-                    if len(rows) >= 10_000:
-                        yield packed(rows)
-                        rows = []
-            if rows:
-                yield packed(rows)
+                        digests.append(digest(cut))
+                        cuts.append(b"" if hot else cut)
+                        for column, value in zip(columns, (row, start, mark, hot), strict=True):
+                            column.append(value)
+                if len(cuts) >= 10_000:
+                    yield packed(cuts, digests, columns)
+                    cuts, digests, columns = [], [], [[], [], [], []]
+            if cuts:
+                yield packed(cuts, digests, columns)
 
     return found.select("row", "text", "hits").mapInArrow(
         run, "mark bigint, name1 bigint, name2 bigint, bytes binary, row bigint, start int"
