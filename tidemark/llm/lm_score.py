@@ -143,6 +143,24 @@ def vocabulary(texts: DataFrame, buckets: int) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
+def automaton(
+    token: np.ndarray, state: np.ndarray, arc: np.ndarray, total: int, types: int, mass: float = MASS
+) -> tuple[np.ndarray, np.ndarray]:
+    """(root, taken): the weights met in one pass from left to right, from the counts of each token, state and arc.
+
+    ``root`` is the arc of the empty state for the token. ``taken`` is the state's own arc for the token where training
+    has it; elsewhere the state's failure arc leads to the empty state without reading, and its arc follows. The empty
+    state (a count of zero, behind an unknown token) has no failure arc. Weights are logarithms to base 10.
+    """
+    root = np.log10((token + 1) / (total + types + 1))
+    taken = root.copy()
+    fails = np.flatnonzero((arc == 0) & (state > 0))
+    taken[fails] += np.log10(mass / (state[fails] + mass))
+    own = np.flatnonzero(arc > 0)
+    taken[own] = np.log10((arc[own] + mass * 10 ** root[own]) / (state[own] + mass))
+    return root, taken
+
+
 def score(
     docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", mass: float = MASS
 ) -> DataFrame:
@@ -175,14 +193,13 @@ def score(
         ids, before, first = _read(t.as_py() for t in texts["text"])
         order = np.argsort(model["bucket"].to_numpy())
         arcs_taken = _bigrams(before, ids)
-        states = np.unique(np.concatenate([ids, arcs_taken]))  # the block's request, in whose order the answers come
+        names = np.unique(np.concatenate([ids, arcs_taken]))  # the block's request, in whose order the answers come
         counts = np.concatenate([_unpack(model["counts"][int(k)].as_py()) for k in order]).astype(np.float64)
-        count = lambda wanted: counts[np.searchsorted(states, wanted)]
+        count = lambda wanted: counts[np.searchsorted(names, wanted)]
         known = count(ids)
-        state = np.roll(known, 1)
+        state = np.roll(known, 1)  # of the token read last; zero for the empty state
         state[first] = count(np.array([END], np.uint64))[0]  # as many texts begin as end
-        base = (known + 1) / (total + types + 1)
-        arcs = (count(arcs_taken) + mass * base) / (state + mass)
+        base, arcs = automaton(known, state, count(arcs_taken), total, types, mass)
         add = lambda x: np.add.reduceat(x, first)
         return pa.table(
             {
@@ -191,8 +208,8 @@ def score(
                 "n_tokens": pa.array(np.diff(first, append=len(ids))),
                 "n_known": pa.array(add((known > 0).astype(np.int64))),
                 "train_tokens": pa.array(np.full(len(first), total, np.int64)),
-                "base_score": pa.array(add(np.log10(base))),
-                "score": pa.array(add(np.log10(arcs))),
+                "base_score": pa.array(add(base)),
+                "score": pa.array(add(arcs)),
             }
         )
 
