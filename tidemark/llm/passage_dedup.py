@@ -106,12 +106,14 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _marked(rows: DataFrame) -> DataFrame:
     """The units whose normal form occurs more than once: document, offsets, digest, first (the rank that stays), own (their rank)."""
     found = store(rows.select(*DOC, "text").mapInArrow(_units, UNIT), "passages")
-    often = found.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    # Tables, so that both sides of the joins are plain exchanges and a digest that stands in very many texts can be split.
+    often = store(found.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "often")
     ranks = rows.select(*DOC, "id", "tie").dropDuplicates(DOC)
     again = store(found.join(often, "h1", "left_semi").join(ranks, DOC), "again")
     forget(found)
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "tie", *DOC, "start")
-    first = again.groupBy(*DIGEST).agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    forget(often)
+    first = store(again.groupBy(*DIGEST).agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     return again.withColumn("own", rank).join(first, DIGEST)
 
 
