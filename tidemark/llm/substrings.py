@@ -43,7 +43,8 @@ from tidemark.llm.suffixes import permuted_prefixes, suffix_array
 
 WIDTH = 200
 GRAM = 100
-SHARD_BYTES = 2 << 20
+#: What a worker sorts at once; larger shards leave its cache and take twice the time a byte.
+SHARD_BYTES = 256 << 10
 #: Segments of a mark that one task may gather: at most 5 MB beside the shard.
 HOT = 1 << 14
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
