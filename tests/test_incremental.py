@@ -236,3 +236,43 @@ def test_compaction_waits_for_silver_and_is_not_read_again(utc, lh):
     assert incremental.new_batches(lh, "silver.clickstream_events") == [("w1", b) for b in (3, 4, 5)]
     incremental.merge_events(lh)
     same(lh.table("silver.clickstream_events"), sessions.sessionize(lh.table("bronze.clickstream_raw")))
+
+
+# -- a new catalog on the same root ---------------------------------------
+
+def forget_catalog(lh):
+    """What a new session with an in-memory catalog sees of the root: no table at all."""
+    for ns in ("bronze", "silver", "gold", "state"):
+        if lh.spark.catalog.databaseExists(f"{lh.prefix}{ns}"):
+            for t in lh.spark.catalog.listTables(f"{lh.prefix}{ns}"):
+                lh.spark.sql(f"DROP TABLE {lh.prefix}{ns}.{t.name}")
+
+
+def test_a_new_catalog_finds_everything_again(utc, lh):
+    rows = changes(12, 40)
+    for batch in range(4):
+        load(lh, "bronze.pg_cdc_raw", bronze_cdc(utc, rows[batch::4]), batch)
+    incremental.merge_current(lh, "transactions")
+    compaction.compact(lh, "bronze.pg_cdc_raw", "w1")
+    bronze, silver = (sorted(map(repr, lh.table(t).drop("batch_id").collect())) for t in ("bronze.pg_cdc_raw", "silver.transactions"))
+    forget_catalog(lh)
+    lh.init()
+    assert sorted(map(repr, lh.table("bronze.pg_cdc_raw").drop("batch_id").collect())) == bronze
+    assert sorted(map(repr, lh.table("silver.transactions").drop("batch_id").collect())) == silver
+    with pytest.raises(ingest.CompactedBatch):
+        load(lh, "bronze.pg_cdc_raw", bronze_cdc(utc, rows[:2]), 1)
+    assert incremental.merge_current(lh, "transactions") == set()
+
+
+def test_command_line_jobs(utc, tmp_path, capsys):
+    from tidemark import cli
+    from tidemark.plans.catalog import Lakehouse
+    lh = Lakehouse(utc, root=str(tmp_path / "lh"), prefix="cli_")
+    lh.init()
+    for batch in range(2):
+        load(lh, "bronze.clickstream_raw", bronze_clicks(utc, clicks(13, 20)[batch::2]), batch)
+        load(lh, "bronze.pg_cdc_raw", bronze_cdc(utc, changes(14, 20)[batch::2]), batch)
+    for job in (["refresh", "--incremental"], ["compact"], ["statistics"], ["refresh", "--incremental"], ["check"]):
+        assert cli.main(["--root", lh.root, "--prefix", "cli_", *job]) == 0
+    said = capsys.readouterr().out
+    assert "silver.transactions: 0 days changed" in said and "bronze.pg_cdc_raw w1: up to batch 0" in said

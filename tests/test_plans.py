@@ -46,11 +46,15 @@ def test_sessions_hash_their_events(utc):
     assert "HashAggregate" in lowest and "partial_count" in lowest
 
 
-def test_page_dwell_drops_other_events_before_its_shuffle(utc):
-    lines = _plan(clicks.page_dwell(Layers(utc, SF_SMALL).bronze_clicks)).splitlines()
-    shuffles = [i for i, line in enumerate(lines) if "hashpartitioning(session_id" in line]
+def test_page_dwell_sorts_enters_and_leaves_only(utc, monkeypatch):
+    from tidemark.operators import scans
+    seen = []
+    monkeypatch.setattr(scans, "stored", lambda df, label: seen.append(df) or df)
+    clicks.page_dwell(Layers(utc, SF_SMALL).bronze_clicks)
+    lines = _plan(seen[0]).splitlines()
+    sorts = [i for i, line in enumerate(lines) if "rangepartitioning(session_id" in line]
     filters = [i for i, line in enumerate(lines) if "Filter" in line and "page_enter" in line]
-    assert shuffles and filters and max(filters) > max(shuffles)  # plans list the source last
+    assert sorts and filters and max(filters) > max(sorts)  # plans list the source last
 
 
 def test_ingest_writes_without_a_shuffle(utc):

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.functions.casts import to_integer
 from tidemark.functions.timeparse import epoch_millis_to_timestamp, parse_iso_timestamp, utc_date
 
@@ -44,26 +45,33 @@ def annotate_cdc(envelope: DataFrame, ingest_ts: Column | None = None) -> DataFr
     )
 
 
-def cdc_is_valid() -> Column:
-    return F.col("value_json").isNotNull() & F.col("op").isNotNull()
+Rule = tuple[Column, Column | str]
+
+
+def _broken(rules: list[Rule]) -> Column:
+    """The code of the first rule that holds; NULL for a valid row."""
+    return F.coalesce(*[F.when(broken, F.lit(code) if isinstance(code, str) else code) for broken, code in rules])
+
+
+def _split(annotated: DataFrame, table: str, dlq_table: str, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, dead-letter rows): the columns of both tables that the ingest does not add itself.
+
+    A valid row stands on the day of its event, or of its ingest if it has no time; a dead letter on that of its ingest."""
+    flagged = annotated.withColumn("error", _broken(rules))
+    valid = flagged.filter(F.col("error").isNull()).withColumn("dt", utc_date(F.coalesce("event_ts", "ingest_ts")))
+    dead = flagged.filter(F.col("error").isNotNull()).withColumns(
+        {"dt": utc_date("ingest_ts"), "raw_value": F.col("value_json")})
+
+    def columns(name: str) -> list[str]:
+        return [c for c in schemas.TABLES[name].columns if c not in schemas.STATIC_BRONZE_PARTITIONS]
+
+    return valid.select(*columns(table)), dead.select(*columns(dlq_table))
 
 
 def split_cdc(annotated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid bronze rows, dead-letter rows) of an annotated CDC batch."""
-    valid = annotated.filter(cdc_is_valid()).select(
-        "topic", "partition_id", "offset_value", "key_json", "value_json", "op",
-        "source_table", "event_ts", "ingest_ts",
-        utc_date(F.coalesce("event_ts", "ingest_ts")).alias("dt"),
-    )
-    dlq = annotated.filter(~cdc_is_valid()).select(
-        "topic", "partition_id", "offset_value", "key_json",
-        F.col("value_json").alias("raw_value"),
-        F.when(F.col("value_json").isNull(), F.lit(ERR_NULL_VALUE))
-        .otherwise(F.lit(ERR_MISSING_OP)).alias("error"),
-        "ingest_ts",
-        utc_date("ingest_ts").alias("dt"),
-    )
-    return valid, dlq
+    return _split(annotated, "bronze.pg_cdc_raw", "bronze.dlq_pg_cdc", [
+        (F.col("value_json").isNull(), ERR_NULL_VALUE), (F.col("op").isNull(), ERR_MISSING_OP)])
 
 
 def annotate_clicks(envelope: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
@@ -86,45 +94,16 @@ def annotate_clicks(envelope: DataFrame, ingest_ts: Column | None = None) -> Dat
     )
 
 
-def clicks_is_valid() -> Column:
-    return F.col("value_json").isNotNull() & F.col("event_id").isNotNull()
-
-
-CLICK_BRONZE_COLUMNS = (
-    "topic", "partition_id", "offset_value", "event_id", "session_id", "user_id",
-    "event_type", "page", "element_id", "x", "y", "dwell_ms", "value_json",
-    "event_ts", "ingest_ts",
-)
-
-
 def split_clicks(annotated: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(valid bronze rows, dead-letter rows). ``strict`` also routes events
     that break the record contract (V1) to the dead letters, with the broken
     rules as the error (``contract:event_type,dwell_ms``)."""
+    rules: list[Rule] = [(F.col("value_json").isNull(), ERR_NULL_VALUE), (F.col("event_id").isNull(), ERR_MISSING_EVENT_ID)]
     if strict:
         from tidemark.operators.quality import RAW_NUMBERS, event_reasons
-        raw = F.from_json("value_json", RAW_NUMBERS)
-        annotated = annotated.withColumn("_raw", raw).withColumn("_reasons", event_reasons("_raw"))
-        ok = clicks_is_valid() & (F.col("_reasons") == "")
-        error = (F.when(F.col("value_json").isNull(), F.lit(ERR_NULL_VALUE))
-                 .when(F.col("event_id").isNull(), F.lit(ERR_MISSING_EVENT_ID))
-                 .otherwise(F.concat(F.lit("contract:"), F.col("_reasons"))))
-    else:
-        ok = clicks_is_valid()
-        error = (F.when(F.col("value_json").isNull(), F.lit(ERR_NULL_VALUE))
-                 .otherwise(F.lit(ERR_MISSING_EVENT_ID)))
-    valid = annotated.filter(ok).select(
-        *CLICK_BRONZE_COLUMNS,
-        utc_date(F.coalesce("event_ts", "ingest_ts")).alias("dt"),
-    )
-    dlq = annotated.filter(~ok).select(
-        "topic", "partition_id", "offset_value",
-        F.col("value_json").alias("raw_value"),
-        error.alias("error"),
-        "ingest_ts",
-        utc_date("ingest_ts").alias("dt"),
-    )
-    return valid, dlq
+        annotated = annotated.withColumn("_raw", F.from_json("value_json", RAW_NUMBERS)).withColumn("_reasons", event_reasons("_raw"))
+        rules.append((F.col("_reasons") != "", F.concat(F.lit("contract:"), F.col("_reasons"))))
+    return _split(annotated, "bronze.clickstream_raw", "bronze.dlq_clickstream", rules)
 
 
 def dlq_envelope(dlq: DataFrame, source_topic_col: str = "topic") -> DataFrame:

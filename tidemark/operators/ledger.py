@@ -128,7 +128,7 @@ def _ledger_rows(transactions: DataFrame, label: str) -> DataFrame:
     """The rows of all ledgers in ranges, with running sums of cents inside each; NULL keys are a ledger of no account."""
     rows = transactions.select("transaction_id", *LEDGER, "occurred_at", signed_cents().alias("cents"))
     order = [F.col("occurred_at").asc_nulls_first(), F.col("transaction_id").asc_nulls_first()]
-    return ranged(rows, LEDGER, order, F.col("cents").cast("decimal(20,0)"), label)
+    return ranged(rows, LEDGER, order, F.sum(F.col("cents").cast("decimal(20,0)")), label)
 
 
 def _range_totals(rows: DataFrame, accounts: DataFrame) -> DataFrame:

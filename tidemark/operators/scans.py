@@ -33,9 +33,9 @@ def time_bucket(seconds: Column, bucket_seconds: int) -> Column:
     return F.coalesce(F.floor(seconds / F.lit(bucket_seconds)).cast("bigint"), F.lit(NULL_BUCKET))
 
 
-def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Column, label: str) -> DataFrame:
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], running: Column, label: str) -> DataFrame:
     """``df`` in ranges of (keys, order), written once: ``_part`` is a row's range, ``_at`` rises along
-    the order within it, ``_prefix`` is the running sum of ``sums`` over the rows of the same key and range.
+    the order within it, ``_prefix`` is the aggregate ``running`` over the rows of the same key and range so far.
 
     Ranges are cut by row counts, so that a key with most of the rows, even
     all at one instant, is spread over as many tasks as its size asks for."""
@@ -43,7 +43,18 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Co
     placed = df.repartitionByRange(*by).sortWithinPartitions(*by).select(
         "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
     local = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return stored(placed.withColumn("_prefix", F.sum(sums).over(local)), label)
+    return stored(placed.withColumn("_prefix", running.over(local)), label)
+
+
+def ranged_max(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str, label: str) -> DataFrame:
+    """``out`` = running maximum of ``value`` over the rows of the same key up to the current one.
+
+    One row per key and range takes part in the scan over a key and in the join."""
+    rows = ranged(df.withColumn("_v", value), keys, order, F.max("_v"), label)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*keys, "_part").agg(F.max("_v").alias("_most")).select(*keys, "_part", F.max("_most").over(before).alias("_before"))
+    joined = rows.join(ranges, [*keys, "_part"])
+    return joined.withColumn(out, F.greatest("_before", "_prefix")).drop("_part", "_at", "_v", "_prefix", "_before")
 
 
 def bucketed_running(

@@ -11,11 +11,18 @@ fresh folder, and one change of the table's location in the catalog makes them
 current. A write that fails leaves the old rows in place, and no reader meets
 an empty or half-written table. The catalog does not list the partitions of
 these tables; they follow from the folder, so that one change moves them all.
+
+What must outlive a catalog that lasts as long as its session only is kept as
+*marks* of a table, a small file under the root that is replaced at once: its
+current folder, a commit under way (``plans.incremental``), and the
+compacted batches of each ingest (``plans.compaction``). ``init`` in a new
+catalog finds the current folder and the partitions of bronze again.
 """
 
 from __future__ import annotations
 
 import contextlib
+import json
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -23,10 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.session import delete_path, list_path, shared_path
+from tidemark.session import delete_path, list_path, read_text, shared_path, write_text
 
-#: Marks in a bronze table's properties, by ingest.
-COMPACTED = "tidemark.compacted."
+#: Marks of a table: its folder, and for bronze tables by ingest what is compacted.
+LOCATION, COMPACTED = "location", "compacted."
 OVERWRITE_CONF = "spark.sql.sources.partitionOverwriteMode"
 
 
@@ -94,10 +101,14 @@ class Lakehouse:
             spec = schemas.spec(logical)
             cols = ", ".join(f"`{f.name}` {_ddl_type(f.dataType)}" for f in spec.schema.fields)
             part = f" PARTITIONED BY ({', '.join(spec.partition_by)})" if spec.partition_by else ""
+            new = not self.spark.catalog.tableExists(self.name(logical))
+            where = (self.marks(logical).get(LOCATION) if new else None) or self.path(logical)
             with _setting(self.spark, LISTED_CONF, "true" if spec.namespace == "bronze" else "false"):
                 self.spark.sql(
                     f"CREATE TABLE IF NOT EXISTS {self.name(logical)} ({cols}) USING {self.fmt}"
-                    f"{part} LOCATION '{self.path(logical)}'")
+                    f"{part} LOCATION '{where}'")
+            if new and spec.namespace == "bronze" and list_path(self.spark, where):
+                self.recover_partitions(logical)
             rows.append((self.name(logical), ",".join(spec.partition_by), len(spec.columns)))
         return self.spark.createDataFrame(rows, "table string, partition_by string, columns int")
 
@@ -111,12 +122,20 @@ class Lakehouse:
         return rows.filter(self.visible(logical)) if logical.startswith("bronze.") else rows
 
     # -- compacted batches ------------------------------------------------
-    def properties(self, logical: str) -> dict[str, str]:
-        return {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.name(logical)}").collect()}
+    def _marks_path(self, logical: str) -> str:
+        return f"{self.root}/_marks/{logical}.json"
+
+    def marks(self, logical: str) -> dict[str, str]:
+        return json.loads(read_text(self.spark, self._marks_path(logical)) or "{}")
+
+    def mark(self, logical: str, name: str, value: str | None) -> None:
+        """Set a mark of a table, or remove it. Jobs that mark one table follow each other."""
+        marks = self.marks(logical) | {name: value}
+        write_text(self.spark, self._marks_path(logical), json.dumps({k: v for k, v in marks.items() if v is not None}))
 
     def compacted(self, logical: str) -> dict[str, tuple[int, int]]:
         """By ingest: (upto, generation) of a bronze table's committed compaction."""
-        found = {k.removeprefix(COMPACTED): v for k, v in self.properties(logical).items() if k.startswith(COMPACTED)}
+        found = {k.removeprefix(COMPACTED): v for k, v in self.marks(logical).items() if k.startswith(COMPACTED)}
         return {ingest: tuple(map(int, v.split(":"))) for ingest, v in found.items()}
 
     def visible(self, logical: str) -> Column:
@@ -145,13 +164,13 @@ class Lakehouse:
 
         ``dynamic``: replace only the partitions present in ``df`` (the
         reference behaviour, S13: a partition that emptied keeps stale rows).
-        ``full``: replace the whole table, as ``publish`` does. With
+        ``full``, and any table without partitions: replace the whole table, as ``publish`` does. With
         ``set_mode=False`` the caller has already set the session's overwrite
         mode (``overwrite_mode``) for a group of concurrent writes.
         """
         if mode not in ("dynamic", "full"):
             raise ValueError(f"unknown overwrite mode {mode!r}")
-        if mode == "full":
+        if mode == "full" or not schemas.spec(logical).partition_by:
             self.publish(logical, df)
             return
         out = self._aligned(logical, df)
@@ -196,6 +215,7 @@ class Lakehouse:
         old = self.location(logical)
         if _leaf(old) == _leaf(fresh):
             return
+        self.mark(logical, LOCATION, fresh)
         self.spark.sql(f"ALTER TABLE {self.name(logical)} SET LOCATION '{fresh}'")
         self.spark.catalog.refreshTable(self.name(logical))
         versions = list_path(self.spark, f"{self.root}/_versions/{spec.namespace}/{spec.name}")

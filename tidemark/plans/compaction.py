@@ -3,7 +3,7 @@
 Bronze keeps a partition per batch, so that a retried batch replaces its own
 rows. Once batches are closed they are rewritten as one generation of their
 ingest, whose batch id is the negative generation number, with a partition for
-each day. The mark ``upto:generation`` in the table's properties commits it:
+each day. The mark ``upto:generation`` of the table commits it:
 from then on ``Lakehouse.table`` shows the generation in place of the batches up
 to ``upto``, and ``overwrite_batch`` refuses to write one of them again. Before
 the mark nothing has changed for readers; after it the old partitions are only
@@ -72,7 +72,7 @@ def compact(lh: Lakehouse, bronze: str, ingest_id: str, upto: int | None = None)
     mine = lh.spark.createDataFrame([(ingest_id, -generation)], schemas.CONSUMED)
     for name in _consumers(lh, bronze):
         lh.publish(name, lh.table(name).unionByName(mine).distinct())
-    lh.spark.sql(f"ALTER TABLE {lh.name(bronze)} SET TBLPROPERTIES ('{COMPACTED}{ingest_id}' = '{upto}:{generation}')")
+    lh.mark(bronze, f"{COMPACTED}{ingest_id}", f"{upto}:{generation}")
     clean(lh, bronze, ingest_id)
     return upto
 

@@ -15,7 +15,7 @@ only the partitions of the others:
   without any are not supported here.
 
 Each run has one commit point. New rows and state are written to fresh folders;
-then a note in the table's properties names them, and only then are they put in
+then a note among the table's marks names them, and only then are they put in
 place, in steps that can be repeated. A run that fails before the note
 leaves everything as it was; after it, the next run first finishes the steps.
 Runs of one table follow each other; they are not meant to overlap.
@@ -40,7 +40,7 @@ BRONZE = {
     "silver.transactions": "bronze.pg_cdc_raw", "silver.users": "bronze.pg_cdc_raw",
     "silver.accounts": "bronze.pg_cdc_raw", "silver.clickstream_events": "bronze.clickstream_raw",
 }
-NOTE = "tidemark.pending"
+NOTE = "pending"
 Days = set[_dt.date]
 
 
@@ -91,16 +91,16 @@ def commit(lh: Lakehouse, logical: str, rows: DataFrame, days: Days | None, stat
         lh._aligned(logical, rows).write.parquet(note["rows"])
     for name, df in state.items():
         note["state"][name] = lh.write_version(name, df)
-    lh.spark.sql(f"ALTER TABLE {lh.name(logical)} SET TBLPROPERTIES ('{NOTE}' = '{json.dumps(note)}')")
+    lh.mark(logical, NOTE, json.dumps(note))
     finish(lh, logical)
 
 
 def finish(lh: Lakehouse, logical: str) -> bool:
     """Carry out what a table's note says, if it has one. Every step may be repeated."""
-    found = {r.key: r.value for r in lh.spark.sql(f"SHOW TBLPROPERTIES {lh.name(logical)}").collect()}
-    if NOTE not in found:
+    found = lh.marks(logical).get(NOTE)
+    if found is None:
         return False
-    note = json.loads(found[NOTE])
+    note = json.loads(found)
     if note["days"] is None:
         lh.switch(logical, note["rows"])
     else:
@@ -108,7 +108,7 @@ def finish(lh: Lakehouse, logical: str) -> bool:
         replace_days(lh, logical, rows, {_dt.date.fromisoformat(d) for d in note["days"]})
     for name, path in note["state"].items():
         lh.switch(name, path)
-    lh.spark.sql(f"ALTER TABLE {lh.name(logical)} UNSET TBLPROPERTIES ('{NOTE}')")
+    lh.mark(logical, NOTE, None)
     if note["days"] is not None:
         delete_path(lh.spark, note["rows"])
     return True

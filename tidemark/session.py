@@ -100,5 +100,35 @@ def list_path(spark: SparkSession, path: str) -> list[str]:
     return [str(f.getPath().toString()) for f in files.listStatus(hadoop)] if files.exists(hadoop) else []
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file at once: readers see the old text or the new one."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    files = target.getFileSystem(conf)
+    fresh, target = (files.makeQualified(p) for p in (hadoop.Path(f"{path}.{uuid.uuid4().hex}"), target))
+    out = files.create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.valueOf("OVERWRITE")
+    hadoop.FileContext.getFileContext(files.getUri(), conf).rename(fresh, target, how)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if it is not there."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(conf)
+    if not files.exists(hadoop):
+        return None
+    stream = files.open(hadoop)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def env_master(default: str = "local[*]") -> str:
     return os.environ.get("SPARK_MASTER", default)
