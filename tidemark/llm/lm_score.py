@@ -152,13 +152,13 @@ def automaton(
     has it; elsewhere the state's failure arc leads to the empty state without reading, and its arc follows. The empty
     state (a count of zero, behind an unknown token) has no failure arc. Weights are logarithms to base 10.
     """
-    root = np.log10((token + 1) / (total + types + 1))
-    taken = root.copy()
+    base = (token + 1) / (total + types + 1)
+    taken = base.copy()
     fails = np.flatnonzero((arc == 0) & (state > 0))
-    taken[fails] += np.log10(mass / (state[fails] + mass))
+    taken[fails] *= mass / (state[fails] + mass)
     own = np.flatnonzero(arc > 0)
-    taken[own] = np.log10((arc[own] + mass * 10 ** root[own]) / (state[own] + mass))
-    return root, taken
+    taken[own] = (arc[own] + mass * base[own]) / (state[own] + mass)
+    return np.log10(base), np.log10(taken)
 
 
 def score(
