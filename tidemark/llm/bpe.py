@@ -104,7 +104,7 @@ class Table:
 class Encoder:
     """Ids of whole texts: chunks from a lookup table, new chunks from their words, new words from the library."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -121,7 +121,7 @@ class Encoder:
         self.plain = None if parts["decoder"] else [self.tokenizer.id_to_token(i) for i in self.numbers]
         bar = self.tokenizer.encode(BAR, add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
-        self.chunks, self.words = Table(CACHE_BYTES), Table(CACHE_BYTES)
+        self.chunks, self.words = Table(cache_bytes), Table(cache_bytes)
 
     def _encoded(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """Each word with its ids: in one call with a mark between them, or alone if the word holds the mark."""
@@ -177,13 +177,13 @@ class Encoder:
 
 
 #: One for each worker process, by path: what a task has encoded serves the next.
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def _encoder(path: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
+    if (path, cache_bytes) not in _ENCODERS:
+        _ENCODERS[path, cache_bytes] = Encoder(path, cache_bytes)
+    return _ENCODERS[path, cache_bytes]
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
@@ -206,14 +206,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return _encoded(docs, path, id_col, text_col, digests=False)
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """encode() with digests in place of ids and text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return _encoded(docs, path, id_col, text_col, digests=True)
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """encode() with digests in place of ids and text: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
+    ``cache_bytes`` bounds a worker's tables; smaller ones leave memory to others and encode more words again."""
+    return _encoded(docs, path, id_col, text_col, digests=True, cache_bytes=cache_bytes)
 
-def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, digests: bool) -> DataFrame:
+
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, digests: bool, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(path, cache_bytes)
         for batch in batches:
             found: list[tuple] = []
             for text in batch.column(1):
