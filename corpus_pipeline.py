@@ -15,6 +15,8 @@ from tidemark.llm.queries import tokenizer_path
 
 #: The language stage rejects texts without a letter, and those of whose n-grams no language knows this share.
 LEAST_LANGUAGE_SCORE = 0.05
+#: A worker's tables of words and chunks: after four stages an executor's heap is at its full size beside them.
+BPE_CACHE_BYTES = 40 << 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, tokenizer_path())
+    return bpe.digests(docs, tokenizer_path(), cache_bytes=BPE_CACHE_BYTES)
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("SimHash near-dedup", near), ("source mixing", mixed), ("BPE", encoded)]
