@@ -172,3 +172,42 @@ def test_dead_letters_are_written_as_envelopes_and_a_failing_sink_fails_the_batc
         writer(env, 4)
     ingest.batch_writer(lh, "clicks", "w", dlq_sink=keep)(env, 4)  # the retry replaces what the failed try wrote
     assert lh.table("bronze.clickstream_raw").filter("batch_id = 4").count() == 1
+
+
+def test_the_streaming_ledger_keeps_state_by_groups_of_accounts(utc, tmp_path):
+    """300 accounts in two groups: the store holds a few rows a group and bucket, not some for every account."""
+    from test_ledger import _accounts, _txs
+    from tidemark.operators import ledger
+    from tidemark.streaming import ledger as stream_ledger
+    names = [f"a{i:03d}" for i in range(300)]
+    accounts = _accounts(utc, {a: f"{i}.00" for i, a in enumerate(names)})
+    rows = [(f"t{a}{n}", a, "debit", "90.00", n) for a in names for n in range(2)]
+    tx = _txs(utc, rows).select("transaction_id", "user_id", "currency", "direction", "amount", "occurred_at")
+    beat = tx.limit(1).select(*[F.lit("2030-01-01").cast("timestamp").alias(c) if c == "occurred_at" else F.lit(None).cast(t).alias(c)
+                                for c, t in tx.dtypes])
+    tx.unionByName(beat).coalesce(1).write.parquet(f"{tmp_path}/in")
+    before = stream_ledger.use_rocksdb_state(utc)
+    try:
+        q = (stream_ledger.ledger_replay_stream(utc.readStream.schema(tx.schema).parquet(f"{tmp_path}/in"), accounts, "1 day", 86_400, groups=2)
+             .writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        stream_ledger.restore_state_store(utc, before)
+    held = max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"])
+    assert 0 < held < 50
+    want = ledger.ledger_replay(tx, accounts)
+    got = utc.read.parquet(f"{tmp_path}/out").select(want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_state_partitions_follow_the_cores(utc):
+    from tidemark.streaming import ledger as stream_ledger
+    old = utc.conf.get("spark.sql.shuffle.partitions")
+    try:
+        utc.conf.set("spark.sql.shuffle.partitions", "2000")
+        assert stream_ledger.state_partitions(utc) == 3 * utc.sparkContext.defaultParallelism
+        utc.conf.set("spark.sql.shuffle.partitions", "2")
+        assert stream_ledger.state_partitions(utc) == 2
+    finally:
+        utc.conf.set("spark.sql.shuffle.partitions", old)
