@@ -69,3 +69,13 @@ def test_replay_joins_ranges_not_rows(utc):
     L = Layers(utc, SF_SMALL)
     plan = _plan(ledger.ledger_running_balance(L.transactions, L.accounts))
     assert "Window" in plan and "o_orderkey" not in plan  # the rows are read back, not built and parsed again
+
+
+def test_a_filter_does_not_build_or_parse_json_again(utc):
+    """One to_json and two parses (header, image) a record, whatever filters follow: none is pushed below them with the parse."""
+    plan = Layers(utc, SF_SMALL).transactions._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJsonEvaluator") == 1
+    assert plan.count("from_json(") == 2
+    plan = Layers(utc, SF_SMALL).bronze_clicks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJsonEvaluator") == 1
+    assert plan.count("from_json(StructField(event_id") == 1
