@@ -37,3 +37,11 @@ def test_candidates_of_broad_shape(spark):
         texts.append(f"die nummer war {other} und mehr")
     got = spans(spark, texts)
     assert {i: got[i] for i in want} == want
+
+
+def test_totals_cut_every_text_once(spark):
+    docs = spark.createDataFrame([("a",), ("a b",), ("a b a b",), (None,), ("",)], "text string")
+    wanted = spark.createDataFrame([("a", 1), ("a b", 2), ("a b a", 3), ("b a b", 3), ("z", 1)], "word string, length int")
+    totals = pii._totals(docs, "text", wanted)
+    assert {r["word"]: r["total"] for r in totals.collect()} == {"a": 4, "a b": 3, "a b a": 1, "b a b": 1}
+    assert totals._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1

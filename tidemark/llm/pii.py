@@ -167,15 +167,18 @@ def _occurrences(scanned: DataFrame) -> DataFrame:
 
 def _totals(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """How often each wanted run of tokens occurs in the whole corpus."""
-    tokens = docs.select(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(TOKEN), F.lit(0)).alias("tokens")).where("size(tokens) > 0")
-    runs = []
-    for k in range(1, LENGTH + 1):
-        places = F.sequence(F.lit(1), F.size("tokens") - (k - 1))
-        run = F.col("tokens") if k == 1 else F.transform(places, lambda i: F.array_join(F.slice("tokens", i, k), " "))  # noqa: B023
-        runs.append(tokens.where(F.size("tokens") >= k).select(F.explode(run).alias("word")).join(wanted.where(F.col("length") == k), "word", "left_semi"))
-    found = runs[0]
-    for more in runs[1:]:
-        found = found.union(more)
+    tokens = docs.select(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    size = F.size("tokens")
+
+    def runs(k: int) -> Column:
+        """All runs of ``k`` tokens, none if there are fewer."""
+        run = F.transform(F.sequence(F.lit(0), size - k), lambda i: F.concat_ws(" ", *(F.get("tokens", i + j) for j in range(k))))
+        return F.when(size >= k, run).otherwise(F.array().cast("array<string>"))
+
+    # One pass: a filter on the tokens, or a pass for each length, would cut every text again. No token holds a space,
+    # so that a run is told from those of other lengths by its text alone.
+    every = tokens.select(F.explode(F.concat("tokens", *(runs(k) for k in range(2, LENGTH + 1)))).alias("word"))
+    found = every.join(wanted, "word", "left_semi")
     return found.groupBy("word").agg(F.count("*").alias("total"))
 
 
