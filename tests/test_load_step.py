@@ -1,0 +1,87 @@
+"""The load step that refresh_all, gold_scan, refresh_gold and check_tables share: what it costs a row, and that its rows stay."""
+
+from __future__ import annotations
+
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF_SMALL
+from tidemark import schemas
+from tidemark.functions import timeparse
+from tidemark.plans import refresh
+from tidemark.sources import testdata
+from tidemark.streaming import ingest
+
+ODD_TIMES = [
+    None, "", "Z", "garbage", "2024-01-01T00:00:00Z", "2024-01-01T00:00:00.5Z", "2024-01-01T00:00:00.123Z",
+    "2024-01-01T00:00:00.123456Z", "2024-01-01T00:00:00.1234567Z", "2024-01-01T00:00:00.123+02:00", "2024-01-01T00:00:00-05:30",
+    "2024-01-01T00:00:00+18:00", "2024-01-01T00:00:00+18:01", "2024-01-01T00:00:00+19:00", "2024-01-01T00:00:00-00:00",
+    "2024-01-01T00:00:00+05:60", "2024-01-01T00:00:00.123456", "2024-01-01T00:00:00.123", "2024-01-01T00:00:00",
+    "2024-01-01t00:00:00z", "2024-01-01T00:00:00z", "2024-01-01 00:00:00Z", "2024-02-29T23:59:59Z", "2023-02-29T00:00:00Z",
+    "2024-02-30T00:00:00.5Z", "2024-01-01T24:00:00Z", "2024-01-01T23:59:60Z", "2024-01-01T23:60:00Z", "2024-13-01T00:00:00Z",
+    "2024-00-01T00:00:00Z", "0000-01-01T00:00:00Z", "0001-01-01T00:00:00Z", "1582-10-10T00:00:00Z", "1883-11-18T12:00:00.000001Z",
+    "1900-01-01T00:00:00.25+01:00", "9999-12-31T23:59:59.999999Z", "10000-01-01T00:00:00Z", "+10000-01-01T00:00:00Z",
+    "-0001-01-01T00:00:00Z", " 2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z ", "2024-01-01T00:00:00Z\n", "2024-01-01T00:00:00.Z",
+    "2024-03-10T02:30:00", "2024-03-10T02:30:00.5-05:00", "2024-11-03T01:30:00Z",
+]
+
+
+def test_usual_times_are_read_as_the_ladder_reads_them(any_tz):
+    rows = any_tz.createDataFrame([(t,) for t in ODD_TIMES], "t string")
+    both = rows.select("t", timeparse.parse_iso_timestamp("t").cast("double").alias("now"), timeparse.iso_ladder("t").cast("double").alias("ladder"))
+    assert [(r.t, r.now) for r in both.collect()] == [(r.t, r.ladder) for r in both.collect()]
+
+
+def test_usual_times_are_read_by_the_cast(utc):
+    """The texts of the brokers never reach the layouts, which throw and catch an exception for each that does not fit."""
+    texts = ["2024-01-01T00:00:00Z", "2024-01-01T00:00:00.123Z", "2024-01-01T00:00:00.123456Z", "2024-01-01T00:00:00.1+02:00"]
+    rows = utc.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.filter(F.col("t").rlike(timeparse.USUAL_ISO_REGEX) & F.col("t").try_cast("timestamp").isNotNull()).count() == len(texts)
+
+
+@pytest.fixture
+def loaded(utc, monkeypatch):
+    seen: dict[str, int] = {}
+    met = threading.Barrier(2, timeout=120)
+    overwrite = ingest.overwrite_batch
+
+    def noted(lakehouse, logical, df, *rest):
+        if ".dlq" not in logical:
+            met.wait()  # both kinds have come here before either goes on
+        seen[logical] = threading.get_ident()
+        overwrite(lakehouse, logical, df, *rest)
+        assert utc.conf.get("spark.sql.sources.partitionOverwriteMode") == "static"
+
+    monkeypatch.setattr(ingest, "overwrite_batch", noted)
+    before = utc.conf.get("spark.sql.sources.partitionOverwriteMode")
+    lh = ingest.fresh_lakehouse(utc, "load-step")
+    for _ in range(2):  # the second is a retry of the same load
+        refresh.load_bronze_batch(lh, testdata.cdc_envelopes(utc, SF_SMALL), testdata.click_envelopes(utc, SF_SMALL), load_id="tables")
+    assert utc.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+    return lh, seen
+
+
+def test_both_kinds_load_at_the_same_time_and_a_retry_replaces(loaded, utc):
+    lh, seen = loaded
+    assert set(seen) == {t for t in schemas.TABLES if t.startswith("bronze.")}
+    cdc, clicks = testdata.cdc_envelopes(utc, SF_SMALL), testdata.click_envelopes(utc, SF_SMALL)
+    assert lh.table("bronze.pg_cdc_raw").count() + lh.table("bronze.dlq_pg_cdc").count() == cdc.count()
+    assert lh.table("bronze.clickstream_raw").count() + lh.table("bronze.dlq_clickstream").count() == clicks.count()
+
+
+def test_texts_of_their_own_have_no_dictionary(loaded, utc):
+    import pyarrow.parquet as pq
+
+    lh, _ = loaded
+    lh.overwrite("silver.transactions", utc.createDataFrame([], schemas.TABLES["silver.transactions"].schema).unionByName(
+        utc.range(1000).selectExpr("concat('t-', id) transaction_id", "'u' user_id", "date'2024-01-01' dt"), allowMissingColumns=True), mode="full")
+    for table, plain, coded in (("bronze.pg_cdc_raw", ("key_json", "value_json"), "topic"),
+                                ("bronze.clickstream_raw", ("event_id", "value_json"), "topic"),
+                                ("silver.transactions", ("transaction_id",), "user_id")):
+        files = utc.read.parquet(lh.location(table)).inputFiles()
+        group = pq.ParquetFile(files[0].removeprefix("file:").replace("///", "/").replace("%20", " ")).metadata.row_group(0)
+        encodings = {group.column(i).path_in_schema: group.column(i).encodings for i in range(group.num_columns)}
+        assert not any("DICTIONARY" in e for c in plain for e in encodings[c])
+        assert any("DICTIONARY" in e for e in encodings[coded])
