@@ -3,7 +3,7 @@
 A rolling hash over the UTF-8 bytes cuts every text into chunks, so that equal
 passages are cut alike wherever they stand. Texts are dealt to tasks by ranges
 of their least chunk digest, then of a hash of their id: copies and texts that
-share passages meet in a task, and a large group of them in a few. A worker encodes each chunk it has
+share passages meet in a task, and a large group of them in a few; a sample of rows sets the bounds of the ranges. A worker encodes each chunk it has
 not met before, word by word with a table of words, and looks up the others.
 
 A chunk alone does not tell how its first and last word are encoded. A join is
@@ -24,6 +24,7 @@ returned; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import os
@@ -41,6 +42,8 @@ WINDOW = 32
 #: A cut after every 2 ** CUT_BITS bytes on average.
 CUT_BITS = 9
 CACHE_BYTES = 96 << 20
+#: Rows a task in the sample behind the bounds of the ranges, and its seed.
+SAMPLED, SEED = 100, 7
 #: Stands between words that are encoded together; a word of its own for the tokenizer.
 BAR = "|"
 SPACE = re.compile(r"[ \n]")
@@ -56,10 +59,14 @@ def cuts(raw: bytes) -> list[int]:
     return out
 
 
-def chunks(text: str) -> list[str]:
+def slices(text: str) -> list[bytes]:
     raw = text.encode("utf-8")
     edges = [0, *cuts(raw), len(raw)]
-    return [raw[a:b].decode() for a, b in zip(edges, edges[1:], strict=False)]
+    return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def chunks(text: str) -> list[str]:
+    return [raw.decode() for raw in slices(text)]
 
 
 def pieces(text: str) -> list[tuple[bool, str]]:
@@ -187,18 +194,37 @@ def _encoder(path: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
-    """(doc_id, text), the texts that share chunks beside each other."""
+    """(doc_id, text), the texts that share chunks beside each other.
+
+    Ranges of (least chunk digest, hash of the id), as repartitionByRange deals them, but with bounds from
+    a sample of the rows: Spark's own would cut and hash every text once for the bounds and once for the
+    deal. Bounds decide where a row is encoded, not whether; every row is dealt."""
+
+    def least(text: str) -> int:
+        import xxhash
+
+        return min(map(xxhash.xxh64_intdigest, slices(text))) >> 1
 
     @F.pandas_udf("bigint")
-    def least(texts):  # noqa: ANN001, ANN202
+    def digest(texts):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(list(map(least, texts)), dtype="int64")
+
+    @F.pandas_udf("int")
+    def part(texts, spreads):  # noqa: ANN001, ANN202
         import pandas as pd
-        import xxhash
 
-        return pd.Series([min(xxhash.xxh64_intdigest(c.encode()) for c in chunks(t)) >> 1 for t in texts], dtype="int64")
+        return pd.Series([bisect.bisect_left(bounds, (least(t), s)) for t, s in zip(texts, spreads, strict=True)], dtype="int32")
 
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.xxhash64("doc_id")
+    rows = docs.count()
+    sample = docs.sample(min(1.0, SAMPLED * parts / max(rows, 1)), SEED).select(digest("text"), spread)
     # Within one digest rows are ordered by a hash, so that ranges cut a large group of copies.
-    dealt = docs.withColumns({"__least": least("text"), "__spread": F.xxhash64("doc_id")})
-    return dealt.repartitionByRange("__least", "__spread")
+    found = sorted(tuple(r) for r in sample.collect())
+    bounds = [found[len(found) * i // parts] for i in range(1, parts)] if found else []
+    return docs.withColumn("__part", part("text", spread)).repartitionById(parts, "__part")
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
